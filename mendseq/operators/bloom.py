@@ -1,9 +1,9 @@
 """An optional approximate k-mer set in a block Bloom filter.
 
 Every key sets a fixed number of bits inside one 256-bit block, so a probe touches
-one cache line. The filter is built where the k-mers are: each task makes a filter
-of its own partition's k-mers, and the filters are joined by OR in a tree, two at
-a time per bucket, so nothing grows with the number of keys.
+one cache line. The filter is a table with one row per 64-bit word: each batch
+reduces its own keys to words, and a group-by joins equal words by OR. It is never
+collected; probing joins it on the block.
 """
 
 from __future__ import annotations
@@ -77,10 +77,7 @@ def may_contain(bits: np.ndarray, keys: np.ndarray, size: BloomSize) -> np.ndarr
 
 
 def bloom_blocks(kmers: DataFrame, size: BloomSize, k: int) -> DataFrame:
-    """(block, bits): the filter as one row per non-empty block, built by a group-by.
-
-    The row of a block never exceeds 32 bytes, however many keys fall into it.
-    """
+    """(block, word, bits): the words of the filter that are not zero."""
     if k > MAX_PACKED_K:
         raise ValueError(f"the Bloom option needs packed k-mers, k <= {MAX_PACKED_K}")
     words = BLOCK_BITS // 64
@@ -100,6 +97,20 @@ def bloom_blocks(kmers: DataFrame, size: BloomSize, k: int) -> DataFrame:
     return parts.groupBy("block", "word").agg(F.bit_or("bits").alias("bits"))
 
 
+def occupancy(blocks: DataFrame, size: BloomSize) -> DataFrame:
+    """One row: the share of bits set, and the false positive rate measured from it.
+
+    A probe of a block succeeds by chance when all its bits happen to be set, so the
+    rate is the mean over all blocks, empty ones included.
+    """
+    n_blocks = max(size.bits // BLOCK_BITS, 1)
+    filled = blocks.groupBy("block").agg(F.sum(F.bit_count("bits")).alias("n_set"))
+    return filled.agg(
+        (F.coalesce(F.sum("n_set"), F.lit(0)) / (n_blocks * BLOCK_BITS)).alias("occupancy"),
+        (F.coalesce(F.sum(F.pow(F.col("n_set") / BLOCK_BITS, F.lit(size.hashes))), F.lit(0.0))
+         / n_blocks).alias("false_positive"))
+
+
 def probe(requests: DataFrame, blocks: DataFrame, size: BloomSize) -> DataFrame:
     """Adds ``maybe`` to rows with a ``kmer``: every bit of the key is set in the filter."""
     words = BLOCK_BITS // 64
