@@ -44,6 +44,11 @@ def sequencing_reads(w):
     return w.reads.select(*KEYS, "id", "seq", "qual")
 
 
+@query
+def noisy_sequencing_reads(w):
+    return w.noisy.select(*KEYS, "id", "seq", "qual")
+
+
 @query
 def read_stats(w):
     return stats.read_stats(w.reads, w.k)
@@ -170,12 +175,12 @@ def trusted_spans(w):
 
 @query
 def anchor_class(w):
-    return solid.anchor_class(kmersets.window_hits(w.reads, w.trusted), w.k)
+    return solid.anchor_class(kmersets.window_hits(w.noisy, w.trusted), w.k)
 
 
 @query
 def create_anchor_candidates(w):
-    return solid.created_anchors(w.reads, w.trusted)
+    return solid.created_anchors(w.noisy, w.trusted)
 
 
 @query
@@ -240,26 +245,31 @@ def correct_reads(w):
     return w.corrected().select(*RESULT)
 
 
+@query
+def correct_noisy_reads(w):
+    return w.corrected_noisy().select(*RESULT)
+
+
 @query
 def correct_reads_trim(w):
-    return w.corrected(trim=True, new_quality="5").select(*RESULT)
+    return w.corrected_noisy(trim=True, new_quality="5").select(*RESULT)
 
 
 @query
 def correct_reads_strict(w):
-    """One correction per 20 bases only: shows what is taken back as over-corrected."""
-    return w.corrected(max_corrections=1).select(*RESULT)
+    """Two corrections per 20 bases only: shows what is taken back as over-corrected."""
+    return w.corrected_noisy(max_corrections=2).select(*RESULT)
 
 
 @query
 def annotated_headers(w):
-    return report.annotate(w.corrected(max_corrections=1), discard=True).select(*KEYS, "id")
+    return report.annotate(w.corrected_noisy(), discard=True).select(*KEYS, "id")
 
 
 @query
 def correction_summary(w):
-    trimmed = w.corrected(trim=True, max_corrections=1)
-    return report.summary(trimmed, trim=True, discard=True)
+    totals = report.summary(w.corrected_noisy(trim=True), trim=True, discard=True)
+    return totals.withColumns({name: F.round(name, 9) for name in ("corrections_per_read", "bases_per_trim")})
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mendseq.functions.sampling import PRIME, coin_sql
+from mendseq.plans.correction_oracle import correction
 from mendseq.plans.workspace import DEFAULT_K
 
 K = DEFAULT_K
@@ -44,6 +45,16 @@ reads as materialized (
     case when rid % 97 = 5 then substr(ql,1,12) else ql end as qual
   from s)"""
 
+NOISY = """
+errs as (select l_orderkey as read_idx, list(distinct (l_partkey*7 + l_suppkey*13 + l_linenumber*17) % 100) as errors
+  from lineitem where l_orderkey % 4 = 1 group by l_orderkey),
+placed as (select r.*, coalesce(errors, []) as errors from reads r left join errs e on r.read_idx = e.read_idx),
+noisy as materialized (select file_ind, read_idx, id,
+  array_to_string(list_transform(range(1, length(seq) + 1), lambda i: case when list_contains(errors, i - 1)
+    then translate(substr(seq, cast(i as int), 1), 'ACGT', 'GTAC') else substr(seq, cast(i as int), 1) end), '') as seq,
+  array_to_string(list_transform(range(1, length(qual) + 1), lambda i: case when list_contains(errors, i - 1) and i % 3 = 0
+    then '#' else substr(qual, cast(i as int), 1) end), '') as qual from placed)"""
+
 GENOME = "(32*cast(floor((select count(*) from orders)/22) as bigint))"
 
 
@@ -109,6 +120,18 @@ kept as (select file_ind, read_idx, pos, sum(trusted) over (
 b_set as materialized (select distinct w.kmer from windows w join kept on w.file_ind = kept.file_ind
   and w.read_idx = kept.read_idx and w.pos = kept.pos where n = {K} and is_valid)"""
 
+# The same for the noisy reads.
+NOISY_WINDOWS = f"""
+nw0 as (
+  select file_ind, read_idx, seq, unnest(range(0, greatest(length(seq) - {K} + 1, 0))) as pos from noisy),
+nw1 as (select file_ind, read_idx, pos, substr(seq, cast(pos + 1 as int), {K}) as km from nw0),
+noisy_windows as materialized (
+  select file_ind, read_idx, pos, km, regexp_matches(km, '^[ACGT]+$') as is_valid,
+    least(km, reverse(translate(km, 'ACGT', 'TGCA'))) as kmer from nw1),
+solid as materialized (select file_ind, read_idx, pos,
+    case when is_valid and s.kmer is not null then 1 else 0 end as solid
+  from noisy_windows left join b_set s on noisy_windows.kmer = s.kmer)"""
+
 SOLID = """
 solid as materialized (select file_ind, read_idx, pos,
     case when is_valid and s.kmer is not null then 1 else 0 end as solid
@@ -128,6 +151,10 @@ def sql(parts: list[str], body: str) -> str:
     return "with " + ",".join(parts) + "\n" + body
 
 
+def recursive(parts: list[str], body: str) -> str:
+    return "with recursive " + ",".join(parts) + "\n" + body
+
+
 def _hits(parts: list[str], table: str, flag: str, name: str) -> str:
     return sql(parts, f"""
 select r.file_ind, r.read_idx, cast(count(x.pos) as int) as n_windows,
@@ -139,7 +166,7 @@ group by r.file_ind, r.read_idx""")
 # Best change of each read without a trusted k-mer: the longest run over the changed
 # base, then the lowest quality, then the first position and base.
 ANCHORS = f"""
-lost as (select r.* from reads r where length(seq) >= {K} and not exists (
+lost as (select r.* from noisy r where length(seq) >= {K} and not exists (
   select 1 from solid s where s.file_ind = r.file_ind and s.read_idx = r.read_idx and s.solid = 1)),
 cells as (select file_ind, read_idx, seq, qual, unnest(range(0, length(seq))) as pos from lost),
 changes as (select file_ind, read_idx, qual, length(seq) as len, pos, base,
@@ -172,6 +199,7 @@ sizes as (select name, capacity, h, bits from costs qualify row_number() over (p
 
 def oracles() -> dict[str, str]:
     solid_pass = [*PASS2, SOLID]
+    noisy_pass = [*PASS2, NOISY, NOISY_WINDOWS]
     path = """concat('in/', source, '/', lang, cast(doc_id as varchar), (['.fq', '.fastq', '.fa', '.fasta', '.fq.gz',
       '.fasta.gz', '.txt.gz', '.b.fq', '', 'gz'])[doc_id % 10 + 1])"""
     name = "regexp_extract(path, '([^/]*)$', 1)"
@@ -181,6 +209,7 @@ def oracles() -> dict[str, str]:
     kind = "case when doc_id % 3 <> 0 then '.cor.fq' else '.cor.fa' end"
     out = {
         "sequencing_reads": sql([READS], "select file_ind, read_idx, id, seq, qual from reads"),
+        "noisy_sequencing_reads": sql([READS, NOISY], "select file_ind, read_idx, id, seq, qual from noisy"),
         "read_stats": sql([READS], f"""
 select file_ind, count(*) as n_reads, cast(sum(length(seq)) as bigint) as n_bases,
   count(*) filter (not regexp_matches(seq, '^[ACGT]+$')) as n_with_other,
@@ -227,14 +256,14 @@ qualify row_number() over (partition by file_ind, read_idx order by size desc, s
         "trusted_spans": sql([*solid_pass, RUNS], f"""
 select file_ind, read_idx, cast(start as int) as span_start, cast(start + size + {K - 1} as int) as span_end
 from runs join reads using (file_ind, read_idx) where start + size < length(seq) - {K} + 1"""),
-        "anchor_class": sql([*solid_pass, RUNS], f"""
+        "anchor_class": sql([*noisy_pass, RUNS], f"""
 select anchor, count(*) as n_reads from (
   select case when length(seq) < {K} then 'too_short' when m is null then 'no_anchor'
     when m = length(seq) - {K} + 1 then 'all_trusted' when m >= {K} then 'long_anchor'
     else 'short_anchor' end as anchor
-  from reads left join (select file_ind, read_idx, max(size) as m from runs group by file_ind, read_idx)
+  from noisy left join (select file_ind, read_idx, max(size) as m from runs group by file_ind, read_idx)
     using (file_ind, read_idx)) group by anchor"""),
-        "create_anchor_candidates": sql([*solid_pass, ANCHORS], """
+        "create_anchor_candidates": sql([*noisy_pass, ANCHORS], """
 select file_ind, read_idx, cast(pos as int) as pos, base, cast(run as int) as run from ranked where place = 1"""),
         "set_ops_a_b": sql(PASS2, """
 select kmer, 'both' as side from a where kmer in (select kmer from b_set)
@@ -262,4 +291,28 @@ with reads as (select cast(0 as int) as file_ind, doc_id as read_idx,
   regexp_replace(upper(text), '[^ACGT]', '', 'g') as seq from documents), {windows(K)}
 select kmer, count(*) as n_occurrences from windows where is_valid group by kmer""",
     }
+    result = "select file_ind, read_idx, seq, qual, correction, bad_prefix, bad_suffix, info from corrected"
+    noisy = [*PASS2, NOISY]
+    out.update({
+        "correct_reads": recursive([*PASS2, *correction("reads")], result),
+        "correct_noisy_reads": recursive([*noisy, *correction("noisy")], result),
+        "correct_reads_trim": recursive([*noisy, *correction("noisy", trim=True, new_quality="5")], result),
+        "correct_reads_strict": recursive([*noisy, *correction("noisy", max_corrections=2)], result),
+        "annotated_headers": recursive([*noisy, *correction("noisy")], """
+select c.file_ind, c.read_idx, case when correction = 0 and bad_prefix = 0 and bad_suffix = 0 then id
+  else concat(id, case when correction > 0 then ' cor' else '' end,
+    case when bad_prefix > 0 then concat(' bad_prefix=', cast(bad_prefix as varchar)) else '' end,
+    case when bad_suffix > 0 then concat(' bad_suffix=', cast(bad_suffix as varchar)) else '' end,
+    case info when 1 then ' oc' when 2 then ' ak' when 3 then ' lc' else '' end) end as id
+from corrected c join noisy n on n.file_ind = c.file_ind and n.read_idx = c.read_idx where correction >= 0"""),
+        "correction_summary": recursive([*noisy, *correction("noisy", trim=True), """
+totals as (select coalesce(sum(correction) filter (correction > 0), 0) as corr_cnt,
+  count(*) filter (bad_suffix > 0) as trim_reads_cnt, coalesce(sum(bad_suffix) filter (bad_suffix > 0), 0) as trim_base_cnt,
+  count(*) filter (correction < 0) as discard_reads_cnt, count(*) as total_reads,
+  count(*) filter (correction = 0) as error_free_reads_cnt from corrected)"""], """
+select cast(corr_cnt as bigint) as corr_cnt, trim_reads_cnt, cast(trim_base_cnt as bigint) as trim_base_cnt,
+  discard_reads_cnt, total_reads, error_free_reads_cnt,
+  round(coalesce(corr_cnt / nullif(total_reads - error_free_reads_cnt, 0), 0.0), 9) as corrections_per_read,
+  round(coalesce(trim_base_cnt / nullif(trim_reads_cnt, 0), 0.0), 9) as bases_per_trim from totals"""),
+    })
     return out

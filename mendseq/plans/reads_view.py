@@ -6,6 +6,8 @@ reads can be written down in SQL. ``true_seq`` is the read without its errors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +71,30 @@ def synthetic_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("@r"), rid.cast("string")).alias("id"),
         finish("f2").alias("seq"), finish("q1", complement=False).alias("qual"),
         finish("f0").alias("true_seq"))
+
+
+def noisy_reads(spark: SparkSession, sf_dir: str, reads: DataFrame) -> DataFrame:
+    """The same reads, a quarter of them with further errors placed by ``lineitem``.
+
+    Every line item of such an order is one error, so a read has from none to a dozen
+    of them, some next to each other; every third position is of bad quality as well.
+    """
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    at = (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13 + F.col("l_linenumber") * 17) % READ_LENGTH
+    # At most READ_LENGTH positions per order, however many line items it has.
+    errors = (lines.where(F.col("l_orderkey") % 4 == 1)
+              .select(F.col("l_orderkey").alias("read_idx"), at.cast("int").alias("at"))
+              .groupBy("read_idx").agg(F.collect_set("at").alias("errors")))
+
+    def changed(text: str, other: Callable[[Column, Column], Column]) -> Column:
+        def letter(i: Column) -> Column:
+            here = F.substring(F.col(text), i, F.lit(1))
+            return F.when(F.array_contains("errors", i - 1), other(here, i)).otherwise(here)
+
+        letters = F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), letter), "")
+        return F.when(F.col("errors").isNull(), F.col(text)).otherwise(letters).alias(text)
+
+    return reads.join(errors, "read_idx", "left").select(
+        "file_ind", "read_idx", "id",
+        changed("seq", lambda c, i: F.translate(c, "ACGT", "GTAC")),
+        changed("qual", lambda c, i: F.when(i % 3 == 0, F.lit("#")).otherwise(c)))

@@ -11,7 +11,7 @@ from mendseq.model import CorrectionParams
 from mendseq.operators import kmersets, stats
 from mendseq.operators.correct import correct
 from mendseq.operators.membership import KmerSet
-from mendseq.plans.reads_view import genome_length, synthetic_reads
+from mendseq.plans.reads_view import genome_length, noisy_reads, synthetic_reads
 from mendseq.session import materialize
 
 DEFAULT_K = 17
@@ -27,6 +27,10 @@ class Workspace:
     def reads(self) -> DataFrame:
         return materialize(synthetic_reads(self.spark, self.sf_dir), "reads")
 
+    @cached_property
+    def noisy(self) -> DataFrame:
+        return materialize(noisy_reads(self.spark, self.sf_dir, self.reads), "noisy")
+
     @cached_property
     def genome_size(self) -> int:
         return genome_length(self.spark, self.sf_dir)
@@ -58,6 +62,10 @@ class Workspace:
     def corrected(self, **changes) -> DataFrame:
         return correct(self.reads, self.trusted, self.params(**changes))
 
+    def corrected_noisy(self, **changes) -> DataFrame:
+        """The noisy reads against the k-mers the other reads made trusted."""
+        return correct(self.noisy, self.trusted, self.params(**changes))
+
 
 _open: dict[tuple[str, str], Workspace] = {}
 
