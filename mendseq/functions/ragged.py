@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,9 @@ from numpy.lib.stride_tricks import sliding_window_view
 
 from mendseq.model import MAX_PACKED_K
 
+# Bases worked on at once; a single longer read makes a batch of its own.
+MAX_BASES = 4_000_000
+
 LETTERS = np.frombuffer(b"ACGT", dtype=np.uint8)
 OTHER = 4
 CODES = np.full(256, OTHER, dtype=np.uint8)
@@ -57,6 +61,17 @@ def to_arrow(flat: np.ndarray, length: np.ndarray, null: np.ndarray | None = Non
     return text
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "seq") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose sequences are not more than MAX_BASES long."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        total = np.cumsum(from_arrow(batch[column]).length)
+        edges = np.flatnonzero(np.diff(total // MAX_BASES)) + 1
+        for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+            yield batch.slice(begin, end - begin)
+
+
 def within(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for every c in ``counts``, one after the other."""
     ends = np.cumsum(counts)

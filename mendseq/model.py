@@ -22,9 +22,9 @@ INFO_NONE, INFO_OVER_CORRECTED, INFO_AMBIGUOUS, INFO_LOW_COVERAGE = 0, 1, 2, 3
 # Longest k-mer whose 2-bit code fits a signed BIGINT; longer ones are strings.
 MAX_PACKED_K = 31
 
-# A k-mer set is broadcast only after its rows were counted and found to be
-# within this bound (8 bytes each when packed); a larger one is joined.
-MAX_BROADCAST_KMERS = 16_000_000
+# A k-mer set is broadcast only after its rows were counted and found to take no
+# more than this; a larger one is joined.
+MAX_BROADCAST_BYTES = 128 << 20
 
 
 def kmer_type(k: int) -> T.DataType:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from mendseq.functions import ragged
 from mendseq.functions.ragged import CODES, LETTERS, Ragged
 from mendseq.model import (
-    INFO_AMBIGUOUS, INFO_LOW_COVERAGE, INFO_OVER_CORRECTED, MAX_BROADCAST_KMERS,
+    INFO_AMBIGUOUS, INFO_LOW_COVERAGE, INFO_OVER_CORRECTED, MAX_BROADCAST_BYTES,
     CorrectionParams, check_k,
 )
 from mendseq.operators.anchors import find_anchors
@@ -38,7 +38,7 @@ class Outcome:
 
 
 def correct(reads: DataFrame, trusted: KmerSet, params: CorrectionParams,
-            max_broadcast: int = MAX_BROADCAST_KMERS) -> DataFrame:
+            max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Reads with corrected ``seq`` (and ``qual``) and the result columns."""
     check_k(params.k)
     if params.k != trusted.k:
@@ -233,10 +233,8 @@ def _finish(seq, qual, rows, lanes, fix, trusted, alternatives, out, params) ->
     over = (change >= 0) & (in_window > limit)
     over_corrected = np.zeros(len(rows), dtype=bool)
     over_corrected[local[over]] = True
-    first = np.cumsum(size) - size
-    for r in np.flatnonzero(over_corrected).tolist():
-        cells = slice(int(first[r]), int(first[r] + size[r]))
-        change[cells][take_back(change[cells], over[cells], params.k)] = UNFIXED
+    if over.any():
+        change[chained_to(over, change >= 0, here + local * params.k, params.k)] = UNFIXED
 
     applied = (change >= 0) & (pos >= begin[local]) & (pos < end[local])
     applied &= letter != LETTERS[np.maximum(change, 0)]
@@ -256,20 +254,10 @@ def _finish(seq, qual, rows, lanes, fix, trusted, alternatives, out, params) ->
     out.info[rows] = info
 
 
-def take_back(change: np.ndarray, over: np.ndarray, k: int) -> np.ndarray:
-    """Corrections to undo: those over the limit and all chained to them within k."""
-    undo = np.zeros(len(change), dtype=bool)
-    fixed = np.flatnonzero(change >= 0)
-    for i in fixed[over[fixed]]:
-        if undo[i]:
-            continue
-        undo[i] = True
-        for chain in (fixed[fixed < i][::-1], fixed[fixed > i]):
-            near = i
-            for j in chain:
-                if abs(j - near) >= k:
-                    break
-                if not undo[j]:
-                    undo[j] = True
-                    near = j
-    return undo
+def chained_to(over: np.ndarray, fixed: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Corrections over the limit, and all that follow each other to them within k."""
+    at = np.flatnonzero(fixed)
+    chain = np.cumsum(np.diff(place[at], prepend=place[at[:1]]) >= k)
+    bad = np.zeros(chain[-1] + 1, dtype=bool)
+    bad[chain[over[at]]] = True
+    return at[bad[chain]]

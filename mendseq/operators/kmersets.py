@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from mendseq.functions import ragged
 from mendseq.functions.sampling import coin, coin_limit
-from mendseq.model import KEYS, MAX_BROADCAST_KMERS, check_alpha, check_k, kmer_schema, kmer_type
+from mendseq.model import KEYS, MAX_BROADCAST_BYTES, check_alpha, check_k, kmer_schema, kmer_type
 from mendseq.operators.membership import KmerSet, solve
 
 
@@ -19,7 +19,7 @@ def _batches_of_kmers(df: DataFrame, k: int, pick) -> DataFrame:
     """Distinct k-mers of the windows ``pick`` keeps; each batch is reduced first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ragged.slices(batches):
             kept = np.unique(pick(batch, ragged.read_windows(ragged.from_arrow(batch["seq"]), k)))
             yield pa.RecordBatch.from_arrays([ragged.kmers_to_arrow(kept)], names=["kmer"])
 
@@ -56,7 +56,7 @@ def kmer_occurrences(reads: DataFrame, k: int, alpha: float | None = None) -> Da
         T.StructField("pos", T.IntegerType()), T.StructField("kmer", kmer_type(k))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ragged.slices(batches):
             w = ragged.read_windows(ragged.from_arrow(batch["seq"]), k)
             kept = np.flatnonzero(w.valid if limit is None else _sampled(batch, w, limit))
             row = pa.array(w.row[kept])
@@ -106,7 +106,7 @@ def _coverage_kernel(k: int, table: list[int], cutoff: int, output):
 
 
 def trusted_kmers(reads: DataFrame, sampled: KmerSet, table: list[int], cutoff: int,
-                  max_broadcast: int = MAX_BROADCAST_KMERS) -> DataFrame:
+                  max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Set B: k-mers of which every base is trusted in some read."""
     k = sampled.k
 
@@ -120,7 +120,7 @@ def trusted_kmers(reads: DataFrame, sampled: KmerSet, table: list[int], cutoff:
 
 
 def position_profile(reads: DataFrame, sampled: KmerSet, table: list[int], cutoff: int,
-                     max_broadcast: int = MAX_BROADCAST_KMERS) -> DataFrame:
+                     max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Per read, arrays over its bases: windows covering it, those in A, and trust."""
     schema = T.StructType([
         T.StructField("file_ind", T.IntegerType()), T.StructField("read_idx", T.LongType()),
@@ -143,7 +143,7 @@ def position_profile(reads: DataFrame, sampled: KmerSet, table: list[int], cutof
 
 
 def window_hits(reads: DataFrame, kmers: KmerSet,
-                max_broadcast: int = MAX_BROADCAST_KMERS) -> DataFrame:
+                max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Per read: number of windows, the starts of those in the set and their runs."""
     k = kmers.k
     run = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType())])

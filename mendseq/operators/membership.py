@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mendseq.functions import ragged
-from mendseq.model import KEYS, MAX_BROADCAST_KMERS, kmer_type
+from mendseq.model import KEYS, MAX_BROADCAST_BYTES, MAX_PACKED_K, kmer_type
 from mendseq.session import materialize
 
 Question = tuple[np.ndarray, np.ndarray]
@@ -52,8 +53,9 @@ class KmerSet:
         table = materialize(df, name)
         return cls(table, k, table.count())
 
-    def fits(self, max_rows: int = MAX_BROADCAST_KMERS) -> bool:
-        return self.rows <= max_rows
+    def fits(self, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+        width = 8 if self.k <= MAX_PACKED_K else self.k
+        return self.rows * width <= max_bytes
 
     def sorted_array(self) -> np.ndarray:
         """Only for a set within the broadcast bound."""
@@ -69,7 +71,7 @@ def contains(index: np.ndarray, kmers: np.ndarray) -> np.ndarray:
 
 
 def solve(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.StructType,
-          max_broadcast: int = MAX_BROADCAST_KMERS) -> DataFrame:
+          max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Run ``kernel`` over ``df`` by broadcast if the set fits, else by joins."""
     if kmers.fits(max_broadcast):
         return solve_in_task(df, kernel, kmers, schema)
@@ -81,9 +83,7 @@ def solve_in_task(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in ragged.slices(batches):
             run = kernel(batch, np.ones(batch.num_rows, dtype=bool))
             answer = None
             while True:
@@ -122,18 +122,15 @@ def _replay(batch: pa.RecordBatch, kernel: Kernel, answers: list[list[list[int]]
 
 
 def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.StructType) -> DataFrame:
-    given, columns = df.columns, [c for c in schema.names if c not in df.columns]
+    given = df.columns
     stepped_schema = T.StructType(
         [T.StructField(f"out_{f.name}", f.dataType) for f in schema]
         + [T.StructField(f.name, f.dataType) for f in df.schema]
         + [T.StructField("answers", T.ArrayType(T.ArrayType(T.IntegerType()))),
            T.StructField("asked", T.ArrayType(kmer_type(kmers.k)))])
-    del columns
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in ragged.slices(batches):
             answers = batch["answers"].to_pylist()
             out, questions = _replay(batch.select(given), kernel, answers)
             yield _finished(out, batch)
@@ -160,8 +157,6 @@ def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
                    ("asked", pa.ListArray.from_arrays(ends, values))]
         return pa.RecordBatch.from_arrays([a for _, a in fields], names=[f for f, _ in fields])
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow_types = {f.name: f.type for f in to_arrow_schema(schema)}
     asked_type = pa.list_(pa.int64() if kmer_type(kmers.k) == T.LongType() else pa.string())
     state = df.withColumn("answers", F.array().cast("array<array<int>>"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendseq.functions.ragged import LETTERS
-from mendseq.model import KEYS, MAX_BROADCAST_KMERS
+from mendseq.model import KEYS, MAX_BROADCAST_BYTES
 from mendseq.operators.membership import KmerSet, solve
 from mendseq.operators.kmersets import kmer_occurrences
 
@@ -58,7 +58,7 @@ def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def created_anchors(reads: DataFrame, trusted: KmerSet,
-                    max_broadcast: int = MAX_BROADCAST_KMERS) -> DataFrame:
+                    max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """For reads without a trusted k-mer, the change that creates the longest run."""
     import numpy as np
     import pyarrow as pa

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from mendseq.functions.binomial import thresholds
-from mendseq.model import MAX_BROADCAST_KMERS, CorrectionParams, check_alpha, check_k
+from mendseq.model import MAX_BROADCAST_BYTES, CorrectionParams, check_alpha, check_k
 from mendseq.operators import kmersets, stats
 from mendseq.operators.bloom import SAMPLED_FP, BloomSize, adapt_to_errors
 from mendseq.operators.correct import correct
@@ -33,7 +33,7 @@ class Settings:
     # "exact": set A has no false positives. "modelled": thresholds and the
     # adaptation to many errors as if set A were a Bloom filter for genome_size.
     false_positives: str = EXACT
-    max_broadcast: int = MAX_BROADCAST_KMERS
+    max_broadcast: int = MAX_BROADCAST_BYTES
 
     def __post_init__(self):
         check_k(self.k)

@@ -7,7 +7,7 @@ import pytest
 from mendseq.functions import ragged
 from mendseq.functions.columns import pack
 from mendseq.model import CorrectionParams
-from mendseq.operators.correct import _kernel, correct, take_back
+from mendseq.operators.correct import _kernel, chained_to, correct
 from mendseq.operators.membership import KmerSet, _replay, contains
 from tests import data
 from tests.brute import Brute
@@ -111,12 +111,13 @@ def test_quality_of_another_length_is_an_error():
         in_task([("ACGTACGTA", "II")], set(), CorrectionParams(5))
 
 
-def test_take_back_follows_chains():
-    change = np.array([-1, 0, -1, -1, 1, -1, -1, -1, -1, -1, 2, -2, 3])
+def test_undone_corrections_take_their_neighbours_along():
+    fixed = np.zeros(13, bool)
+    fixed[[1, 4, 10, 12]] = True
     over = np.zeros(13, bool)
     over[4] = True
-    assert np.flatnonzero(take_back(change, over, 4)).tolist() == [1, 4]
-    assert np.flatnonzero(take_back(change, over, 7)).tolist() == [1, 4, 10, 12]
+    assert chained_to(over, fixed, np.arange(13), 4).tolist() == [1, 4]
+    assert chained_to(over, fixed, np.arange(13), 7).tolist() == [1, 4, 10, 12]
 
 
 @pytest.mark.parametrize("k", [9, 33])
