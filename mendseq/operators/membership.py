@@ -26,12 +26,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from mendseq.functions import ragged
 from mendseq.model import KEYS, MAX_BROADCAST_BYTES, MAX_PACKED_K, kmer_type
-from mendseq.session import materialize
+from mendseq.session import materialize, new_table_path
 
 Question = tuple[np.ndarray, np.ndarray]
 Kernel = Callable[[pa.RecordBatch, np.ndarray], Generator[Question, np.ndarray, pa.RecordBatch]]
 
-# How many of the most frequent k-mers of a round are looked up once and
+# A round that asks for no more k-mers than this broadcasts the questions to the
+# set, and the answers back, instead of shuffling the set.
+SMALL_ROUND = 1_000_000
+
+# How many of the most frequent k-mers of a larger round are looked up once and
 # broadcast, instead of sending all their occurrences to one task each.
 HOT_KMERS = 512
 # Occurrences are counted for hot k-mers on one read in so many.
@@ -127,7 +131,8 @@ def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
         [T.StructField(f"out_{f.name}", f.dataType) for f in schema]
         + [T.StructField(f.name, f.dataType) for f in df.schema]
         + [T.StructField("answers", T.ArrayType(T.ArrayType(T.IntegerType()))),
-           T.StructField("asked", T.ArrayType(kmer_type(kmers.k)))])
+           T.StructField("asked", T.ArrayType(kmer_type(kmers.k))),
+           T.StructField("open", T.BooleanType())])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ragged.slices(batches):
@@ -142,7 +147,7 @@ def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
         fields = [(f"out_{name}", out[name]) for name in out.schema.names]
         fields += [(name, pa.nulls(n, batch[name].type)) for name in given]
         fields += [("answers", pa.nulls(n, batch["answers"].type)),
-                   ("asked", pa.nulls(n, asked_type))]
+                   ("asked", pa.nulls(n, asked_type)), ("open", pa.array(np.zeros(n, dtype=bool)))]
         return pa.RecordBatch.from_arrays([a for _, a in fields], names=[f for f, _ in fields])
 
     def _pending(questions: dict[int, np.ndarray], batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -154,32 +159,32 @@ def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
         fields = [(f"out_{f.name}", pa.nulls(len(rows), arrow_types[f.name])) for f in schema]
         fields += [(name, kept[name]) for name in given]
         fields += [("answers", kept["answers"]),
-                   ("asked", pa.ListArray.from_arrays(ends, values))]
+                   ("asked", pa.ListArray.from_arrays(ends, values)),
+                   ("open", pa.array(np.ones(len(rows), dtype=bool)))]
         return pa.RecordBatch.from_arrays([a for _, a in fields], names=[f for f, _ in fields])
 
     arrow_types = {f.name: f.type for f in to_arrow_schema(schema)}
     asked_type = pa.list_(pa.int64() if kmer_type(kmers.k) == T.LongType() else pa.string())
-    state = df.withColumn("answers", F.array().cast("array<array<int>>"))
-    finished = []
+    spark, folder = df.sparkSession, new_table_path(df.sparkSession, "rounds")
+    state, turn = df.withColumn("answers", F.array().cast("array<array<int>>")), 0
     while True:
-        stepped = materialize(state.mapInArrow(step, stepped_schema), "round")
-        finished.append(stepped.where(F.col("asked").isNull())
-                        .select(*[F.col(f"out_{f.name}").alias(f.name) for f in schema]))
-        pending = stepped.where(F.col("asked").isNotNull())
-        if pending.isEmpty():
+        path = f"{folder}/round={turn}"
+        state.mapInArrow(step, stepped_schema).write.parquet(path)
+        pending = spark.read.schema(stepped_schema).parquet(path).where("open")
+        size = pending.agg(F.count("*").alias("reads"), F.sum(F.size("asked")).alias("kmers")).first()
+        if not size.reads:
             break
-        found = found_slots(pending, kmers)
+        found = found_slots(pending, kmers, size.kmers)
         state = (pending.select(*given, "answers").join(found, KEYS, "left")
                  .withColumn("answers", F.concat(
                      "answers", F.array(F.coalesce("found", F.array().cast("array<int>")))))
                  .select(*given, "answers"))
-    out = finished[0]
-    for part in finished[1:]:
-        out = out.unionByName(part)
-    return out
+        turn += 1
+    return (spark.read.schema(stepped_schema).parquet(folder).where("not open")
+            .select(*[F.col(f"out_{f.name}").alias(f.name) for f in schema]))
 
 
-def found_slots(pending: DataFrame, kmers: KmerSet) -> DataFrame:
+def found_slots(pending: DataFrame, kmers: KmerSet, n_asked: int) -> DataFrame:
     """Which of the ``asked`` k-mers of every row are in the set, as positions.
 
     One k-mer may be asked by a large part of all reads (a homopolymer, an
@@ -188,6 +193,11 @@ def found_slots(pending: DataFrame, kmers: KmerSet) -> DataFrame:
     them meets in one task.
     """
     asked = pending.select(*KEYS, F.posexplode("asked").alias("slot", "kmer"))
+    if n_asked <= SMALL_ROUND:
+        wanted = F.broadcast(asked.select("kmer").distinct())
+        members = F.broadcast(kmers.df.join(wanted, "kmer", "left_semi"))
+        return (asked.join(members, "kmer", "left_semi")
+                .groupBy(*KEYS).agg(F.collect_list("slot").alias("found")))
     sampled = pending.where(F.pmod(F.xxhash64(*KEYS), F.lit(HOT_SAMPLE)) == 0)
     hot = (sampled.select(F.explode("asked").alias("kmer"))
            .groupBy("kmer").count()
