@@ -5,7 +5,7 @@ A *kernel* is a Python generator over one Arrow batch. It yields questions,
 output batch. The same kernel runs in two ways:
 
 * ``solve_in_task``: the set is small (its rows were counted), so every task holds
-  a sorted copy and answers in place. No shuffle.
+  a hash table of it and answers in place. No shuffle.
 * ``solve_by_join``: the set can have any size. A read stops at its first open
   question, the open questions of all reads are joined with the set, and the
   kernel is replayed with the answers found so far. Each round is a written
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from mendseq.functions import ragged
+from mendseq.functions.index import LetteredIndex, PackedIndex, build_index
 from mendseq.model import KEYS, MAX_BROADCAST_BYTES, MAX_PACKED_K, kmer_type
 from mendseq.session import materialize, new_table_path
 
@@ -61,17 +62,9 @@ class KmerSet:
         width = 8 if self.k <= MAX_PACKED_K else self.k
         return self.rows * width <= max_bytes
 
-    def sorted_array(self) -> np.ndarray:
+    def index(self) -> PackedIndex | LetteredIndex:
         """Only for a set within the broadcast bound."""
-        return np.sort(ragged.kmers_from_arrow(self.df.toArrow()["kmer"], self.k))
-
-
-def contains(index: np.ndarray, kmers: np.ndarray) -> np.ndarray:
-    if not len(index):
-        return np.zeros(len(kmers), dtype=bool)
-    at = np.searchsorted(index, kmers)
-    at[at == len(index)] = 0
-    return index[at] == kmers
+        return build_index(ragged.kmers_from_arrow(self.df.toArrow()["kmer"], self.k))
 
 
 def solve(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.StructType,
@@ -83,7 +76,7 @@ def solve(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.StructType,
 
 
 def solve_in_task(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.StructType) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(kmers.sorted_array())
+    shared = df.sparkSession.sparkContext.broadcast(kmers.index())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -96,7 +89,7 @@ def solve_in_task(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
                 except StopIteration as end:
                     yield end.value
                     break
-                answer = contains(index, asked)
+                answer = index.contains(asked)
 
     return df.mapInArrow(task, schema)
 

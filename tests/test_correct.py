@@ -6,9 +6,10 @@ import pytest
 
 from mendseq.functions import ragged
 from mendseq.functions.columns import pack
+from mendseq.functions.index import build_index
 from mendseq.model import CorrectionParams
 from mendseq.operators.correct import _kernel, chained_to, correct
-from mendseq.operators.membership import KmerSet, _replay, contains
+from mendseq.operators.membership import KmerSet, _replay
 from tests import data
 from tests.brute import Brute
 
@@ -17,7 +18,7 @@ COLUMNS = ["seq", "qual", "correction", "bad_prefix", "bad_suffix", "info"]
 
 def index_of(trusted, k):
     letters = ragged.from_arrow(pa.array(sorted(trusted), pa.string()))
-    return np.sort(ragged.read_windows(letters, k).kmer)
+    return build_index(ragged.read_windows(letters, k).kmer)
 
 
 def batch_of(reads):
@@ -36,7 +37,7 @@ def in_task(reads, trusted, params):
             _, asked = run.send(answer)
         except StopIteration as end:
             return [tuple(end.value[c][i].as_py() for c in COLUMNS) for i in range(len(reads))]
-        answer = contains(index, asked)
+        answer = index.contains(asked)
 
 
 def by_replay(reads, trusted, params):
@@ -49,7 +50,7 @@ def by_replay(reads, trusted, params):
         for row in out.to_pylist():
             done[row["read_idx"]] = tuple(row[c] for c in COLUMNS)
         for row, asked in questions.items():
-            answers[left[row]].append(np.flatnonzero(contains(index, asked)).tolist())
+            answers[left[row]].append(np.flatnonzero(index.contains(asked)).tolist())
         left = [left[row] for row in sorted(questions)]
     return [done[i] for i in range(len(reads))]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mendseq.functions import columns, ragged
 from mendseq.functions.binomial import binomial_cdf, thresholds
+from mendseq.functions.index import build_index
 from mendseq.functions.sampling import PRIME, coin, coin_limit, coin_sql
 from mendseq.model import kmer_type
 from mendseq.operators import kmersets
@@ -41,6 +42,14 @@ def test_canonical_is_the_same_for_both_strands(kmer):
     assert w.kmer[0] == w.kmer[1]
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.integers(0, 2**62 - 1)), st.lists(st.integers(0, 2**62 - 1)))
+def test_packed_index(members, others):
+    index = build_index(np.array(sorted(members), dtype=np.int64))
+    asked = np.array([*members, *others], dtype=np.int64)
+    assert index.contains(asked).tolist() == [int(a) in members for a in asked]
+
+
 def test_sliced_and_null_strings():
     array = pa.array(["AC", None, "GGT", "", "T"]).slice(1, 3)
     r = ragged.from_arrow(array)
