@@ -57,9 +57,14 @@ def adapt_to_errors(false_positive: float, max_corrections: int, cutoff: int) ->
     return max_corrections + 1, cutoff + 1 if cutoff else 0
 
 
+# Fixed values of the 64-bit mixing function.
+SEED_STEP = 0x9E3779B97F4A7C15
+MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
-    x = keys.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+    x = keys.astype(np.uint64) + np.uint64(seed * SEED_STEP % 2**64)
+    for shift, factor in zip((30, 27), MIX):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return x ^ (x >> np.uint64(31))
 

@@ -52,13 +52,11 @@ def quality_histogram(reads: DataFrame, n: int = QUALITY_READS) -> DataFrame:
     ends = leading_reads(reads, n).where(F.col("qual").isNotNull() & (F.length("seq") > 0)).select(
         F.ascii("qual").alias("first_score"),
         F.ascii(F.substring(F.col("qual"), F.length("seq"), F.lit(1))).alias("last_score"))
-    scores = (ends.groupBy("first_score", "last_score").count()
-              .select("count", F.explode(F.array(
-                  F.struct(F.col("first_score").alias("score"), F.lit(1).alias("is_first")),
-                  F.struct(F.col("last_score").alias("score"), F.lit(0).alias("is_first")))).alias("e")))
+    scores = ends.select(F.explode(F.array(
+        F.struct(F.col("first_score").alias("score"), F.lit(1).alias("is_first")),
+        F.struct(F.col("last_score").alias("score"), F.lit(0).alias("is_first")))).alias("e"))
     return scores.groupBy("e.score").agg(
-        F.sum(F.col("count") * F.col("e.is_first")).alias("n_first"),
-        F.sum(F.col("count") * (1 - F.col("e.is_first"))).alias("n_last"))
+        F.sum("e.is_first").alias("n_first"), F.sum(1 - F.col("e.is_first")).alias("n_last"))
 
 
 def _percentiles(histogram: DataFrame, share: float) -> DataFrame:
@@ -76,7 +74,8 @@ def _percentiles(histogram: DataFrame, share: float) -> DataFrame:
 
 
 def _leading_file_has_quality(reads: DataFrame) -> DataFrame:
-    return reads.agg(F.min_by(F.col("qual").isNotNull(), F.struct("file_ind", "read_idx"))
+    head = reads.where(F.col("read_idx") < QUALITY_READS)
+    return head.agg(F.min_by(F.col("qual").isNotNull(), F.struct("file_ind", "read_idx"))
                      .alias("has_quality")).withColumn("one", F.lit(1))
 
 

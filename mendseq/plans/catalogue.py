@@ -227,17 +227,19 @@ def bloom_membership(w):
     size = _bloom_sizes(w)["b"]
     blocks = bloom.bloom_blocks(w.trusted.df, size, w.k)
     maybe = bloom.probe(kmersets.all_kmers(w.reads, w.k), blocks, size)
-    return (maybe.join(w.trusted.df.withColumn("in_b", F.lit(True)), "kmer", "left")
-            .agg(F.count_if(F.col("in_b")).alias("n_members"),
-                 F.count_if(F.col("in_b") & ~F.col("maybe")).alias("n_missed"),
-                 (F.count_if(F.col("in_b").isNull() & F.col("maybe"))
-                  <= 0.01 * F.count("*")).alias("few_false")))
+    marked = maybe.join(w.trusted.df.withColumn("in_b", F.lit(True)), "kmer", "left")
+    return marked.agg(
+        F.count_if("in_b").alias("n_members"),
+        F.count_if(F.col("in_b") & ~F.col("maybe")).alias("n_missed"),
+        F.count_if(F.col("in_b").isNull() & F.col("maybe")).alias("n_false"))
 
 
 @query
 def bloom_occupancy(w):
     size = _bloom_sizes(w)["a"]
-    return bloom.occupancy(bloom.bloom_blocks(w.sampled.df, size, w.k), size)
+    filled = bloom.occupancy(bloom.bloom_blocks(w.sampled.df, size, w.k), size)
+    return filled.select(F.round("occupancy", 9).alias("occupancy"),
+                         F.round("false_positive", 9).alias("false_positive"))
 
 
 @query

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+
 from mendseq.functions.sampling import PRIME, coin_sql
+from mendseq.operators.bloom import MIX, SEED_STEP
 from mendseq.plans.correction_oracle import correction
 from mendseq.plans.workspace import DEFAULT_K
 
@@ -197,6 +199,26 @@ costs as (select name, h, cast(floor({GENOME}*1.5) as bigint) as capacity,
 sizes as (select name, capacity, h, bits from costs qualify row_number() over (partition by name order by bits, h) = 1)"""
 
 
+def bloom_bits(name: str, source: str, p: str) -> list[str]:
+    """(kmer, bit): all bits of each k-mer of ``source`` in the filter called ``name``."""
+    wrap = 2**64
+
+    def times(x: str, factor: int) -> str:
+        return f"cast(cast({x} as uhugeint) * cast({factor} as uhugeint) % cast({wrap} as uhugeint) as ubigint)"
+
+    codes = " + ".join(f"cast(strpos('ACGT', substr(kmer, {i + 1}, 1)) - 1 as bigint)*{4 ** (K - 1 - i)}" for i in range(K))
+    return [f"""
+{p}_0 as (select kmer, seed, cast((cast({codes} as uhugeint) + cast(seed as uhugeint)*cast({SEED_STEP} as uhugeint))
+    % cast({wrap} as uhugeint) as ubigint) as x
+  from (select kmer, unnest(range(1, 2 + (select h from sizes where name = '{name}'))) as seed from {source})),
+{p}_1 as (select kmer, seed, {times('xor(x, x >> 30)', MIX[0])} as x from {p}_0),
+{p}_2 as (select kmer, seed, {times('xor(x, x >> 27)', MIX[1])} as x from {p}_1),
+{p}_3 as materialized (select kmer, seed, xor(x, x >> 31) as x from {p}_2),
+{p}_bits as materialized (select distinct s.kmer, b.x % (
+    select cast(floor(ceil(floor(bits)/8)*8/256) as ubigint) from sizes where name = '{name}')*256 + s.x % 256 as bit
+  from {p}_3 s join {p}_3 b on b.kmer = s.kmer and b.seed = 1 where s.seed > 1)"""]
+
+
 def oracles() -> dict[str, str]:
     solid_pass = [*PASS2, SOLID]
     noisy_pass = [*PASS2, NOISY, NOISY_WINDOWS]
@@ -282,8 +304,18 @@ fps as (select load, power(1 - exp(-h*load*(select count(*) from a)/(ceil(floor(
 select load, case when fp > 0.1 then 5 else 4 end as max_corrections,
   case when fp > 0.1 and cutoff > 0 then cutoff + 1 else cutoff end as cutoff, round(fp, 9) as fp
 from fps, cut"""),
-        "bloom_membership": sql(PASS2, """
-select count(*) as n_members, cast(0 as bigint) as n_missed, true as few_false from b_set"""),
+        "bloom_membership": sql([*PASS2, bloom_sizes(GENOME), *bloom_bits("b", "b_set", "f"), """
+everything as (select distinct kmer from windows where is_valid)""", *bloom_bits("b", "everything", "e"), """
+filled as (select distinct bit from f_bits),
+maybe as (select e.kmer, count(*) = count(f.bit) as maybe from e_bits e left join filled f on f.bit = e.bit group by e.kmer),
+marked as (select maybe, maybe.kmer in (select kmer from b_set) as in_b from maybe)"""], """
+select count(*) filter (in_b) as n_members, count(*) filter (in_b and not maybe) as n_missed,
+  count(*) filter (not in_b and maybe) as n_false from marked"""),
+        "bloom_occupancy": sql([*PASS1, bloom_sizes(GENOME), *bloom_bits("a", "a", "f"), """
+blocks as (select bit // 256 as block, count(distinct bit) as n from f_bits group by bit // 256),
+total as (select floor(ceil(floor(bits)/8)*8/256) as n_blocks, h from sizes where name = 'a')"""], """
+select round(sum(n)/(any_value(n_blocks)*256), 9) as occupancy,
+  round(sum(power(n/256.0, h))/any_value(n_blocks), 9) as false_positive from blocks, total"""),
         "fastx_roundtrip": sql([READS], """
 select file_ind, row_number() over (order by read_idx) - 1 as read_idx, id, seq, qual from reads"""),
         "documents_kmers": f"""
