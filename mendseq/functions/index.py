@@ -8,6 +8,11 @@ EMPTY = -1
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def spread_codes(kmers: np.ndarray) -> np.ndarray:
+    """Non-negative numbers in another order than the k-mers, one for each."""
+    return ((kmers.view(np.uint64) * SPREAD) >> np.uint64(1)).astype(np.int64)
+
+
 class PackedIndex:
     """Packed k-mers in an open hash table, at most half full."""
 

@@ -61,13 +61,14 @@ def to_arrow(flat: np.ndarray, length: np.ndarray, null: np.ndarray | None = Non
     return text
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "seq") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose sequences are not more than MAX_BASES long."""
+def slices(batches: Iterator[pa.RecordBatch], max_bases: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with no more than about ``max_bases`` bases."""
+    limit = max_bases or MAX_BASES
     for batch in batches:
         if not batch.num_rows:
             continue
-        total = np.cumsum(from_arrow(batch[column]).length)
-        edges = np.flatnonzero(np.diff(total // MAX_BASES)) + 1
+        total = np.cumsum(from_arrow(batch["seq"]).length)
+        edges = np.flatnonzero(np.diff(total // limit)) + 1
         for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
             yield batch.slice(begin, end - begin)
 
@@ -157,6 +158,10 @@ def read_windows(seq: Ragged, k: int) -> Windows:
     return Windows(row, pos, kmer[at], valid[at], count)
 
 
+def no_kmers(k: int) -> np.ndarray:
+    return np.zeros(0, dtype=_kmer_dtype(k))
+
+
 def kmers_to_arrow(kmers: np.ndarray) -> pa.Array:
     if kmers.dtype.kind == "S":
         return pa.array(kmers.astype(f"U{kmers.dtype.itemsize}"), type=pa.string())

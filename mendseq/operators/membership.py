@@ -6,10 +6,11 @@ output batch. The same kernel runs in two ways:
 
 * ``solve_in_task``: the set is small (its rows were counted), so every task holds
   a hash table of it and answers in place. No shuffle.
-* ``solve_by_join``: the set can have any size. A read stops at its first open
-  question, the open questions of all reads are joined with the set, and the
-  kernel is replayed with the answers found so far. Each round is a written
-  table, so a lost executor costs one round at most.
+* ``solve_by_join``: the set can have any size. Reads that share k-mers are put
+  into the same group of bounded size; a group asks for each k-mer once, however
+  many of its reads need it, and the questions of all groups are joined with the
+  set. A read stops at its first open question and is run again with the answers.
+  Each round is a written table, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -19,30 +20,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from mendseq.functions import ragged
-from mendseq.functions.index import LetteredIndex, PackedIndex, build_index
+from mendseq.functions.index import LetteredIndex, PackedIndex, build_index, spread_codes
 from mendseq.model import KEYS, MAX_BROADCAST_BYTES, MAX_PACKED_K, kmer_type
 from mendseq.session import materialize, new_table_path
 
 Question = tuple[np.ndarray, np.ndarray]
 Kernel = Callable[[pa.RecordBatch, np.ndarray], Generator[Question, np.ndarray, pa.RecordBatch]]
 
+# Bases in one group of reads that ask together.
+GROUP_BASES = 1_000_000
+
 # A round that asks for no more k-mers than this broadcasts the questions to the
 # set, and the answers back, instead of shuffling the set.
 SMALL_ROUND = 1_000_000
 
-# How many of the most frequent k-mers of a larger round are looked up once and
-# broadcast, instead of sending all their occurrences to one task each.
-HOT_KMERS = 512
-# Occurrences are counted for hot k-mers on one read in so many.
-HOT_SAMPLE = 64
-# A k-mer below this sampled count cannot slow a task down noticeably.
-HOT_MIN_COUNT = 1_000
+FINISHED, PENDING, ASKING = range(3)
 
 
 @dataclass
@@ -94,117 +93,150 @@ def solve_in_task(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
     return df.mapInArrow(task, schema)
 
 
-def _replay(batch: pa.RecordBatch, kernel: Kernel, answers: list[list[list[int]]]):
-    """Run ``kernel`` as far as the stored answers go; return output and questions."""
+class Known:
+    """Answers a group of reads already has."""
+
+    def __init__(self, yes: np.ndarray, no: np.ndarray):
+        kmers = np.concatenate([yes, no])
+        order = np.argsort(kmers)
+        self.kmers, self.member = kmers[order], (np.arange(len(kmers)) < len(yes))[order]
+
+    def look_up(self, kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each k-mer is known, and is a member."""
+        if not len(self.kmers):
+            none = np.zeros(len(kmers), dtype=bool)
+            return none, none
+        at = np.searchsorted(self.kmers, kmers)
+        at[at == len(self.kmers)] = 0
+        known = self.kmers[at] == kmers
+        return known, known & self.member[at]
+
+
+def run_known(batch: pa.RecordBatch, kernel: Kernel, known: Known):
+    """Run ``kernel`` as far as the known answers go.
+
+    Returns its output for the reads that finish, which reads do not, the known
+    k-mers those depend on (members and others), and those they have to ask for.
+    """
     alive = np.ones(batch.num_rows, dtype=bool)
-    next_answer = np.zeros(batch.num_rows, dtype=np.int64)
-    open_questions: dict[int, np.ndarray] = {}
+    history: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     run, answer = kernel(batch, alive), None
     while True:
         try:
             rows, asked = run.send(answer)
         except StopIteration as end:
-            return end.value, open_questions
-        answer = np.zeros(len(asked), dtype=bool)
-        order = np.argsort(rows, kind="stable")
-        asking, first = np.unique(rows[order], return_index=True)
-        for row, mine in zip(asking.tolist(), np.split(order, first[1:])):
-            turn = next_answer[row]
-            if turn < len(answers[row]):
-                answer[mine[answers[row][turn]]] = True
-                next_answer[row] += 1
-            else:
-                alive[row] = False
-                open_questions[row] = asked[mine]
+            out = end.value
+            break
+        is_known, answer = known.look_up(asked)
+        alive[rows[~is_known]] = False
+        history.append((rows, asked, is_known, answer))
+    rows, asked, is_known, member = (
+        (np.concatenate(v) for v in zip(*history)) if history else (np.zeros(0, np.int64),) * 4)
+    waits = ~alive[rows]
+    is_known, member = is_known.astype(bool), member.astype(bool)
+    return out, ~alive, (asked[waits & member], asked[waits & is_known & ~member], asked[waits & ~is_known])
+
+
+class _Round:
+    """The rows a round writes: finished output, reads that wait, and what a group asks."""
+
+    def __init__(self, given: T.StructType, schema: T.StructType, k: int):
+        kmers = T.ArrayType(kmer_type(k))
+        self.given, self.out, self.k = given.names, schema.names, k
+        self.schema = T.StructType(
+            [T.StructField("kind", T.IntegerType()), T.StructField("group_id", T.LongType())]
+            + [T.StructField(f"out_{f.name}", f.dataType) for f in schema]
+            + [T.StructField(f"in_{f.name}", f.dataType) for f in given]
+            + [T.StructField(name, kmers) for name in ("yes", "no", "asked")])
+        self.types = to_arrow_schema(self.schema)
+
+    def _rows(self, n: int, kind: int, group: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        columns = {"kind": pa.array(np.full(n, kind, np.int32)), "group_id": pa.array(np.full(n, group)), **columns}
+        return pa.RecordBatch.from_arrays(
+            [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in self.types],
+            schema=self.types)
+
+    def step(self, group: int, reads: pa.RecordBatch, kernel: Kernel, known: Known) -> Iterator[pa.RecordBatch]:
+        out, waits, depends = run_known(reads, kernel, known)
+        yield self._rows(out.num_rows, FINISHED, group, {f"out_{n}": out[n] for n in self.out})
+        if waits.any():
+            kept = reads.take(pa.array(np.flatnonzero(waits)))
+            yield self._rows(kept.num_rows, PENDING, group, {f"in_{n}": kept[n] for n in self.given})
+            yield self._rows(1, ASKING, group, {
+                name: pa.ListArray.from_arrays(pa.array([0, len(kmers)], pa.int32()), ragged.kmers_to_arrow(kmers))
+                for name, kmers in zip(("yes", "no", "asked"), map(np.unique, depends))})
+
+
+def _nearness(df: DataFrame, k: int) -> DataFrame:
+    """Adds ``near``: reads that overlap often have the same least k-mer."""
+    size = min(k, MAX_PACKED_K)
+    schema = T.StructType([*df.schema, T.StructField("near", T.LongType())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in ragged.slices(batches):
+            w = ragged.read_windows(ragged.from_arrow(batch["seq"]), size)
+            near = np.full(batch.num_rows, np.iinfo(np.int64).max)
+            np.minimum.at(near, w.row[w.valid], spread_codes(w.kmer[w.valid]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], names=schema.names)
+
+    return df.mapInArrow(task, schema)
 
 
 def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.StructType) -> DataFrame:
-    given = df.columns
-    stepped_schema = T.StructType(
-        [T.StructField(f"out_{f.name}", f.dataType) for f in schema]
-        + [T.StructField(f.name, f.dataType) for f in df.schema]
-        + [T.StructField("answers", T.ArrayType(T.ArrayType(T.IntegerType()))),
-           T.StructField("asked", T.ArrayType(kmer_type(kmers.k))),
-           T.StructField("open", T.BooleanType())])
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ragged.slices(batches):
-            answers = batch["answers"].to_pylist()
-            out, questions = _replay(batch.select(given), kernel, answers)
-            yield _finished(out, batch)
-            if questions:
-                yield _pending(questions, batch)
-
-    def _finished(out: pa.RecordBatch, batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = out.num_rows
-        fields = [(f"out_{name}", out[name]) for name in out.schema.names]
-        fields += [(name, pa.nulls(n, batch[name].type)) for name in given]
-        fields += [("answers", pa.nulls(n, batch["answers"].type)),
-                   ("asked", pa.nulls(n, asked_type)), ("open", pa.array(np.zeros(n, dtype=bool)))]
-        return pa.RecordBatch.from_arrays([a for _, a in fields], names=[f for f, _ in fields])
-
-    def _pending(questions: dict[int, np.ndarray], batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = sorted(questions)
-        kept = batch.take(pa.array(rows))
-        sizes = [len(questions[r]) for r in rows]
-        values = ragged.kmers_to_arrow(np.concatenate([questions[r] for r in rows]))
-        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        fields = [(f"out_{f.name}", pa.nulls(len(rows), arrow_types[f.name])) for f in schema]
-        fields += [(name, kept[name]) for name in given]
-        fields += [("answers", kept["answers"]),
-                   ("asked", pa.ListArray.from_arrays(ends, values)),
-                   ("open", pa.array(np.ones(len(rows), dtype=bool)))]
-        return pa.RecordBatch.from_arrays([a for _, a in fields], names=[f for f, _ in fields])
-
-    arrow_types = {f.name: f.type for f in to_arrow_schema(schema)}
-    asked_type = pa.list_(pa.int64() if kmer_type(kmers.k) == T.LongType() else pa.string())
-    spark, folder = df.sparkSession, new_table_path(df.sparkSession, "rounds")
-    state, turn = df.withColumn("answers", F.array().cast("array<array<int>>")), 0
+    spark, k, rounds = df.sparkSession, kmers.k, _Round(df.schema, schema, kmers.k)
+    folder = new_table_path(spark, "rounds")
+
+    def of_kind(path: str, kind: int) -> DataFrame:
+        return spark.read.schema(rounds.schema).parquet(path).where(F.col("kind") == kind)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = TaskContext.get().partitionId() << 32
+        nothing = Known(*[ragged.no_kmers(k)] * 2)
+        for batch in ragged.slices(batches, max_bases=GROUP_BASES):
+            yield from rounds.step(group, batch.select(rounds.given), kernel, nothing)
+            group += 1
+
+    def again(key: tuple, waiting: pa.Table, asking: pa.Table) -> pa.Table:
+        reads = waiting.select([f"in_{n}" for n in rounds.given]).rename_columns(rounds.given)
+        yes, no, asked, found = (
+            ragged.kmers_from_arrow(asking[name].combine_chunks().flatten(), k)
+            for name in ("yes", "no", "asked", "found"))
+        known = Known(np.concatenate([yes, found]), np.concatenate([no, np.setdiff1d(asked, found)]))
+        batch = reads.combine_chunks().to_batches()[0]
+        return pa.Table.from_batches(list(rounds.step(key[0].as_py(), batch, kernel, known)))
+
+    # Ordered by the least k-mer, then spread: a k-mer shared by very many reads does
+    # not bring them all into one partition.
+    ordered = _nearness(df, k).repartitionByRange("near", F.xxhash64(*KEYS)).sortWithinPartitions("near")
+    turn, output = 0, ordered.mapInArrow(first, rounds.schema)
     while True:
         path = f"{folder}/round={turn}"
-        state.mapInArrow(step, stepped_schema).write.parquet(path)
-        pending = spark.read.schema(stepped_schema).parquet(path).where("open")
-        size = pending.agg(F.count("*").alias("reads"), F.sum(F.size("asked")).alias("kmers")).first()
-        if not size.reads:
+        output.write.parquet(path)
+        asking = of_kind(path, ASKING).select("group_id", "yes", "no", "asked")
+        n_asked = asking.agg(F.sum(F.size("asked"))).first()[0]
+        if not n_asked:
             break
-        found = found_slots(pending, kmers, size.kmers)
-        state = (pending.select(*given, "answers").join(found, KEYS, "left")
-                 .withColumn("answers", F.concat(
-                     "answers", F.array(F.coalesce("found", F.array().cast("array<int>")))))
-                 .select(*given, "answers"))
+        found = found_kmers(asking, kmers, n_asked)
+        answered = asking.join(found, "group_id", "left").withColumn(
+            "found", F.coalesce("found", F.array().cast(T.ArrayType(kmer_type(k)))))
+        waiting = of_kind(path, PENDING).select("group_id", *[f"in_{n}" for n in rounds.given])
+        output = (waiting.groupBy("group_id").cogroup(answered.groupBy("group_id"))
+                  .applyInArrow(again, rounds.schema))
         turn += 1
-    return (spark.read.schema(stepped_schema).parquet(folder).where("not open")
-            .select(*[F.col(f"out_{f.name}").alias(f.name) for f in schema]))
+    return (of_kind(folder, FINISHED)
+            .select(*[F.col(f"out_{name}").alias(name) for name in schema.names]))
 
 
-def found_slots(pending: DataFrame, kmers: KmerSet, n_asked: int) -> DataFrame:
-    """Which of the ``asked`` k-mers of every row are in the set, as positions.
+def found_kmers(asking: DataFrame, kmers: KmerSet, n_asked: int) -> DataFrame:
+    """Which of the k-mers each group asks for are in the set.
 
-    One k-mer may be asked by a large part of all reads (a homopolymer, an
-    adapter). The most frequent ones are looked up once and broadcast - never more
-    than HOT_KMERS rows - and their occurrences get spread keys, so that none of
-    them meets in one task.
+    A group asks for a k-mer once, so even one that every read contains appears no
+    more often than there are groups.
     """
-    asked = pending.select(*KEYS, F.posexplode("asked").alias("slot", "kmer"))
+    asked = asking.select("group_id", F.explode("asked").alias("kmer"))
+    members = kmers.df
     if n_asked <= SMALL_ROUND:
         wanted = F.broadcast(asked.select("kmer").distinct())
-        members = F.broadcast(kmers.df.join(wanted, "kmer", "left_semi"))
-        return (asked.join(members, "kmer", "left_semi")
-                .groupBy(*KEYS).agg(F.collect_list("slot").alias("found")))
-    sampled = pending.where(F.pmod(F.xxhash64(*KEYS), F.lit(HOT_SAMPLE)) == 0)
-    hot = (sampled.select(F.explode("asked").alias("kmer"))
-           .groupBy("kmer").count()
-           .where(F.col("count") >= HOT_MIN_COUNT)
-           .orderBy(F.desc("count"), "kmer").limit(HOT_KMERS).select("kmer"))
-    members = kmers.df.join(F.broadcast(hot), "kmer", "left_semi").withColumn("is_member", F.lit(True))
-    hot = hot.join(members, "kmer", "left").select(
-        "kmer", F.coalesce("is_member", F.lit(False)).alias("hot_member"))
-    spread_key = -1 - F.pmod(F.xxhash64(*KEYS, "slot"), F.lit(1 << 40))
-    key_type = kmer_type(kmers.k)
-    asked = (asked.join(F.broadcast(hot), "kmer", "left")
-             .withColumn("probe", F.when(F.col("hot_member").isNull(), F.col("kmer"))
-                         .otherwise(spread_key.cast(key_type))))
-    members = kmers.df.select(F.col("kmer").alias("probe"), F.lit(True).alias("cold_member"))
-    return (asked.join(members, "probe", "left")
-            .where(F.coalesce("hot_member", "cold_member", F.lit(False)))
-            .groupBy(*KEYS).agg(F.collect_list("slot").alias("found")))
+        members = F.broadcast(members.join(wanted, "kmer", "left_semi"))
+    return (asked.join(members, "kmer", "left_semi")
+            .groupBy("group_id").agg(F.collect_list("kmer").alias("found")))

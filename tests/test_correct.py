@@ -9,7 +9,7 @@ from mendseq.functions.columns import pack
 from mendseq.functions.index import build_index
 from mendseq.model import CorrectionParams
 from mendseq.operators.correct import _kernel, chained_to, correct
-from mendseq.operators.membership import KmerSet, _replay
+from mendseq.operators.membership import KmerSet, Known, run_known
 from tests import data
 from tests.brute import Brute
 
@@ -40,18 +40,17 @@ def in_task(reads, trusted, params):
         answer = index.contains(asked)
 
 
-def by_replay(reads, trusted, params):
-    """The rounds of the join mode, with the join done here."""
-    index, batch = index_of(trusted, params.k), batch_of(reads)
-    answers, done = [[] for _ in reads], {}
-    left = list(range(len(reads)))
-    while left:
-        out, questions = _replay(batch.take(pa.array(left)), _kernel(params), [answers[i] for i in left])
+def in_rounds(reads, trusted, params):
+    """The rounds of the join mode for one group of reads, with the join done here."""
+    index, waiting, done = index_of(trusted, params.k), batch_of(reads), {}
+    yes = no = ragged.no_kmers(params.k)
+    while waiting.num_rows:
+        out, waits, (yes, no, asked) = run_known(waiting, _kernel(params), Known(yes, no))
         for row in out.to_pylist():
             done[row["read_idx"]] = tuple(row[c] for c in COLUMNS)
-        for row, asked in questions.items():
-            answers[left[row]].append(np.flatnonzero(index.contains(asked)).tolist())
-        left = [left[row] for row in sorted(questions)]
+        hit = index.contains(asked)
+        yes, no = (np.unique(np.concatenate(v)) for v in ((yes, asked[hit]), (no, asked[~hit])))
+        waiting = waiting.take(pa.array(np.flatnonzero(waits)))
     return [done[i] for i in range(len(reads))]
 
 
@@ -68,7 +67,7 @@ def test_matches_plain_corrector(seed):
     expected = [plain(*r) for r in reads]
     params = CorrectionParams(k, **options)
     assert in_task(reads, trusted, params) == expected
-    assert by_replay(reads[:150], trusted, params) == expected[:150]
+    assert in_rounds(reads[:150], trusted, params) == expected[:150]
 
 
 @pytest.mark.parametrize("k", [32, 33, 40])

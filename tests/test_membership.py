@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from mendseq.operators import membership
 from mendseq.operators.kmersets import window_hits
@@ -9,11 +8,10 @@ READS = "file_ind int, read_idx bigint, seq string"
 
 
 @pytest.mark.parametrize("small_round", [1_000_000, 0])
-def test_a_hot_kmer_is_looked_up_once(spark, monkeypatch, small_round):
+def test_a_kmer_most_reads_share(spark, monkeypatch, small_round):
     """Nearly all windows are the same k-mer, in the set or not."""
     monkeypatch.setattr(membership, "SMALL_ROUND", small_round)
-    monkeypatch.setattr(membership, "HOT_SAMPLE", 2)
-    monkeypatch.setattr(membership, "HOT_MIN_COUNT", 20)
+    monkeypatch.setattr(membership, "GROUP_BASES", 300)
     reads = [(0, i, "A" * 20 if i % 3 else "ACGTTGCACC") for i in range(200)]
     reads += [(0, 200 + i, "C" * 12) for i in range(100)]
     df = spark.createDataFrame(reads, READS).repartition(4)
@@ -35,9 +33,9 @@ def test_the_broadcast_bound_counts_bytes(spark):
     assert letters.fits(50_000) and not letters.fits(49_999)
 
 
-def test_found_slots_without_any_hit(spark):
-    df = spark.createDataFrame([(0, 1, [5, 6]), (0, 2, [7])], "file_ind int, read_idx bigint, asked array<bigint>")
+def test_found_kmers(spark):
+    df = spark.createDataFrame([(1, [5, 6]), (2, [7]), (3, [6])], "group_id bigint, asked array<bigint>")
     kmers = KmerSet.store(spark.createDataFrame([(6,)], "kmer bigint"), 8)
-    for n in (3, membership.SMALL_ROUND + 1):
-        rows = membership.found_slots(df, kmers, n).select("read_idx", F.sort_array("found")).collect()
-        assert [tuple(r) for r in rows] == [(1, [1])]
+    for n in (4, membership.SMALL_ROUND + 1):
+        rows = membership.found_kmers(df, kmers, n).orderBy("group_id").collect()
+        assert [tuple(r) for r in rows] == [(1, [6]), (3, [6])]
