@@ -30,7 +30,7 @@ def longest_run(hit: np.ndarray) -> np.ndarray:
 
 
 def find_anchors(k: int, codes: Ragged, qual: Ragged, owner: np.ndarray, alive: np.ndarray,
-                 rows: np.ndarray) -> Generator:
+                 rows: np.ndarray, eager: bool) -> Generator:
     """For each of ``rows`` its best change; returns arrays over the rows that have one.
 
     (row, position, base, hits) where hits[:, j] tells whether window
@@ -40,14 +40,14 @@ def find_anchors(k: int, codes: Ragged, qual: Ragged, owner: np.ndarray, alive:
     parts = []
     for part in np.split(rows, np.flatnonzero(np.diff(weight // CHUNK_CELLS)) + 1):
         if len(part):
-            parts.append((yield from _find(k, codes, qual, owner, alive, part)))
+            parts.append((yield from _find(k, codes, qual, owner, alive, part, eager)))
     if not parts:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, np.zeros((0, k), dtype=bool)
     return tuple(np.concatenate(v) for v in zip(*parts))
 
 
-def _find(k, codes, qual, owner, alive, rows) -> Generator:
+def _find(k, codes, qual, owner, alive, rows, eager) -> Generator:
     length = codes.length[rows]
     row = np.repeat(rows, length * 4)
     cell = within(length * 4)
@@ -69,7 +69,8 @@ def _find(k, codes, qual, owner, alive, rows) -> Generator:
     promising[asked[hit]] = True
     promising &= alive[owner[row]]
 
-    row, pos, base = row[promising], pos[promising], base[promising]
+    if not eager:
+        row, pos, base, promising = (v[promising] for v in (row, pos, base, promising))
     offset = pos[:, None] + np.arange(1 - k, k)
     inside = (offset >= 0) & (offset < codes.length[row][:, None])
     at = codes.start[row][:, None] + np.where(inside, offset, 0)
@@ -80,7 +81,7 @@ def _find(k, codes, qual, owner, alive, rows) -> Generator:
     candidate, window = np.nonzero(usable)
     if len(candidate):
         hits[candidate, window] = yield owner[row[candidate]], kmer[candidate, window]
-        hits &= alive[owner[row]][:, None]
+        hits &= (promising & alive[owner[row]])[:, None]
 
     score = longest_run(hits)
     scored = np.flatnonzero(score > 0)

@@ -49,14 +49,14 @@ def correct(reads: DataFrame, trusted: KmerSet, params: CorrectionParams,
 
 
 def _kernel(params: CorrectionParams):
-    def kernel(batch: pa.RecordBatch, alive: np.ndarray):
+    def kernel(batch: pa.RecordBatch, alive: np.ndarray, eager: bool):
         seq, qual = ragged.from_arrow(batch["seq"]), ragged.from_arrow(batch["qual"])
         present = qual.length > 0
         if (qual.length[present] != seq.length[present]).any():
             raise ValueError("a read has a quality string of another length than its sequence")
         seq, qual = Ragged(seq.flat.copy(), seq.start, seq.length), Ragged(
             qual.flat.copy(), qual.start, qual.length)
-        out = yield from _correct_batch(seq, qual, alive, params)
+        out = yield from _correct_batch(seq, qual, alive, eager, params)
         return _output(batch, seq, qual, out, alive, params)
 
     return kernel
@@ -86,10 +86,11 @@ def _rebuilt(text: Ragged, cut: np.ndarray, alive: np.ndarray, null: np.ndarray
                            None if null is None else null[alive])
 
 
-def _correct_batch(seq: Ragged, qual: Ragged, alive: np.ndarray, params: CorrectionParams) -> Generator:
+def _correct_batch(seq: Ragged, qual: Ragged, alive: np.ndarray, eager: bool,
+                   params: CorrectionParams) -> Generator:
     """Correct all reads once, then the long ends that stayed bad once more."""
     rows = np.arange(seq.rows)
-    out = yield from _repair(seq, qual, rows, alive, params)
+    out = yield from _repair(seq, qual, rows, alive, eager, params)
     long_end = np.minimum(seq.length // 2, 2 * params.k)
     going = alive & (out.correction >= 0)
     prefix = np.flatnonzero(going & (out.bad_prefix > long_end))
@@ -103,7 +104,7 @@ def _correct_batch(seq: Ragged, qual: Ragged, alive: np.ndarray, params: Correct
     scored = qual.length[again] > 0
     part, cells = _cut(seq, again, skip, size)
     part_qual, qual_cells = _cut(qual, again, np.where(scored, skip, 0), np.where(scored, size, 0))
-    more = yield from _repair(part, part_qual, again, alive, params)
+    more = yield from _repair(part, part_qual, again, alive, eager, params)
     seq.flat[cells], qual.flat[qual_cells] = part.flat, part_qual.flat
     fixed = more.correction >= 0
     left_over = np.zeros(seq.rows, dtype=np.int64)
@@ -124,7 +125,7 @@ def _cut(text: Ragged, rows: np.ndarray, skip: np.ndarray, size: np.ndarray):
     return Ragged(text.flat[cells], np.cumsum(size) - size, size), cells
 
 
-def _repair(seq: Ragged, qual: Ragged, owner: np.ndarray, alive: np.ndarray,
+def _repair(seq: Ragged, qual: Ragged, owner: np.ndarray, alive: np.ndarray, eager: bool,
             params: CorrectionParams) -> Generator:
     """One correction of every row of ``seq``, changing its bases in place."""
     k, out = params.k, Outcome(seq.rows)
@@ -136,7 +137,7 @@ def _repair(seq: Ragged, qual: Ragged, owner: np.ndarray, alive: np.ndarray,
     trusted = _trusted_bases(seq, w, solid, k)
 
     lost = np.flatnonzero((w.count > 0) & (n_solid == 0) & alive[owner])
-    changed, pos, base, hits = yield from find_anchors(k, codes, qual, owner, alive, lost)
+    changed, pos, base, hits = yield from find_anchors(k, codes, qual, owner, alive, lost, eager)
     out.correction[lost] = -1
     out.info[lost] = INFO_LOW_COVERAGE
     out.correction[changed] = 0
@@ -161,7 +162,7 @@ def _repair(seq: Ragged, qual: Ragged, owner: np.ndarray, alive: np.ndarray,
     right = first + size < w.count[row]
     left = first > 0
     lanes = Lanes(
-        k, codes, owner, alive,
+        k, codes, owner, alive, eager,
         row=np.concatenate([row[right], row[left]]),
         side=np.repeat([RIGHT, LEFT], [right.sum(), left.sum()]),
         gap=np.concatenate([(first + size)[right], (w.count[row] - first)[left]]),

@@ -95,7 +95,7 @@ class Coverage:
 def _coverage_kernel(k: int, table: list[int], cutoff: int, output):
     table = np.asarray(table)
 
-    def kernel(batch: pa.RecordBatch, alive: np.ndarray):
+    def kernel(batch: pa.RecordBatch, alive: np.ndarray, eager: bool):
         seq, qual = ragged.from_arrow(batch["seq"]), ragged.from_arrow(batch["qual"])
         w = ragged.read_windows(seq, k)
         hit = w.valid.copy()
@@ -158,7 +158,7 @@ def window_hits(reads: DataFrame, kmers: KmerSet,
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), values)
 
-    def kernel(batch: pa.RecordBatch, alive: np.ndarray):
+    def kernel(batch: pa.RecordBatch, alive: np.ndarray, eager: bool):
         w = ragged.read_windows(ragged.from_arrow(batch["seq"]), k)
         hit = w.valid.copy()
         hit[w.valid] = yield w.row[w.valid], w.kmer[w.valid]

@@ -21,11 +21,11 @@ UNFIXED, AMBIGUOUS = -1, -2
 
 
 class Lanes:
-    def __init__(self, k: int, codes: Ragged, owner: np.ndarray, alive: np.ndarray,
+    def __init__(self, k: int, codes: Ragged, owner: np.ndarray, alive: np.ndarray, eager: bool,
                  row: np.ndarray, side: np.ndarray, gap: np.ndarray, run: np.ndarray,
                  solid: np.ndarray, window_first: np.ndarray):
         """``gap`` is the first untrusted window beyond the run, ``run`` its size."""
-        self.k, self.alive, self.owner = k, alive, owner[row]
+        self.k, self.alive, self.owner, self.eager = k, alive, owner[row], eager
         self.row, self.side = row, side
         self.length = codes.length[row]
         self.n_windows = self.length - k + 1
@@ -86,10 +86,11 @@ class Lanes:
         usable &= (phase == SCAN)[:, None, None] | (np.arange(4) != own[:, None])[:, :, None]
         hit = np.zeros(usable.shape, dtype=bool)
         # Most bases fail at once: ask for the rest only where the first is found.
-        for part in (np.s_[:, :, :1], np.s_[:, :, 1:]):
+        for part in [np.s_[:]] if self.eager else [np.s_[:, :, :1], np.s_[:, :, 1:]]:
             wanted = np.zeros_like(usable)
             wanted[part] = usable[part]
-            wanted[:, :, 1:] &= hit[:, :, :1]
+            if not self.eager:
+                wanted[:, :, 1:] &= hit[:, :, :1]
             lane, base, window = np.nonzero(wanted)
             if len(lane):
                 hit[lane, base, window] = yield self.owner[turn][lane], kmers[lane, base, window]

@@ -2,7 +2,8 @@
 
 A *kernel* is a Python generator over one Arrow batch. It yields questions,
 ``(rows, kmers)``, and is sent one boolean per k-mer; what it returns is the
-output batch. The same kernel runs in two ways:
+output batch. An *eager* kernel asks at once what it may need only after an answer.
+The same kernel runs in two ways:
 
 * ``solve_in_task``: the set is small (its rows were counted), so every task holds
   a hash table of it and answers in place. No shuffle.
@@ -32,7 +33,7 @@ from mendseq.model import KEYS, MAX_BROADCAST_BYTES, MAX_PACKED_K, kmer_type
 from mendseq.session import materialize, new_table_path
 
 Question = tuple[np.ndarray, np.ndarray]
-Kernel = Callable[[pa.RecordBatch, np.ndarray], Generator[Question, np.ndarray, pa.RecordBatch]]
+Kernel = Callable[[pa.RecordBatch, np.ndarray, bool], Generator[Question, np.ndarray, pa.RecordBatch]]
 
 # Bases in one group of reads that ask together.
 GROUP_BASES = 1_000_000
@@ -41,6 +42,10 @@ GROUP_BASES = 1_000_000
 # set, and the answers back, instead of shuffling the set.
 SMALL_ROUND = 1_000_000
 
+# Once a round asks for no more than this, fewer rounds are worth more than fewer
+# questions, and kernels become eager.
+EAGER_ROUND = 100_000
+
 FINISHED, PENDING, ASKING = range(3)
 
 
@@ -80,7 +85,7 @@ def solve_in_task(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in ragged.slices(batches):
-            run = kernel(batch, np.ones(batch.num_rows, dtype=bool))
+            run = kernel(batch, np.ones(batch.num_rows, dtype=bool), False)
             answer = None
             while True:
                 try:
@@ -112,7 +117,7 @@ class Known:
         return known, known & self.member[at]
 
 
-def run_known(batch: pa.RecordBatch, kernel: Kernel, known: Known):
+def run_known(batch: pa.RecordBatch, kernel: Kernel, known: Known, eager: bool = False):
     """Run ``kernel`` as far as the known answers go.
 
     Returns its output for the reads that finish, which reads do not, the known
@@ -120,7 +125,7 @@ def run_known(batch: pa.RecordBatch, kernel: Kernel, known: Known):
     """
     alive = np.ones(batch.num_rows, dtype=bool)
     history: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    run, answer = kernel(batch, alive), None
+    run, answer = kernel(batch, alive, eager), None
     while True:
         try:
             rows, asked = run.send(answer)
@@ -156,8 +161,9 @@ class _Round:
             [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in self.types],
             schema=self.types)
 
-    def step(self, group: int, reads: pa.RecordBatch, kernel: Kernel, known: Known) -> Iterator[pa.RecordBatch]:
-        out, waits, depends = run_known(reads, kernel, known)
+    def step(self, group: int, reads: pa.RecordBatch, kernel: Kernel, known: Known,
+             eager: bool = False) -> Iterator[pa.RecordBatch]:
+        out, waits, depends = run_known(reads, kernel, known, eager)
         yield self._rows(out.num_rows, FINISHED, group, {f"out_{n}": out[n] for n in self.out})
         if waits.any():
             kept = reads.take(pa.array(np.flatnonzero(waits)))
@@ -196,14 +202,20 @@ def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
             yield from rounds.step(group, batch.select(rounds.given), kernel, nothing)
             group += 1
 
-    def again(key: tuple, waiting: pa.Table, asking: pa.Table) -> pa.Table:
+    def again(key: tuple, waiting: pa.Table, asking: pa.Table, eager: bool) -> pa.Table:
         reads = waiting.select([f"in_{n}" for n in rounds.given]).rename_columns(rounds.given)
         yes, no, asked, found = (
             ragged.kmers_from_arrow(asking[name].combine_chunks().flatten(), k)
             for name in ("yes", "no", "asked", "found"))
         known = Known(np.concatenate([yes, found]), np.concatenate([no, np.setdiff1d(asked, found)]))
         batch = reads.combine_chunks().to_batches()[0]
-        return pa.Table.from_batches(list(rounds.step(key[0].as_py(), batch, kernel, known)))
+        return pa.Table.from_batches(list(rounds.step(key[0].as_py(), batch, kernel, known, eager)))
+
+    def again_lazily(key: tuple, waiting: pa.Table, asking: pa.Table) -> pa.Table:
+        return again(key, waiting, asking, False)
+
+    def again_eagerly(key: tuple, waiting: pa.Table, asking: pa.Table) -> pa.Table:
+        return again(key, waiting, asking, True)
 
     # Ordered by the least k-mer, then spread: a k-mer shared by very many reads does
     # not bring them all into one partition.
@@ -220,8 +232,9 @@ def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
         answered = asking.join(found, "group_id", "left").withColumn(
             "found", F.coalesce("found", F.array().cast(T.ArrayType(kmer_type(k)))))
         waiting = of_kind(path, PENDING).select("group_id", *[f"in_{n}" for n in rounds.given])
+        task = again_eagerly if n_asked <= EAGER_ROUND else again_lazily
         output = (waiting.groupBy("group_id").cogroup(answered.groupBy("group_id"))
-                  .applyInArrow(again, rounds.schema))
+                  .applyInArrow(task, rounds.schema))
         turn += 1
     return (of_kind(folder, FINISHED)
             .select(*[F.col(f"out_{name}").alias(name) for name in schema.names]))

@@ -74,7 +74,7 @@ def created_anchors(reads: DataFrame, trusted: KmerSet,
         T.StructField("run", T.IntegerType())])
     letters = np.array([chr(c) for c in LETTERS])
 
-    def kernel(batch: pa.RecordBatch, alive: np.ndarray):
+    def kernel(batch: pa.RecordBatch, alive: np.ndarray, eager: bool):
         seq, qual = ragged.from_arrow(batch["seq"]), ragged.from_arrow(batch["qual"])
         w = ragged.read_windows(seq, k)
         hit = w.valid.copy()
@@ -82,7 +82,7 @@ def created_anchors(reads: DataFrame, trusted: KmerSet,
         none = np.bincount(w.row, weights=hit, minlength=seq.rows) == 0
         lost = np.flatnonzero((w.count > 0) & none & alive)
         codes = ragged.Ragged(ragged.CODES[seq.flat], seq.start, seq.length)
-        row, pos, base, hits = yield from find_anchors(k, codes, qual, np.arange(seq.rows), alive, lost)
+        row, pos, base, hits = yield from find_anchors(k, codes, qual, np.arange(seq.rows), alive, lost, eager)
         taken = pa.array(row)
         return pa.RecordBatch.from_arrays(
             [batch["file_ind"].take(taken), batch["read_idx"].take(taken), pa.array(pos.astype(np.int32)),

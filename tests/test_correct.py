@@ -30,7 +30,7 @@ def batch_of(reads):
 
 
 def in_task(reads, trusted, params):
-    run, answer = _kernel(params)(batch_of(reads), np.ones(len(reads), bool)), None
+    run, answer = _kernel(params)(batch_of(reads), np.ones(len(reads), bool), False), None
     index = index_of(trusted, params.k)
     while True:
         try:
@@ -40,12 +40,12 @@ def in_task(reads, trusted, params):
         answer = index.contains(asked)
 
 
-def in_rounds(reads, trusted, params):
+def in_rounds(reads, trusted, params, eager):
     """The rounds of the join mode for one group of reads, with the join done here."""
     index, waiting, done = index_of(trusted, params.k), batch_of(reads), {}
     yes = no = ragged.no_kmers(params.k)
     while waiting.num_rows:
-        out, waits, (yes, no, asked) = run_known(waiting, _kernel(params), Known(yes, no))
+        out, waits, (yes, no, asked) = run_known(waiting, _kernel(params), Known(yes, no), eager)
         for row in out.to_pylist():
             done[row["read_idx"]] = tuple(row[c] for c in COLUMNS)
         hit = index.contains(asked)
@@ -67,7 +67,8 @@ def test_matches_plain_corrector(seed):
     expected = [plain(*r) for r in reads]
     params = CorrectionParams(k, **options)
     assert in_task(reads, trusted, params) == expected
-    assert in_rounds(reads[:150], trusted, params) == expected[:150]
+    for eager in (False, True):
+        assert in_rounds(reads[:150], trusted, params, eager) == expected[:150]
 
 
 @pytest.mark.parametrize("k", [32, 33, 40])
