@@ -21,11 +21,11 @@ UNFIXED, AMBIGUOUS = -1, -2
 
 
 class Lanes:
-    def __init__(self, k: int, codes: Ragged, owner: np.ndarray, alive: np.ndarray, eager: bool,
+    def __init__(self, k: int, codes: Ragged, owner: np.ndarray, alive: np.ndarray,
                  row: np.ndarray, side: np.ndarray, gap: np.ndarray, run: np.ndarray,
                  solid: np.ndarray, window_first: np.ndarray):
         """``gap`` is the first untrusted window beyond the run, ``run`` its size."""
-        self.k, self.alive, self.owner, self.eager = k, alive, owner[row], eager
+        self.k, self.alive, self.owner = k, alive, owner[row]
         self.row, self.side = row, side
         self.length = codes.length[row]
         self.n_windows = self.length - k + 1
@@ -86,14 +86,13 @@ class Lanes:
         usable &= (phase == SCAN)[:, None, None] | (np.arange(4) != own[:, None])[:, :, None]
         hit = np.zeros(usable.shape, dtype=bool)
         # Most bases fail at once: ask for the rest only where the first is found.
-        for part in [np.s_[:]] if self.eager else [np.s_[:, :, :1], np.s_[:, :, 1:]]:
-            wanted = np.zeros_like(usable)
-            wanted[part] = usable[part]
-            if not self.eager:
-                wanted[:, :, 1:] &= hit[:, :, :1]
+        for first, last in ((0, 1), (1, k + 1)):
+            wanted = usable[:, :, first:last] & (hit[:, :, :1] if first else True)
             lane, base, window = np.nonzero(wanted)
+            window += first
             if len(lane):
-                hit[lane, base, window] = yield self.owner[turn][lane], kmers[lane, base, window]
+                hit[lane, base, window] = yield (
+                    self.owner[turn][lane], kmers[lane, base, window], lambda: self._foresee(turn, kmers, usable))
                 hit &= self.alive[self.owner[turn]][:, None, None]
         supported = np.logical_and.accumulate(hit, axis=2).sum(axis=2)
         going = self.alive[self.owner[turn]]
@@ -104,6 +103,20 @@ class Lanes:
         scan = going & (phase == SCAN)
         yield from self._scan(turn[scan], supported[scan], own[scan])
 
+    def _foresee(self, turn: np.ndarray, kmers: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All that may be asked in this turn, and in the next if it moves by one base."""
+        lane, base, window = np.nonzero(usable)
+        here = self.owner[turn][lane], kmers[lane, base, window]
+        ahead = turn[(self.phase[turn] == SCAN) & (self.at[turn] + 1 < self.length[turn])]
+        k, at = self.k, self.at[ahead] + 1
+        around = self.text[(self.off[ahead] + at - k + 1)[:, None] + np.arange(2 * k - 1)]
+        variants = np.repeat(around[:, None, :], 16, axis=1)
+        variants[:, :, k - 2], variants[:, :, k - 1] = np.arange(16) // 4, np.arange(16) % 4
+        kmers, usable = canonical_windows(variants, k)
+        lane, base, window = np.nonzero(usable)
+        there = self.owner[ahead][lane], kmers[lane, base, window]
+        return np.concatenate([here[0], there[0]]), np.concatenate([here[1], there[1]])
+
     def _check_anchor(self, lanes: np.ndarray, supported: np.ndarray) -> None:
         """The run is a good start if changing only the next base explains what follows."""
         needed = 1 + np.minimum(self.k, self.length[lanes] - 1 - self.at[lanes])

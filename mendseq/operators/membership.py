@@ -2,8 +2,8 @@
 
 A *kernel* is a Python generator over one Arrow batch. It yields questions,
 ``(rows, kmers)``, and is sent one boolean per k-mer; what it returns is the
-output batch. An *eager* kernel asks at once what it may need only after an answer.
-The same kernel runs in two ways:
+output batch. A question may come with a function that foresees further ones,
+``(rows, kmers)`` again. The same kernel runs in two ways:
 
 * ``solve_in_task``: the set is small (its rows were counted), so every task holds
   a hash table of it and answers in place. No shuffle.
@@ -32,8 +32,9 @@ from mendseq.functions.index import LetteredIndex, PackedIndex, build_index, spr
 from mendseq.model import KEYS, MAX_BROADCAST_BYTES, MAX_PACKED_K, kmer_type
 from mendseq.session import materialize, new_table_path
 
-Question = tuple[np.ndarray, np.ndarray]
-Kernel = Callable[[pa.RecordBatch, np.ndarray, bool], Generator[Question, np.ndarray, pa.RecordBatch]]
+Kmers = tuple[np.ndarray, np.ndarray]
+Question = Kmers | tuple[np.ndarray, np.ndarray, Callable[[], Kmers]]
+Kernel = Callable[[pa.RecordBatch, np.ndarray], Generator[Question, np.ndarray, pa.RecordBatch]]
 
 # Bases in one group of reads that ask together.
 GROUP_BASES = 1_000_000
@@ -43,7 +44,7 @@ GROUP_BASES = 1_000_000
 SMALL_ROUND = 1_000_000
 
 # Once a round asks for no more than this, fewer rounds are worth more than fewer
-# questions, and kernels become eager.
+# questions: from then on, reads that have to ask also ask what they may need next.
 EAGER_ROUND = 100_000
 
 FINISHED, PENDING, ASKING = range(3)
@@ -85,11 +86,11 @@ def solve_in_task(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in ragged.slices(batches):
-            run = kernel(batch, np.ones(batch.num_rows, dtype=bool), False)
+            run = kernel(batch, np.ones(batch.num_rows, dtype=bool))
             answer = None
             while True:
                 try:
-                    _, asked = run.send(answer)
+                    _, asked, *_ = run.send(answer)
                 except StopIteration as end:
                     yield end.value
                     break
@@ -125,16 +126,23 @@ def run_known(batch: pa.RecordBatch, kernel: Kernel, known: Known, eager: bool =
     """
     alive = np.ones(batch.num_rows, dtype=bool)
     history: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    run, answer = kernel(batch, alive, eager), None
+    run, answer = kernel(batch, alive), None
     while True:
         try:
-            rows, asked = run.send(answer)
+            rows, asked, *foresee = run.send(answer)
         except StopIteration as end:
             out = end.value
             break
         is_known, answer = known.look_up(asked)
-        alive[rows[~is_known]] = False
         history.append((rows, asked, is_known, answer))
+        stopped = np.zeros(batch.num_rows, dtype=bool)
+        stopped[rows[~is_known]] = True
+        stopped &= alive
+        alive[stopped] = False
+        if eager and foresee and stopped.any():
+            rows, more = foresee[0]()
+            rows, more = rows[stopped[rows]], more[stopped[rows]]
+            history.append((rows, more, *known.look_up(more)))
     rows, asked, is_known, member = (
         (np.concatenate(v) for v in zip(*history)) if history else (np.zeros(0, np.int64),) * 4)
     waits = ~alive[rows]
@@ -220,7 +228,7 @@ def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
     # Ordered by the least k-mer, then spread: a k-mer shared by very many reads does
     # not bring them all into one partition.
     ordered = _nearness(df, k).repartitionByRange("near", F.xxhash64(*KEYS)).sortWithinPartitions("near")
-    turn, output = 0, ordered.mapInArrow(first, rounds.schema)
+    turn, eager, output = 0, False, ordered.mapInArrow(first, rounds.schema)
     while True:
         path = f"{folder}/round={turn}"
         output.write.parquet(path)
@@ -232,7 +240,8 @@ def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
         answered = asking.join(found, "group_id", "left").withColumn(
             "found", F.coalesce("found", F.array().cast(T.ArrayType(kmer_type(k)))))
         waiting = of_kind(path, PENDING).select("group_id", *[f"in_{n}" for n in rounds.given])
-        task = again_eagerly if n_asked <= EAGER_ROUND else again_lazily
+        eager = eager or n_asked <= EAGER_ROUND
+        task = again_eagerly if eager else again_lazily
         output = (waiting.groupBy("group_id").cogroup(answered.groupBy("group_id"))
                   .applyInArrow(task, rounds.schema))
         turn += 1

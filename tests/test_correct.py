@@ -30,11 +30,11 @@ def batch_of(reads):
 
 
 def in_task(reads, trusted, params):
-    run, answer = _kernel(params)(batch_of(reads), np.ones(len(reads), bool), False), None
+    run, answer = _kernel(params)(batch_of(reads), np.ones(len(reads), bool)), None
     index = index_of(trusted, params.k)
     while True:
         try:
-            _, asked = run.send(answer)
+            _, asked, *_ = run.send(answer)
         except StopIteration as end:
             return [tuple(end.value[c][i].as_py() for c in COLUMNS) for i in range(len(reads))]
         answer = index.contains(asked)
