@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mendseq.functions import ragged
@@ -32,6 +33,20 @@ def all_kmers(reads: DataFrame, k: int) -> DataFrame:
     return _batches_of_kmers(reads.select("seq"), k, lambda _, w: w.kmer[w.valid])
 
 
+def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
+    """Occurrences of each k-mer, counted per batch before anything is shuffled."""
+    check_k(k)
+    schema = T.StructType([*kmer_schema(k), T.StructField("n", T.LongType())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in ragged.slices(batches):
+            w = ragged.read_windows(ragged.from_arrow(batch["seq"]), k)
+            kmers, n = np.unique(w.kmer[w.valid], return_counts=True)
+            yield pa.RecordBatch.from_arrays([ragged.kmers_to_arrow(kmers), pa.array(n)], names=schema.names)
+
+    return reads.select("seq").mapInArrow(task, schema).groupBy("kmer").agg(F.sum("n").alias("n_occurrences"))
+
+
 def _sampled(batch: pa.RecordBatch, w: ragged.Windows, limit: int) -> np.ndarray:
     file_ind = batch["file_ind"].to_numpy().astype(np.int64)
     read_idx = batch["read_idx"].to_numpy()

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from mendseq.functions import ragged
 from mendseq.functions.ragged import LETTERS
 from mendseq.model import KEYS, MAX_BROADCAST_BYTES
+from mendseq.operators.anchors import find_anchors
+from mendseq.operators.anchors import longest_run as run_size
+from mendseq.operators.kmersets import kmer_counts
 from mendseq.operators.membership import KmerSet, solve
-from mendseq.operators.kmersets import kmer_occurrences
 
 
 def longest_run(hits: DataFrame) -> DataFrame:
@@ -37,36 +43,25 @@ def anchor_class(hits: DataFrame, k: int) -> DataFrame:
     return hits.select(kind.alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n_reads"))
 
 
-def occurrences_by_kmer(reads: DataFrame, k: int) -> DataFrame:
-    """Occurrences of each k-mer, counted before anything is shuffled by k-mer."""
-    return kmer_occurrences(reads, k).groupBy("kmer").agg(F.count("*").alias("n_occurrences"))
-
-
 def solid_kmers(reads: DataFrame, trusted: KmerSet) -> DataFrame:
-    return occurrences_by_kmer(reads, trusted.k).join(trusted.df, "kmer", "left_semi")
+    """Occurrences of the k-mers of the reads that are trusted."""
+    return kmer_counts(reads, trusted.k).join(trusted.df, "kmer", "left_semi")
 
 
 def untrusted_kmers(reads: DataFrame, trusted: KmerSet) -> DataFrame:
-    return occurrences_by_kmer(reads, trusted.k).join(trusted.df, "kmer", "left_anti")
+    return kmer_counts(reads, trusted.k).join(trusted.df, "kmer", "left_anti")
 
 
-def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every k-mer of two sets, and whether it is in both or in only one."""
-    return (a.intersect(b).withColumn("side", F.lit("both"))
-            .unionByName(a.exceptAll(b).withColumn("side", F.lit("only_a")))
-            .unionByName(b.exceptAll(a).withColumn("side", F.lit("only_b"))))
+def compare_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every k-mer of two sets, and whether it is in both or in only one; one shuffle."""
+    sides = F.element_at(F.array(*map(F.lit, ("only_a", "only_b", "both"))), F.col("mark"))
+    marked = a.withColumn("mark", F.lit(1)).unionByName(b.withColumn("mark", F.lit(2)))
+    return marked.groupBy("kmer").agg(F.bit_or("mark").alias("mark")).select("kmer", sides.alias("side"))
 
 
 def created_anchors(reads: DataFrame, trusted: KmerSet,
                     max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """For reads without a trusted k-mer, the change that creates the longest run."""
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    from mendseq.functions import ragged
-    from mendseq.operators.anchors import find_anchors, longest_run as run_size
-
     k = trusted.k
     schema = T.StructType([
         T.StructField("file_ind", T.IntegerType()), T.StructField("read_idx", T.LongType()),

@@ -185,7 +185,7 @@ def create_anchor_candidates(w):
 
 @query
 def set_ops_a_b(w):
-    return _lettered(solid.set_difference(w.sampled.df, w.trusted.df), w.k)
+    return _lettered(solid.compare_sets(w.sampled.df, w.trusted.df), w.k)
 
 
 @query
@@ -297,4 +297,4 @@ def documents_kmers(w):
     letters = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
     reads = spread(documents, "doc_id").select(
         F.lit(0).alias("file_ind"), F.col("doc_id").alias("read_idx"), letters.alias("seq"))
-    return _lettered(solid.occurrences_by_kmer(reads, DEFAULT_K), DEFAULT_K)
+    return _lettered(kmersets.kmer_counts(reads, DEFAULT_K), DEFAULT_K)

@@ -60,7 +60,7 @@ class Workspace:
         return CorrectionParams(k=self.k, cutoff=self.cutoff, **changes)
 
     def corrected(self, **changes) -> DataFrame:
-        return correct(self.reads, self.trusted, self.params(**changes))
+        return correct(self.reads.drop("true_seq"), self.trusted, self.params(**changes))
 
     def corrected_noisy(self, **changes) -> DataFrame:
         """The noisy reads against the k-mers the other reads made trusted."""
