@@ -17,7 +17,7 @@ from mendseq.model import (
 )
 from mendseq.operators.anchors import find_anchors
 from mendseq.operators.kmersets import hit_runs
-from mendseq.operators.lanes import AMBIGUOUS, LEFT, RIGHT, UNFIXED, Lanes
+from mendseq.operators.lanes import LEFT, RIGHT, UNFIXED, Lanes
 from mendseq.operators.membership import KmerSet, solve
 
 # Fixed values of the rule against too many corrections in one place.

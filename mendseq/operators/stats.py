@@ -34,22 +34,35 @@ def infer_alpha(reads: DataFrame, genome_size: Column | int) -> DataFrame:
             .withColumn("alpha", F.lit(SAMPLED_COVERAGE) / F.col("coverage")))
 
 
-def leading_reads(reads: DataFrame, n: int = QUALITY_READS) -> DataFrame:
-    """The first ``n`` records in file order, without sorting any record."""
+def _heads(reads: DataFrame, n: int) -> list:
+    """Per input file, in order: records among its first ``n``, and whether they have quality."""
     head = reads.where(F.col("read_idx") < n)
-    before = F.coalesce(
-        F.sum("n_head").over(Window.orderBy("file_ind").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0))
-    # One row per input file.
-    offsets = (head.groupBy("file_ind").agg(F.count("*").alias("n_head"))
-               .select("file_ind", before.alias("n_before")))
-    return (head.join(F.broadcast(offsets), "file_ind")
-            .where(F.col("read_idx") + F.col("n_before") < n).drop("n_before"))
+    return head.groupBy("file_ind").agg(
+        F.count("*").alias("size"),
+        F.min_by(F.col("qual").isNotNull(), "read_idx").alias("has_quality")).orderBy("file_ind").collect()
+
+
+def _leading(reads: DataFrame, heads: list, n: int) -> DataFrame:
+    wanted, left = F.lit(False), n
+    for head in heads:
+        if left > 0:
+            wanted |= (F.col("file_ind") == head.file_ind) & (F.col("read_idx") < left)
+        left -= head.size
+    return reads.where(wanted)
+
+
+def leading_reads(reads: DataFrame, n: int = QUALITY_READS) -> DataFrame:
+    """The first ``n`` records in file order, as a filter the scan can use."""
+    return _leading(reads, _heads(reads, n), n)
 
 
 def quality_histogram(reads: DataFrame, n: int = QUALITY_READS) -> DataFrame:
     """(score, n_first, n_last): records by quality of their first and last base."""
-    ends = leading_reads(reads, n).where(F.col("qual").isNotNull() & (F.length("seq") > 0)).select(
+    return _histogram(leading_reads(reads, n))
+
+
+def _histogram(reads: DataFrame) -> DataFrame:
+    ends = reads.where(F.col("qual").isNotNull() & (F.length("seq") > 0)).select(
         F.ascii("qual").alias("first_score"),
         F.ascii(F.substring(F.col("qual"), F.length("seq"), F.lit(1))).alias("last_score"))
     scores = ends.select(F.explode(F.array(
@@ -70,26 +83,23 @@ def _percentiles(histogram: DataFrame, share: float) -> DataFrame:
         (F.sum("n_last").over(so_far) > share * F.sum("n_last").over(everything)).alias("last_over"))
     return marked.agg(
         F.min(F.when(F.col("first_over"), F.col("score"))).alias("first_pct"),
-        F.min(F.when(F.col("last_over"), F.col("score"))).alias("last_pct")).withColumn("one", F.lit(1))
+        F.min(F.when(F.col("last_over"), F.col("score"))).alias("last_pct"))
 
 
-def _leading_file_has_quality(reads: DataFrame) -> DataFrame:
-    head = reads.where(F.col("read_idx") < QUALITY_READS)
-    return head.agg(F.min_by(F.col("qual").isNotNull(), F.struct("file_ind", "read_idx"))
-                     .alias("has_quality")).withColumn("one", F.lit(1))
+def _cutoff(reads: DataFrame, share: float, value: Column, without: int) -> DataFrame:
+    """One row; ``without`` unless the first file has qualities."""
+    heads = _heads(reads, QUALITY_READS)
+    if not heads or not heads[0].has_quality:
+        return reads.sparkSession.range(1).select(F.lit(without).alias("cutoff"))
+    histogram = _histogram(_leading(reads, heads, QUALITY_READS))
+    return _percentiles(histogram, share).select(F.coalesce(value, F.lit(without)).alias("cutoff"))
 
 
 def bad_quality_cutoff(reads: DataFrame) -> DataFrame:
     """One row: bases of this quality or less are not to be relied on; 0 means none."""
-    pct = _percentiles(quality_histogram(reads), BAD_SHARE)
-    cut = F.coalesce(F.least("last_pct", F.col("first_pct") - 1), F.lit(0))
-    return (pct.join(_leading_file_has_quality(reads), "one")
-            .select(F.when(F.col("has_quality"), cut).otherwise(0).alias("cutoff")))
+    return _cutoff(reads, BAD_SHARE, F.least("last_pct", F.col("first_pct") - 1), 0)
 
 
 def good_quality_cutoff(reads: DataFrame) -> DataFrame:
     """One row: the lower quartile of the first base's quality."""
-    pct = _percentiles(quality_histogram(reads), GOOD_SHARE)
-    return (pct.join(_leading_file_has_quality(reads), "one")
-            .select(F.when(F.col("has_quality"), F.col("first_pct"))
-                    .otherwise(NO_GOOD_QUALITY).alias("cutoff")))
+    return _cutoff(reads, GOOD_SHARE, F.col("first_pct"), NO_GOOD_QUALITY)

@@ -54,7 +54,7 @@ def test_formats_and_order_of_files(spark, tmp_path):
 
 @pytest.mark.parametrize("size", [64, 200, 1000])
 def test_records_cut_by_splits(spark, tmp_path, size):
-    records = fastq(120, size)
+    records = fastq(30 if size < 100 else 120, size)
     (tmp_path / "a.fq").write_text(text_of(records))
     fasta = [(">" + r[0], r[1]) for r in records]
     (tmp_path / "b.fa").write_text(text_of(fasta))
