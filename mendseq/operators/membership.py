@@ -45,7 +45,7 @@ SMALL_ROUND = 1_000_000
 
 # Once a round asks for no more than this, fewer rounds are worth more than fewer
 # questions: from then on, reads that have to ask also ask what they may need next.
-EAGER_ROUND = 100_000
+EAGER_ROUND = 20_000
 
 FINISHED, PENDING, ASKING = range(3)
 
