@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mendseq.session import materialize
 
-__all__ = ["arrow_map", "edges_to_roots", "fold_of", "row_numbers", "rows_of", "table"]
+__all__ = ["arrow_map", "edges_to_roots", "fold_of", "keep_rows", "row_numbers", "rows_of", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,3 +94,13 @@ def edges_to_roots(edges: DataFrame) -> DataFrame:
         before = mark
     return now.select(a.alias("node"), b.alias("root")).union(
         now.select(b.alias("node"), b.alias("root")).distinct())
+
+
+def keep_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows of ``df`` for which the function of a batch says true; all columns stay."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            yield batch.filter(pa.array(work(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -6,16 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendseq.llm import packing
+from mendseq.llm import byte_cnn, chunk_bpe, golay_simhash, order_minhash, packing, toxicity
 from mendseq.llm.common import table
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op2_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.encode(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_cnn.identify(docs, byte_cnn.fit(docs))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing,)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_chunk_bpe, op3_toxicity, op4_best_fit_packing, op6_golay_simhash, op9_byte_cnn)}
 
 
 def llm_oracles() -> dict[str, str]:
