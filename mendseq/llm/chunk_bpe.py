@@ -93,7 +93,7 @@ class Finisher:
     """Digests of a text's ids and of what they decode to."""
 
     def __init__(self, vocabulary: str):
-        self.units = unit_ids(vocabulary, "<u2")
+        self.units = unit_ids(vocabulary, "H")
         size = self.units.tokenizer.get_vocab_size(with_added_tokens=True)
         self.words = [(self.units.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
 
@@ -178,7 +178,7 @@ def encode_shared(docs: DataFrame, near: Filter, vocabulary: str) -> DataFrame:
     once = arrow_map(docs.select("text"), start, "chunk binary, data binary").dropDuplicates(["chunk"])
 
     def encoder():
-        units = unit_ids(vocabulary, "<u2")
+        units = unit_ids(vocabulary, "H")
 
         def work(batch):
             keys, data = rows_of(batch, "chunk", "data")

@@ -96,10 +96,13 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
     return [b for b in bins if b]
 
 
-def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY) -> DataFrame:
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+
+
+def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str | None = RANKS, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece; a null text is an empty one, which is its end id alone."""
     def start():
-        units, number = unit_ids(vocabulary, "<u4"), row_numbers()
+        units, number = unit_ids(vocabulary, "I", ranks), row_numbers()
 
         def work(batch):
             out = [[], [], [], [], []]
@@ -158,6 +161,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             .union(twice.select(names)))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str | None = RANKS,
+                   capacity: int = CAPACITY) -> DataFrame:
     """Tokenizes and packs ``docs`` (doc_id, text; other columns are left out)."""
-    return pack(materialize(pieces(docs, vocabulary, capacity), "pieces"), capacity)
+    return pack(materialize(pieces(docs, vocabulary, ranks, capacity), "pieces"), capacity)
