@@ -20,7 +20,9 @@ from mendseq.llm.common import arrow_map, fold_of, keep_rows, rows_of
 FOLDS, HELD_OUT = 5, 0
 # The sample that is learned from: documents per label, and the longest one taken.
 SAMPLE_PER_LABEL, SAMPLE_CHARS = {1: 2000, 0: 4000}, 20_000
-BUCKETS, ROUNDS, RATE, DECAY = 1 << 18, 80, 0.5, 1e-6
+BUCKETS, ROUNDS, RATE = 1 << 18, 80, 0.5
+# Features whose presence in a document has at least this chi-square with the label are learned from.
+ASSOCIATION = 30.0
 KEPT_WORDS = 500_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -71,6 +73,16 @@ def noisy_or(scores: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(scores, 1 - 1e-15)).sum()))
 
 
+def _association(feature: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By feature: chi-square of a document having it and being toxic."""
+    pairs = np.unique(feature.astype(np.int64) * len(y) + doc)
+    has, n, share = pairs // len(y), len(y), y.mean()
+    having = np.bincount(has, minlength=BUCKETS)
+    toxic = np.bincount(has, y[pairs % len(y)], BUCKETS)
+    spread = having * share * (1 - share) * (1 - having / n)
+    return np.where(having > 0, (toxic - having * share) ** 2 / np.maximum(spread, 1e-9), 0)
+
+
 def train(texts: list[str], labels: list[int]) -> Model:
     """Gradient steps on the likelihood of the documents' labels under noisy-or."""
     known: dict[str, list[int]] = {}
@@ -93,7 +105,9 @@ def train(texts: list[str], labels: list[int]) -> Model:
         return model
     feature, doc = np.concatenate(features), np.array(sentence_doc)
     sentence = np.repeat(np.arange(len(doc), dtype=np.int32), feature_counts)
-    n, seen, bias_seen = len(doc), np.full(BUCKETS, 1e-8), 1e-8
+    telling = _association(feature, doc[sentence], y)[feature] >= ASSOCIATION
+    feature, sentence = feature[telling], sentence[telling]
+    n, seen, bias_seen = len(doc), np.ones(BUCKETS), 1.0
     for _ in range(ROUNDS):
         z = np.clip(np.bincount(sentence, model.weights[feature], n) + model.bias, -30, 30)
         p = 1 / (1 + np.exp(-z))
@@ -104,7 +118,6 @@ def train(texts: list[str], labels: list[int]) -> Model:
         seen += slope ** 2
         bias_seen += step.sum() ** 2
         model.weights += (RATE * slope / np.sqrt(seen)).astype(np.float32)
-        model.weights *= 1 - DECAY
         model.bias += RATE * step.sum() / np.sqrt(bias_seen)
     return model
 
