@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendseq.llm import byte_cnn, chat, chunk_bpe, golay_simhash, order_minhash, packing, toxicity
+from mendseq.llm import adaptive_scan, byte_cnn, chat, chunk_bpe, golay_simhash, order_minhash, packing, toxicity
 from mendseq.llm.common import table
 from mendseq.session import materialize
 
@@ -46,6 +46,10 @@ def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.identify(docs, byte_cnn.fit(docs))
 
 
+def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_scan.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def _escaped(column: str) -> str:
     for plain, code in chat.ESCAPES:
         column = f"replace({column}, '{plain}', '{code}')"
@@ -66,7 +70,8 @@ from rows group by conv_id"""
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_chunk_bpe, op3_toxicity, op4_best_fit_packing, op5_chat_events, op6_golay_simhash, op9_byte_cnn)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_chunk_bpe, op3_toxicity, op4_best_fit_packing, op5_chat_events, op6_golay_simhash, op9_byte_cnn,
+                                    op10_adaptive_scan)}
 
 
 def llm_oracles() -> dict[str, str]:
