@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from mendseq.session import materialize
 
-__all__ = ["arrow_map", "edges_to_roots", "fold_of", "keep_rows", "row_numbers", "rows_of", "table"]
+BATCH_ROWS = 1000
+
+__all__ = ["arrow_map", "edges_to_roots", "fold_of", "keep_rows", "row_numbers", "rows_of", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +25,19 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of text and of ids are long: lets Python workers get few of them at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def arrow_map(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch that ``start`` makes once per task.
 
     It returns a dict of columns in the order of ``schema``, or None for no rows.
     """
+    small_batches(df.sparkSession)
     fields = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(fields)
@@ -98,6 +108,8 @@ def edges_to_roots(edges: DataFrame) -> DataFrame:
 
 def keep_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
     """The rows of ``df`` for which the function of a batch says true; all columns stay."""
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:

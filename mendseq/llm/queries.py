@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendseq.llm import adaptive_scan, byte_cnn, chat, chunk_bpe, golay_simhash, html_region, order_minhash, packing, toxicity
+from mendseq.llm import adaptive_scan, byte_cnn, chat, chunk_bpe, context_mixing, golay_simhash, html_region, order_minhash, packing, toxicity
 from mendseq.llm.common import table
 from mendseq.session import materialize
 
@@ -41,6 +41,10 @@ def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op8_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_region.extract(pages, html_region.fit(pages))
@@ -75,7 +79,7 @@ from rows group by conv_id"""
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_chunk_bpe, op3_toxicity, op4_best_fit_packing, op5_chat_events, op6_golay_simhash, op8_html_region, op9_byte_cnn,
+    return {f.__name__: f for f in (op1_order_minhash, op2_chunk_bpe, op3_toxicity, op4_best_fit_packing, op5_chat_events, op6_golay_simhash, op7_context_mixing, op8_html_region, op9_byte_cnn,
                                     op10_adaptive_scan)}
 
 
