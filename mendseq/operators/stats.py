@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendseq.functions.columns import is_valid
+from mendseq.model import KEYS
 
-# Qualities are judged on the first million records.
-QUALITY_READS = 1_000_000
+# Fixed values.
 BAD_SHARE, GOOD_SHARE = 0.05, 0.25
 SAMPLED_COVERAGE = 7.0
 NO_GOOD_QUALITY = 127
@@ -34,34 +34,8 @@ def infer_alpha(reads: DataFrame, genome_size: Column | int) -> DataFrame:
             .withColumn("alpha", F.lit(SAMPLED_COVERAGE) / F.col("coverage")))
 
 
-def _heads(reads: DataFrame, n: int) -> list:
-    """Per input file, in order: records among its first ``n``, and whether they have quality."""
-    head = reads.where(F.col("read_idx") < n)
-    return head.groupBy("file_ind").agg(
-        F.count("*").alias("size"),
-        F.min_by(F.col("qual").isNotNull(), "read_idx").alias("has_quality")).orderBy("file_ind").collect()
-
-
-def _leading(reads: DataFrame, heads: list, n: int) -> DataFrame:
-    wanted, left = F.lit(False), n
-    for head in heads:
-        if left > 0:
-            wanted |= (F.col("file_ind") == head.file_ind) & (F.col("read_idx") < left)
-        left -= head.size
-    return reads.where(wanted)
-
-
-def leading_reads(reads: DataFrame, n: int = QUALITY_READS) -> DataFrame:
-    """The first ``n`` records in file order, as a filter the scan can use."""
-    return _leading(reads, _heads(reads, n), n)
-
-
-def quality_histogram(reads: DataFrame, n: int = QUALITY_READS) -> DataFrame:
+def quality_histogram(reads: DataFrame) -> DataFrame:
     """(score, n_first, n_last): records by quality of their first and last base."""
-    return _histogram(leading_reads(reads, n))
-
-
-def _histogram(reads: DataFrame) -> DataFrame:
     ends = reads.where(F.col("qual").isNotNull() & (F.length("seq") > 0)).select(
         F.ascii("qual").alias("first_score"),
         F.ascii(F.substring(F.col("qual"), F.length("seq"), F.lit(1))).alias("last_score"))
@@ -87,12 +61,10 @@ def _percentiles(histogram: DataFrame, share: float) -> DataFrame:
 
 
 def _cutoff(reads: DataFrame, share: float, value: Column, without: int) -> DataFrame:
-    """One row; ``without`` unless the first file has qualities."""
-    heads = _heads(reads, QUALITY_READS)
-    if not heads or not heads[0].has_quality:
-        return reads.sparkSession.range(1).select(F.lit(without).alias("cutoff"))
-    histogram = _histogram(_leading(reads, heads, QUALITY_READS))
-    return _percentiles(histogram, share).select(F.coalesce(value, F.lit(without)).alias("cutoff"))
+    """One row; ``without`` unless the first record of all has qualities."""
+    has_quality = reads.agg(F.min_by(F.col("qual").isNotNull(), F.struct(*KEYS))).scalar()
+    return _percentiles(quality_histogram(reads), share).select(
+        F.when(has_quality, F.coalesce(value, F.lit(without))).otherwise(without).alias("cutoff"))
 
 
 def bad_quality_cutoff(reads: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ reads as materialized (
 
 NOISY = """
 errs as (select l_orderkey as read_idx, list(distinct (l_partkey*7 + l_suppkey*13 + l_linenumber*17) % 100) as errors
-  from lineitem where l_orderkey % 4 = 1 group by l_orderkey),
+  from lineitem group by l_orderkey),
 placed as (select r.*, coalesce(errors, []) as errors from reads r left join errs e on r.read_idx = e.read_idx),
 noisy as materialized (select file_ind, read_idx, id,
   array_to_string(list_transform(range(1, length(seq) + 1), lambda i: case when list_contains(errors, i - 1)
@@ -77,7 +77,7 @@ alpha as (select cast(sum(length(seq)) as bigint) as n_bases, sum(length(seq))/{
 
 HISTOGRAM = """
 ends as (select ascii(substr(qual, 1, 1)) as f, ascii(substr(qual, cast(length(seq) as int), 1)) as l
-  from reads order by file_ind, read_idx limit 1000000),
+  from reads),
 hist as (select score, cast(sum(is_f) as bigint) as n_first, cast(sum(1 - is_f) as bigint) as n_last from (
   select f as score, 1 as is_f from ends union all select l, 0 from ends) group by score),
 cum as (select score, sum(n_first) over w as cf, sum(n_last) over w as cl,

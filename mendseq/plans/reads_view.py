@@ -74,15 +74,15 @@ def synthetic_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noisy_reads(spark: SparkSession, sf_dir: str, reads: DataFrame) -> DataFrame:
-    """The same reads, a quarter of them with further errors placed by ``lineitem``.
+    """The same reads with further errors placed by ``lineitem``.
 
-    Every line item of such an order is one error, so a read has from none to a dozen
-    of them, some next to each other; every third position is of bad quality as well.
+    Every line item of an order is one error, so a read has from none to a dozen of
+    them, some next to each other; every third position is of bad quality as well.
     """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     at = (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13 + F.col("l_linenumber") * 17) % READ_LENGTH
     # At most READ_LENGTH positions per order, however many line items it has.
-    errors = (lines.where(F.col("l_orderkey") % 4 == 1)
+    errors = (lines
               .select(F.col("l_orderkey").alias("read_idx"), at.cast("int").alias("at"))
               .groupBy("read_idx").agg(F.collect_set("at").alias("errors")))
 

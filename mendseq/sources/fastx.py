@@ -2,14 +2,16 @@
 
 Lines are read by Spark's text source, so splitting, codecs and remote storage are
 Spark's. A record is a fixed number of lines (2 or 4). The lines of every split
-are counted first; with the number of lines before it, each split knows which
-record its first line belongs to, and only the few records cut by a split
-boundary are put together by a shuffle.
+are counted first; joined with the number of lines before its split, each line knows
+which record it belongs to, and only the few records cut by a split boundary are put
+together by a shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -19,52 +21,65 @@ from pyspark.sql import types as T
 
 from mendseq.model import KEYS, READ_SCHEMA
 from mendseq.session import materialize
-from mendseq.sources.naming import base_name, is_compressed
+from mendseq.sources.naming import output_name
 
 # First byte and lines per record of each format.
 FASTA, FASTQ = ">", "@"
 RECORD_LINES = {FASTA: 2, FASTQ: 4}
 
-# Split descriptors every task receives. The driver lists all splits anyway; more
-# of them call for a larger spark.sql.files.maxPartitionBytes.
-MAX_SPLITS = 2_000_000
-
-SPLIT = ["file_ind", "file_path", "block_start"]
+SPLIT = ["file_path", "block_start"]
 
 _PARSED = T.StructType([*READ_SCHEMA.fields, T.StructField("slot", T.IntegerType()),
                         T.StructField("line", T.StringType())])
 
 
-def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    out = None
+def _inputs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(file_ind, file_path): the files each path stands for, from one listing."""
+    hadoop, files = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.read.text(list(dict.fromkeys(paths))).inputFiles()
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    given: dict[str, list[int]] = {}
     for i, path in enumerate(paths):
-        part = spark.read.text(path).select(
-            F.lit(i).alias("file_ind"),
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
-        out = part if out is None else out.unionAll(part)
-    return out
-
-
-def _splits(lines: DataFrame, paths: Sequence[str]) -> dict[tuple[int, str, int], tuple[int, int]]:
-    """Per split: lines before it in its input, and lines per record."""
-    counted = lines.withColumn("at", F.monotonically_increasing_id()).groupBy(*SPLIT).agg(
+        place = hadoop.Path(path)
+        system = place.getFileSystem(conf)
+        found = [s.getPath() for s in system.globStatus(place) or []] if set(path) & set("*?[{") else [system.makeQualified(place)]
+        for p in found:
+            given.setdefault(p.toUri().getPath().rstrip("/"), []).append(i)
+    rows = []
+    for file in dict.fromkeys(files):
+        above = unquote(urlparse(file).path)
+        while above not in given and "/" in above.strip("/"):
+            above = above.rsplit("/", 1)[0]
+        # The scan names local files with one slash.
+        rows += [(i, re.sub("^file:/+", "file:/", file)) for i in given.get(above, [])]
+    return spark.createDataFrame(rows, "file_ind int, file_path string")
+
+
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """All lines of all paths by one scan; the files of a path are known by the driver anyway."""
+    read = spark.read.text(list(dict.fromkeys(paths))).select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
+    return read.join(F.broadcast(_inputs(spark, paths)), "file_path")
+
+
+def _splits(lines: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Per split, in a written table: lines before it in its input, and lines per record."""
+    counted = materialize(lines.withColumn("at", F.monotonically_increasing_id()).groupBy("file_ind", *SPLIT).agg(
         F.count("*").alias("n_lines"),
-        F.min_by(F.substring("line", 1, 1), "at").alias("first_byte"))
-    in_file = Window.partitionBy("file_ind").orderBy("file_path", "block_start")
-    placed = counted.select(
-        *SPLIT,
-        F.coalesce(F.sum("n_lines").over(in_file.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("before"),
-        F.first("first_byte").over(in_file).alias("kind")).limit(MAX_SPLITS + 1)
-    rows = placed.collect()
-    if len(rows) > MAX_SPLITS:
-        raise ValueError("too many input splits: raise spark.sql.files.maxPartitionBytes")
-    for row in rows:
-        if row.kind not in RECORD_LINES:
-            raise ValueError(f"{paths[row.file_ind]} starts with neither '>' nor '@'")
-    return {(r.file_ind, r.file_path, r.block_start): (r.before, RECORD_LINES[r.kind]) for r in rows}
+        F.min_by(F.substring("line", 1, 1), "at").alias("first_byte")), "splits")
+    before = lambda w: F.coalesce(F.sum("n_lines").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_input = Window.partitionBy("file_ind").orderBy("file_path")
+    files = counted.groupBy("file_ind", "file_path").agg(
+        F.sum("n_lines").alias("n_lines"), F.min_by("first_byte", "block_start").alias("first_byte")).select(
+        "file_ind", "file_path", before(of_input).alias("ahead"), F.first("first_byte").over(of_input).alias("kind"))
+    in_file = Window.partitionBy("file_ind", "file_path").orderBy("block_start")
+    placed = counted.withColumn("before", before(in_file)).join(files, ["file_ind", "file_path"])
+    wrong = placed.where(~F.col("kind").isin(*RECORD_LINES)).select("file_ind").first()
+    if wrong:
+        raise ValueError(f"{paths[wrong.file_ind]} starts with neither '>' nor '@'")
+    step = F.when(F.col("kind") == FASTA, RECORD_LINES[FASTA]).otherwise(RECORD_LINES[FASTQ])
+    return placed.select("file_ind", *SPLIT, (F.col("before") + F.col("ahead")).alias("before"), step.alias("step"))
 
 
 class _Split:
@@ -121,29 +136,32 @@ def read_fastx(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = _lines(spark, paths)
-    splits = spark.sparkContext.broadcast(_splits(lines, paths))
+    # One row for each split, like the scan's own list of tasks.
+    placed = lines.join(F.broadcast(_splits(lines, paths)), ["file_ind", *SPLIT])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, split = None, None
+        # A path given twice has its lines twice, side by side: one state for each input.
+        now, open_ = None, {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            starts = batch["block_start"].to_numpy()
-            paths_ = batch["file_path"].dictionary_encode()
-            where = paths_.indices.to_numpy()
-            edges = np.flatnonzero((np.diff(starts) != 0) | (np.diff(where) != 0)) + 1
-            for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
-                key = (batch["file_ind"][begin].as_py(), batch["file_path"][begin].as_py(),
-                       int(starts[begin]))
+            where = batch["before"].to_numpy(), batch["file_ind"].to_numpy(), batch["block_start"].to_numpy()
+            kinds, inverse = np.unique(np.stack(where), axis=1, return_inverse=True)
+            for c in range(kinds.shape[1]):
+                rows = np.flatnonzero(inverse.ravel() == c)
+                before, file_ind, start = kinds[:, c].tolist()
+                key = (batch["file_path"][int(rows[0])].as_py(), start)
                 if key != now:
-                    if split:
+                    for split in open_.values():
                         yield from split.end()
-                    now, split = key, _Split(key[0], *splits.value[key])
-                yield from split.add(batch["line"][begin:end])
-        if split:
+                    now, open_ = key, {}
+                if file_ind not in open_:
+                    open_[file_ind] = _Split(file_ind, before, batch["step"][int(rows[0])].as_py())
+                yield from open_[file_ind].add(batch["line"].take(pa.array(rows)))
+        for split in open_.values():
             yield from split.end()
 
-    parsed = materialize(lines.mapInArrow(task, _PARSED), "parsed")
+    parsed = materialize(placed.mapInArrow(task, _PARSED), "parsed")
 
     def piece(slot: int) -> F.Column:
         return F.max(F.when(F.col("slot") == slot, F.col("line")))
@@ -171,25 +189,22 @@ def write_fastx(reads: DataFrame, paths: Sequence[str], folder: str, level: int
 
     Each input becomes one folder ``output=<name>`` of part files whose names sort in
     read order: written one after the other they are the file of that name. (gzip
-    members may follow each other in one file.)
+    members may follow each other in one file.) What the folder of an output held
+    before is replaced; other outputs stay.
     """
     if not 0 <= level <= 9:
         raise ValueError(f"compression level must be 0 to 9, not {level}")
     spark = reads.sparkSession
-    named = spark.createDataFrame(list(enumerate(paths)), "file_ind int, path string").select(
-        "file_ind", base_name(F.col("path")).alias("base"),
-        is_compressed(F.col("path"), level).alias("compressed"))
+    named = spark.createDataFrame(list(enumerate(paths)), "file_ind int, path string")
     # One row per input file.
     placed = reads.join(F.broadcast(named), "file_ind")
-    kind = F.when(F.col("qual").isNull(), ".cor.fa").otherwise(".cor.fq")
     text = record_text(placed).select(
-        *KEYS, "value", "compressed",
-        F.concat("base", kind, F.when(F.col("compressed"), ".gz").otherwise("")).alias("output"))
+        *KEYS, "value", output_name(F.col("path"), F.col("qual").isNotNull(), level).alias("output"))
     # The writer needs rows grouped by output; with that first, it does not sort again.
     ordered = text.repartitionByRange(*KEYS).sortWithinPartitions("output", *KEYS)
-    zipped = [row.compressed for row in named.select("compressed").distinct().collect()]
-    for compressed in zipped:
-        part = ordered.where(F.col("compressed") == compressed)
-        (part.select("value", "output").write.mode("append").partitionBy("output")
-         .option("compression", "gzip" if compressed else "none")
+    zipped = {path.endswith("gz") and level > 0 for path in paths}
+    for compressed in sorted(zipped):
+        part = ordered if len(zipped) == 1 else ordered.where(F.col("output").endswith(".gz") == compressed)
+        (part.select("value", "output").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("output").option("compression", "gzip" if compressed else "none")
          .option("zlib.compress.level", ZLIB_LEVELS[level]).text(folder))

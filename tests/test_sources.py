@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from mendseq.operators.membership import KmerSet
-from mendseq.sources import fastx
 from mendseq.sources.naming import base_name, output_name
 from mendseq.sources.trusted_store import load_trusted, save_trusted
 from mendseq.sources.fastx import read_fastx, write_fastx
@@ -115,11 +114,36 @@ def test_bad_level(spark):
         write_fastx(spark.range(1), [], "x", 10)
 
 
-def test_too_many_splits(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(fastx, "MAX_SPLITS", 0)
-    (tmp_path / "a.fq").write_text(text_of(fastq(3)))
-    with pytest.raises(ValueError, match="maxPartitionBytes"):
-        read_fastx(spark, str(tmp_path / "a.fq"))
+def test_writing_again_replaces(spark, tmp_path):
+    records, others = fastq(60, 5), fastq(20, 6)
+    (tmp_path / "a.fq").write_text(text_of(records))
+    (tmp_path / "b.fq").write_text(text_of(others))
+    a, b, out = str(tmp_path / "a.fq"), str(tmp_path / "b.fq"), tmp_path / "out"
+    for paths in ([a, b], [a], [a]):
+        write_fastx(read_fastx(spark, paths), paths, str(out))
+    assert rows(read_fastx(spark, str(out / "output=a.cor.fq"))) == expected(records)
+    assert rows(read_fastx(spark, str(out / "output=b.cor.fq"))) == expected(others)
+
+
+def test_paths_of_many_kinds(spark, tmp_path):
+    first, second = fastq(9, 7), fastq(4, 8)
+    folder = tmp_path / "with blank"
+    folder.mkdir()
+    (folder / "part-0.fq").write_text(text_of(first[:5]))
+    (folder / "part-1.fq").write_text(text_of(first[5:]))
+    (tmp_path / "x1.fq").write_text(text_of(second))
+    one = str(tmp_path / "x1.fq")
+    assert rows(read_fastx(spark, [one, str(folder), one])) == expected(second, first, second)
+    assert rows(read_fastx(spark, [str(tmp_path / "x*.fq"), "file://" + str(folder)])) == expected(second, first)
+
+
+def test_many_files(spark, tmp_path):
+    paths = []
+    for i in range(300):
+        paths.append(str(tmp_path / f"f{i}.fa"))
+        (tmp_path / f"f{i}.fa").write_text(f">s{i}\nACGT\n")
+    found = read_fastx(spark, paths)
+    assert rows(found) == [(i, 0, f">s{i}", "ACGT", None) for i in range(300)]
 
 
 def test_trusted_store(spark, tmp_path):

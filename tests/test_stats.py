@@ -35,12 +35,6 @@ def test_the_first_file_decides_about_quality(spark):
     assert stats.bad_quality_cutoff(frame(spark, rows).limit(0)).first().cutoff == 0
 
 
-def test_leading_reads_go_on_in_the_next_file(spark):
-    rows = [(f, i, "@r", "A", "I") for f in range(3) for i in range(4)]
-    kept = stats.leading_reads(frame(spark, rows), 6).select("file_ind", "read_idx").collect()
-    assert sorted(tuple(r) for r in kept) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1)]
-
-
 def test_alpha(spark):
     row = stats.infer_alpha(frame(spark, [(0, 0, "@a", "ACGTN", None), (1, 0, "@b", "ACGTA", None)]), 5).first()
     assert (row.coverage, row.alpha) == (2.0, 3.5)
