@@ -83,6 +83,29 @@ def kmer_occurrences(reads: DataFrame, k: int, alpha: float | None = None) -> Da
     return reads.select(*KEYS, "seq").mapInArrow(task, schema)
 
 
+def window_stats(reads: DataFrame, k: int) -> DataFrame:
+    """Per read: windows, valid ones, and where the first and the last of those start."""
+    check_k(k)
+    schema = T.StructType([
+        T.StructField("file_ind", T.IntegerType()), T.StructField("read_idx", T.LongType()),
+        T.StructField("n_windows", T.LongType()), T.StructField("n_valid", T.LongType()),
+        T.StructField("first_pos", T.IntegerType()), T.StructField("last_pos", T.IntegerType())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in ragged.slices(batches):
+            w = ragged.read_windows(ragged.from_arrow(batch["seq"]), k)
+            row, pos, rows = w.row[w.valid], w.pos[w.valid].astype(np.int32), batch.num_rows
+            n_valid, first, last = np.bincount(row, minlength=rows), np.full(rows, np.iinfo(np.int32).max, np.int32), np.full(rows, -1, np.int32)
+            np.minimum.at(first, row, pos)
+            np.maximum.at(last, row, pos)
+            none = n_valid == 0
+            yield pa.RecordBatch.from_arrays(
+                [batch["file_ind"], batch["read_idx"], pa.array(w.count), pa.array(n_valid),
+                 pa.array(first, mask=none), pa.array(last, mask=none)], names=schema.names)
+
+    return reads.select(*KEYS, "seq").mapInArrow(task, schema)
+
+
 class Coverage:
     """Which bases and k-mers of a batch set A vouches for."""
 
@@ -157,6 +180,24 @@ def position_profile(reads: DataFrame, sampled: KmerSet, table: list[int], cutof
     return solve(reads.select(*KEYS, "seq", "qual"), kernel, sampled, schema, max_broadcast)
 
 
+def coverage_counts(reads: DataFrame, sampled: KmerSet, table: list[int], cutoff: int,
+                    max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Bases by the windows covering them and those in A, counted per batch first."""
+    fields = ["n_windows", "n_hits", "n_positions", "pos_sum"]
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in fields])
+
+    def output(batch, w, hit, coverage, alive):
+        kept = alive[coverage.row] & (coverage.n_windows > 0)
+        pairs, place = np.unique(np.stack([coverage.n_windows[kept], coverage.n_hits[kept]]), axis=1, return_inverse=True)
+        place, n = place.ravel(), pairs.shape[1]
+        columns = *pairs, np.bincount(place, minlength=n), np.bincount(place, coverage.pos[kept], n)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=fields)
+
+    kernel = _coverage_kernel(sampled.k, table, cutoff, output)
+    found = solve(reads.select(*KEYS, "seq", "qual"), kernel, sampled, schema, max_broadcast)
+    return found.groupBy(*[F.col(n).cast("int").alias(n) for n in fields[:2]]).agg(*[F.sum(n).alias(n) for n in fields[2:]])
+
+
 def window_hits(reads: DataFrame, kmers: KmerSet,
                 max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Per read: number of windows, the starts of those in the set and their runs."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendseq.model import INFO_AMBIGUOUS, INFO_LOW_COVERAGE, INFO_OVER_CORRECTED
+from mendseq.model import KEYS, INFO_AMBIGUOUS, INFO_LOW_COVERAGE, INFO_OVER_CORRECTED
 
 # Words of the header annotation.
 CORRECTED, UNFIXABLE = " cor", " unfixable_error"
@@ -59,8 +59,25 @@ def summary(corrected: DataFrame, trim: bool = False, discard: bool = False) ->
 
 
 def summary_text(row) -> str:
-    return (f"Processed {row.total_reads} reads:\n"
-            f"\t{row.error_free_reads_cnt} are error-free\n"
-            f"\tCorrected {row.corr_cnt} bases({row.corrections_per_read:f} corrections for reads with errors)\n"
-            f"\tTrimmed {row.trim_reads_cnt} reads with average trimmed bases {row.bases_per_trim:f}\n"
-            f"\tDiscard {row.discard_reads_cnt} reads\n")
+    lines = [("reads", row.total_reads), ("reads without errors", row.error_free_reads_cnt),
+             ("bases corrected", row.corr_cnt), ("corrections per read with errors", f"{row.corrections_per_read:.6f}"),
+             ("reads trimmed", row.trim_reads_cnt), ("bases cut off per trimmed read", f"{row.bases_per_trim:.6f}"),
+             ("reads dropped", row.discard_reads_cnt)]
+    return "".join(f"{name:<34}{value}\n" for name, value in lines)
+
+
+def accuracy(truth: DataFrame, corrected: DataFrame) -> DataFrame:
+    """One row: wrong bases of ``truth`` (seq against true_seq), how many of them were mended, and how many made.
+
+    Only reads of unchanged length are compared; ``gain`` is null without errors.
+    """
+    known = truth.select(*KEYS, F.col("seq").alias("was"), "true_seq")
+    both = known.join(corrected.select(*KEYS, "seq"), KEYS).where(F.length("seq") == F.length("true_seq"))
+    letter = lambda name, i: F.substring(F.col(name), i, F.lit(1))
+    places = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.struct(
+        (letter("was", i) != letter("true_seq", i)).alias("was_wrong"), (letter("seq", i) != letter("true_seq", i)).alias("is_wrong")))
+    size = lambda test: F.coalesce(F.sum(F.size(F.filter("places", test))), F.lit(0)).cast("bigint")
+    return both.where(F.length("seq") > 0).select(places.alias("places")).agg(
+        size(lambda p: p["was_wrong"]).alias("n_errors"), size(lambda p: p["was_wrong"] & ~p["is_wrong"]).alias("n_mended"),
+        size(lambda p: ~p["was_wrong"] & p["is_wrong"]).alias("n_made"),
+    ).withColumn("gain", F.try_divide(F.col("n_mended") - F.col("n_made"), F.col("n_errors")))

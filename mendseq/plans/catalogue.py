@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from mendseq.functions import columns
 from mendseq.model import KEYS
 from mendseq.operators import bloom, kmersets, report, solid, stats
-from mendseq.plans.pipeline import Settings
+from mendseq.plans.pipeline import MODELLED, Settings, build_trusted, loaded_trust
+from mendseq.plans.pipeline import correct_reads as run_correction
 from mendseq.plans.workspace import DEFAULT_K, Workspace, workspace
 from mendseq.session import new_table_path, spread
 from mendseq.sources.fastx import read_fastx, write_fastx
@@ -77,17 +78,16 @@ def good_quality_cutoff(w):
 
 @query
 def kmer_extract_counts(w):
-    found = kmersets.kmer_occurrences(w.reads, w.k)
-    return found.groupBy(*KEYS).agg(
-        F.count("*").alias("n_valid"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    return kmersets.window_stats(w.reads, w.k).where("n_valid > 0").drop("n_windows")
 
 
 @query
 def kmer_validity(w):
-    window = F.explode(columns.windows(F.col("seq"), w.k)).alias("kmer")
-    return (w.reads.select("file_ind", window)
-            .groupBy("file_ind", columns.is_valid(F.col("kmer")).alias("is_valid"))
-            .agg(F.count("*").alias("n_windows")))
+    found = kmersets.window_stats(w.reads, w.k).groupBy("file_ind").agg(
+        F.sum("n_valid").alias("valid"), F.sum(F.col("n_windows") - F.col("n_valid")).alias("other"))
+    return found.select("file_ind", F.inline(F.array(
+        F.struct(F.lit(True).alias("is_valid"), F.col("valid").alias("n_windows")),
+        F.struct(F.lit(False).alias("is_valid"), F.col("other").alias("n_windows"))))).where("n_windows > 0")
 
 
 @query
@@ -129,10 +129,7 @@ def _profile(w: Workspace) -> DataFrame:
 
 @query
 def position_coverage(w):
-    cells = _profile(w).select(F.posexplode(F.arrays_zip("n_windows", "n_hits")).alias("pos", "c"))
-    return (cells.where(F.col("c.n_windows") > 0)
-            .groupBy(F.col("c.n_windows").alias("n_windows"), F.col("c.n_hits").alias("n_hits"))
-            .agg(F.count("*").alias("n_positions"), F.sum("pos").cast("bigint").alias("pos_sum")))
+    return kmersets.coverage_counts(w.reads, w.sampled, w.thresholds, w.cutoff)
 
 
 @query
@@ -263,6 +260,68 @@ def correct_reads_strict(w):
     return w.corrected_noisy(max_corrections=2).select(*RESULT)
 
 
+@query
+def correct_reads_fasta(w):
+    """Without qualities."""
+    return w.view("fasta").corrected().select(*RESULT)
+
+
+@query
+def correct_reads_noqual(w):
+    """Qualities are there but do not count."""
+    return w.changed("noqual", use_quality=False).corrected(new_quality="#").select(*RESULT)
+
+
+@query
+def correct_reads_two_files(w):
+    return w.view("two_files").corrected().select(*RESULT)
+
+
+@query
+def correct_with_loaded_kmers(w):
+    """Saved k-mers instead of passes 1 and 2."""
+    path = new_table_path(w.spark, "saved")
+    save_trusted(w.trusted.df, path, w.k, w.alpha, w.genome_size)
+    kmers = load_trusted(w.spark, path, w.k, w.genome_size)
+    return run_correction(w.reads.drop("true_seq"), loaded_trust(w.reads, kmers, w.settings), w.settings).select(*RESULT)
+
+
+@query
+def pipeline_modelled(w):
+    """A set A as crowded as a filter for a third of the genome: one more correction, a higher cutoff."""
+    settings = Settings(k=w.k, genome_size=w.genome_size // 3, alpha=w.alpha, false_positives=MODELLED)
+    reads = w.reads.drop("true_seq")
+    return run_correction(reads, build_trusted(reads, settings), settings).select(*RESULT)
+
+
+def _joined(w: Workspace) -> Workspace:
+    """The same with sets too large to broadcast."""
+    return w.changed("joined", max_broadcast=0)
+
+
+@query
+def trusted_kmers_joined(w):
+    return _lettered(_joined(w).trusted.df, w.k)
+
+
+@query
+def solid_flags_joined(w):
+    hits = kmersets.window_hits(w.reads, w.trusted, max_broadcast=0)
+    return hits.select(*KEYS, "n_windows", F.size("solid").alias("n_solid"), _sum("solid").alias("pos_sum"))
+
+
+@query
+def correct_reads_joined(w):
+    return _joined(w).corrected().select(*RESULT)
+
+
+@query
+def correction_accuracy(w):
+    """Errors in the reads by what became of them; gain: those mended less those made, of all."""
+    return report.accuracy(w.reads, w.corrected()).select(
+        "n_errors", "n_mended", "n_made", F.round("gain", 9).alias("gain"))
+
+
 @query
 def annotated_headers(w):
     return report.annotate(w.corrected_noisy(), discard=True).select(*KEYS, "id")
@@ -282,12 +341,27 @@ def fastx_roundtrip(w):
     return read_fastx(w.spark, f"{folder}/output=reads.cor.fq.gz")
 
 
+@query
+def fastx_roundtrip_fasta(w):
+    """Without qualities, as plain text."""
+    folder = new_table_path(w.spark, "fasta")
+    write_fastx(w.view("fasta").reads, ["reads.fasta"], folder)
+    return read_fastx(w.spark, f"{folder}/output=reads.cor.fa")
+
+
+@query
+def paired_files_roundtrip(w):
+    """Two inputs, one of them compressed, read back in their order."""
+    folder = new_table_path(w.spark, "paired")
+    write_fastx(w.view("two_files").reads, ["left.fq", "right.fq.gz"], folder)
+    return read_fastx(w.spark, [f"{folder}/output=left.cor.fq", f"{folder}/output=right.cor.fq.gz"])
+
+
 @query
 def trusted_store_roundtrip(w):
     path = new_table_path(w.spark, "saved")
-    settings = Settings(k=w.k, genome_size=w.genome_size, alpha=w.alpha)
-    save_trusted(w.trusted.df, path, w.k, w.alpha, settings.genome_size)
-    return _lettered(load_trusted(w.spark, path, w.k, settings.genome_size).df, w.k)
+    save_trusted(w.trusted.df, path, w.k, w.alpha, w.genome_size)
+    return _lettered(load_trusted(w.spark, path, w.k, w.genome_size).df, w.k)
 
 
 @query

@@ -34,19 +34,27 @@ e as (
     case when rid % 3 = 0 then concat(substr(f0,1,ep), translate(substr(f0,ep+1,1),'ACGT','CGTA'), substr(f0,ep+2)) else f0 end as f1,
     case when rid % 3 = 0 then concat(repeat('I',ep), '#', repeat('I',99-ep)) else repeat('I',100) end as q1 from t),
 n as (
-  select rid, q1,
+  select rid, f0, q1,
     case when rid % 50 = 7 then concat(substr(f1,1,np), 'N', substr(f1,np+2)) else f1 end as f2 from e),
 s as (
   select rid,
+    case when rid % 2 = 1 then reverse(translate(f0,'ACGT','TGCA')) else f0 end as ts,
     case when rid % 2 = 1 then reverse(translate(f2,'ACGT','TGCA')) else f2 end as sq,
     case when rid % 2 = 1 then reverse(q1) else q1 end as ql from n),
 reads as materialized (
   select cast(0 as int) as file_ind, cast(rid as bigint) as read_idx,
     concat('@r', cast(rid as varchar)) as id,
     case when rid % 97 = 5 then substr(sq,1,12) else sq end as seq,
-    case when rid % 97 = 5 then substr(ql,1,12) else ql end as qual
+    case when rid % 97 = 5 then substr(ql,1,12) else ql end as qual,
+    case when rid % 97 = 5 then substr(ts,1,12) else ts end as true_seq
   from s)"""
 
+# The same reads as other kinds of input.
+FASTA_READS = READS.replace("reads as materialized", "with_quality as") + """,
+reads as materialized (select file_ind, read_idx, translate(id, '@', '>') as id, seq, cast(null as varchar) as qual from with_quality)"""
+TWO_FILES = READS.replace("reads as materialized", "one_file as") + """,
+reads as materialized (select cast(read_idx % 2 as int) as file_ind, read_idx, id, seq, qual from one_file)"""
+
 NOISY = """
 errs as (select l_orderkey as read_idx, list(distinct (l_partkey*7 + l_suppkey*13 + l_linenumber*17) % 100) as errors
   from lineitem group by l_orderkey),
@@ -113,7 +121,7 @@ coverage as materialized (
   from bases b left join occurs o on b.read_idx = o.read_idx and b.file_ind = o.file_ind and b.pos = o.pos
   window f as (partition by b.file_ind, b.read_idx order by b.pos rows between {K - 1} preceding and current row)),
 trust as materialized (
-  select file_ind, read_idx, pos, case when n_hits > threshold and q > (select cutoff from cut) then 1 else 0 end as trusted
+  select file_ind, read_idx, pos, case when n_hits > threshold and coalesce(q > (select cutoff from cut), true) then 1 else 0 end as trusted
   from coverage join thresholds on n = n_windows)"""
 
 TRUSTED = f"""
@@ -145,6 +153,8 @@ marked as (select file_ind, read_idx, pos,
 runs as (select file_ind, read_idx, min(pos) as start, count(*) as size from marked
   group by file_ind, read_idx, island)"""
 
+NO_CUTOFF = "cut as (select cast(0 as int) as cutoff)"
+
 PASS1 = [READS, windows(K), ALPHA, SAMPLED]
 PASS2 = [*PASS1, HISTOGRAM, CUTOFF, THRESHOLDS, COVERAGE, TRUSTED]
 
@@ -190,12 +200,12 @@ ranked as (select *, row_number() over (partition by file_ind, read_idx
   order by run desc, ascii(substr(qual, cast(pos + 1 as int), 1)), pos, base) as place from scored)"""
 
 
-def bloom_sizes(capacity: str) -> str:
+def bloom_sizes(genome: str) -> str:
     return f"""
 limits as (select 'a' as name, cast(0.01 as double) as fp union all select 'b', cast(0.0005 as double)),
 tries as (select name, unnest(range(2, 1000)) as h, fp from limits),
-costs as (select name, h, cast(floor({GENOME}*1.5) as bigint) as capacity,
-  -h*cast(floor({GENOME}*1.5) as bigint)/ln(1 - power(fp, 1.0/h)) + 256 as bits from tries),
+costs as (select name, h, cast(floor({genome}*1.5) as bigint) as capacity,
+  -h*cast(floor({genome}*1.5) as bigint)/ln(1 - power(fp, 1.0/h)) + 256 as bits from tries),
 sizes as (select name, capacity, h, bits from costs qualify row_number() over (partition by name order by bits, h) = 1)"""
 
 
@@ -265,7 +275,9 @@ from reads r left join trust t on r.file_ind = t.file_ind and r.read_idx = t.rea
 group by r.file_ind, r.read_idx"""),
         "trusted_kmers": sql(PASS2, "select kmer from b_set"),
         "trusted_store_roundtrip": sql(PASS2, "select kmer from b_set"),
+        "trusted_kmers_joined": sql(PASS2, "select kmer from b_set"),
         "solid_flags": _hits(solid_pass, "solid", "solid", "n_solid"),
+        "solid_flags_joined": _hits(solid_pass, "solid", "solid", "n_solid"),
         "solid_semi_join": sql(PASS2, """
 select kmer, count(*) as n_occurrences from windows
 where is_valid and kmer in (select kmer from b_set) group by kmer"""),
@@ -318,6 +330,10 @@ select round(sum(n)/(any_value(n_blocks)*256), 9) as occupancy,
   round(sum(power(n/256.0, h))/any_value(n_blocks), 9) as false_positive from blocks, total"""),
         "fastx_roundtrip": sql([READS], """
 select file_ind, row_number() over (order by read_idx) - 1 as read_idx, id, seq, qual from reads"""),
+        "fastx_roundtrip_fasta": sql([FASTA_READS], """
+select file_ind, row_number() over (order by read_idx) - 1 as read_idx, id, seq, qual from reads"""),
+        "paired_files_roundtrip": sql([TWO_FILES], """
+select file_ind, row_number() over (partition by file_ind order by read_idx) - 1 as read_idx, id, seq, qual from reads"""),
         "documents_kmers": f"""
 with reads as (select cast(0 as int) as file_ind, doc_id as read_idx,
   regexp_replace(upper(text), '[^ACGT]', '', 'g') as seq from documents), {windows(K)}
@@ -327,6 +343,32 @@ select kmer, count(*) as n_occurrences from windows where is_valid group by kmer
     noisy = [*PASS2, NOISY]
     out.update({
         "correct_reads": recursive([*PASS2, *correction("reads")], result),
+        "correct_reads_joined": recursive([*PASS2, *correction("reads")], result),
+        "correct_with_loaded_kmers": recursive([*PASS2, *correction("reads")], result),
+        "correct_reads_fasta": recursive(
+            [FASTA_READS, windows(K), ALPHA, SAMPLED, NO_CUTOFF, THRESHOLDS, COVERAGE, TRUSTED, *correction("reads")],
+            result.replace("qual", "cast(null as varchar) as qual")),
+        "correct_reads_noqual": recursive(
+            [*PASS1, NO_CUTOFF, THRESHOLDS, COVERAGE, TRUSTED, *correction("reads", new_quality="#")], result),
+        "correct_reads_two_files": recursive(
+            [TWO_FILES, windows(K), ALPHA, SAMPLED, HISTOGRAM, CUTOFF, THRESHOLDS, COVERAGE, TRUSTED, *correction("reads")],
+            result.replace("file_ind", "cast(read_idx % 2 as int) as file_ind")),
+        "pipeline_modelled": recursive(
+            [*PASS1, bloom_sizes(f"(({GENOME})//3)"), """
+fp as (select power(1 - exp(-h*(select count(*) from a)/(ceil(floor(bits)/8)*8)), h) as fp from sizes where name = 'a')""",
+             HISTOGRAM, CUTOFF.replace("cut as", "first_cut as"), """
+cut as (select case when fp > 0.1 and cutoff > 0 then cutoff + 1 else cutoff end as cutoff from first_cut, fp)""",
+             THRESHOLDS.replace("as p from alpha)", "as p0 from alpha),\nrated as (select p0 + fp - p0*fp as p from rate, fp)")
+             .replace("unnest(range(1, 18)) as n)), rate)", "unnest(range(1, 18)) as n)), rated)"),
+             COVERAGE, TRUSTED, *correction("reads", max_corrections=5)], result),
+        "correction_accuracy": recursive([*PASS2, *correction("reads"), """
+letters as (select substr(r.seq, i, 1) <> substr(r.true_seq, i, 1) as was_wrong, substr(c.seq, i, 1) <> substr(r.true_seq, i, 1) as is_wrong
+  from (select *, cast(unnest(range(1, length(true_seq) + 1)) as int) as i from reads) r
+    join corrected c on c.read_idx = r.read_idx where length(c.seq) = length(r.true_seq))"""], """
+select count(*) filter (was_wrong) as n_errors, count(*) filter (was_wrong and not is_wrong) as n_mended,
+  count(*) filter (is_wrong and not was_wrong) as n_made,
+  round((count(*) filter (was_wrong and not is_wrong) - count(*) filter (is_wrong and not was_wrong))
+    / nullif(count(*) filter (was_wrong), 0), 9) as gain from letters"""),
         "correct_noisy_reads": recursive([*noisy, *correction("noisy")], result),
         "correct_reads_trim": recursive([*noisy, *correction("noisy", trim=True, new_quality="5")], result),
         "correct_reads_strict": recursive([*noisy, *correction("noisy", max_corrections=2)], result),

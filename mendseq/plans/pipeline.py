@@ -30,9 +30,9 @@ class Settings:
     trim: bool = False
     use_quality: bool = True
     new_quality: str | None = None
-    # "exact": set A has no false positives. "modelled": thresholds and the
-    # adaptation to many errors as if set A were a Bloom filter for genome_size.
-    false_positives: str = EXACT
+    # "modelled": thresholds and the adaptation to many errors as if set A were a
+    # Bloom filter for genome_size. "exact": set A has no false positives.
+    false_positives: str = MODELLED
     max_broadcast: int = MAX_BROADCAST_BYTES
 
     def __post_init__(self):
@@ -45,6 +45,17 @@ class Settings:
             raise ValueError(f"unknown mode {self.false_positives!r}")
 
 
+@dataclass
+class Sample:
+    """What pass 1 finds, and the limits that follow from it."""
+
+    kmers: KmerSet
+    alpha: float
+    cutoff: int
+    max_corrections: int
+    thresholds: list[int]
+
+
 @dataclass
 class Trust:
     """Trusted k-mers and the two limits that may change on the way to them."""
@@ -57,32 +68,51 @@ class Trust:
 
 def quality_cutoff(reads: DataFrame, settings: Settings) -> int:
     cutoff = stats.bad_quality_cutoff(reads).first()["cutoff"] if settings.use_quality else 0
-    log.info("Bad quality threshold is %r", chr(cutoff)) if cutoff else log.info("No quality score used")
+    log.info("Bases up to quality %r don't count", chr(cutoff)) if cutoff else log.info("Qualities are not used")
     return cutoff
 
 
-def build_trusted(reads: DataFrame, settings: Settings) -> Trust:
-    """Passes 1 and 2: sample k-mers, then keep those whose every base is supported."""
-    alpha = settings.alpha
-    if alpha is None:
-        found = stats.infer_alpha(reads, settings.genome_size).first()
-        alpha = found["alpha"]
-        log.info("Average coverage is %.3f and alpha is %.3f", found["coverage"], alpha)
-        check_alpha(alpha)
+# The sampling rate where coverage is so low that every k-mer should be drawn.
+MOST_ALPHA = 0.999
+
+
+def sampling_rate(reads: DataFrame, settings: Settings) -> float:
+    """The given rate, or the one that samples every k-mer about seven times."""
+    if settings.alpha is not None:
+        return settings.alpha
+    found = stats.infer_alpha(reads, settings.genome_size).first()
+    # No bases at all: any rate samples nothing.
+    alpha = min(found["alpha"] or MOST_ALPHA, MOST_ALPHA)
+    log.info("Reads cover the genome %.3f times; k-mers are sampled at a rate of %.3f", found["coverage"] or 0.0, alpha)
+    return alpha
+
+
+def sample_kmers(reads: DataFrame, settings: Settings) -> Sample:
+    """Pass 1: set A, and what its size says about errors."""
+    alpha = sampling_rate(reads, settings)
     cutoff = quality_cutoff(reads, settings)
     sampled = KmerSet.store(kmersets.sampled_kmers(reads, settings.k, alpha), settings.k, "sampled")
     rate = 0.0
     if settings.false_positives == MODELLED:
         rate = BloomSize.for_genome(settings.genome_size, SAMPLED_FP).modelled_fp(sampled.rows)
-    log.info("Finished sampling k-mers: %d, false positive rate %f", sampled.rows, rate)
-    table = thresholds(alpha, settings.k, rate)
+    log.info("%d distinct k-mers sampled, %f of others taken for sampled", sampled.rows, rate)
     max_corrections = settings.max_corrections
     if max_corrections is None:
         max_corrections, cutoff = adapt_to_errors(rate, DEFAULT_MAX_CORRECTIONS, cutoff)
-    trusted = kmersets.trusted_kmers(reads, sampled, table, cutoff, settings.max_broadcast)
+    return Sample(sampled, alpha, cutoff, max_corrections, thresholds(alpha, settings.k, rate))
+
+
+def trust_from(reads: DataFrame, sample: Sample, settings: Settings) -> Trust:
+    """Pass 2: set B, k-mers whose every base is supported by the sample."""
+    trusted = kmersets.trusted_kmers(reads, sample.kmers, sample.thresholds, sample.cutoff, settings.max_broadcast)
     kmers = KmerSet.store(trusted, settings.k, "trusted")
-    log.info("Finished storing trusted k-mers: %d", kmers.rows)
-    return Trust(kmers, cutoff, max_corrections, alpha)
+    log.info("%d k-mers are trusted", kmers.rows)
+    return Trust(kmers, sample.cutoff, sample.max_corrections, sample.alpha)
+
+
+def build_trusted(reads: DataFrame, settings: Settings) -> Trust:
+    """Passes 1 and 2: sample k-mers, then keep those whose every base is supported."""
+    return trust_from(reads, sample_kmers(reads, settings), settings)
 
 
 def loaded_trust(reads: DataFrame, kmers: KmerSet, settings: Settings) -> Trust:

@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mendseq.functions.binomial import thresholds
 from mendseq.model import CorrectionParams
-from mendseq.operators import kmersets, stats
 from mendseq.operators.correct import correct
 from mendseq.operators.membership import KmerSet
+from mendseq.plans.pipeline import DEFAULT_MAX_CORRECTIONS, EXACT, Sample, Settings, Trust, sample_kmers, trust_from
 from mendseq.plans.reads_view import genome_length, noisy_reads, synthetic_reads
 from mendseq.session import materialize
 
 DEFAULT_K = 17
 
+# Other kinds of input, made of the same reads.
+VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "fasta": lambda reads: reads.withColumns({"id": F.translate("id", "@", ">"), "qual": F.lit(None).cast("string")}),
+    "two_files": lambda reads: reads.withColumn("file_ind", (F.col("read_idx") % 2).cast("int")),
+}
+
 
 class Workspace:
-    """Reads of one data folder and what is derived from them, each computed once."""
+    """Reads of one data folder and what is derived from them, each computed once.
+
+    The steps are those of ``pipeline``.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, k: int = DEFAULT_K):
-        self.spark, self.sf_dir, self.k = spark, sf_dir, k
+    def __init__(self, spark: SparkSession, sf_dir: str, k: int = DEFAULT_K, reads: DataFrame | None = None, **changes):
+        self.spark, self.sf_dir, self.k, self.changes = spark, sf_dir, k, changes
+        if reads is not None:
+            self.reads = reads
 
     @cached_property
     def reads(self) -> DataFrame:
@@ -36,47 +48,66 @@ class Workspace:
         return genome_length(self.spark, self.sf_dir)
 
     @cached_property
-    def alpha(self) -> float:
-        return stats.infer_alpha(self.reads, self.genome_size).first()["alpha"]
+    def settings(self) -> Settings:
+        plain = {"genome_size": self.genome_size, "false_positives": EXACT, "max_corrections": DEFAULT_MAX_CORRECTIONS}
+        return Settings(k=self.k, **(plain | self.changes))
 
     @cached_property
-    def cutoff(self) -> int:
-        return stats.bad_quality_cutoff(self.reads).first()["cutoff"]
+    def sample(self) -> Sample:
+        return sample_kmers(self.reads, self.settings)
 
     @cached_property
+    def trust(self) -> Trust:
+        return trust_from(self.reads, self.sample, self.settings)
+
+    @property
+    def alpha(self) -> float:
+        return self.sample.alpha
+
+    @property
+    def cutoff(self) -> int:
+        return self.sample.cutoff
+
+    @property
     def thresholds(self) -> list[int]:
-        return thresholds(self.alpha, self.k)
+        return self.sample.thresholds
 
-    @cached_property
+    @property
     def sampled(self) -> KmerSet:
-        return KmerSet.store(kmersets.sampled_kmers(self.reads, self.k, self.alpha), self.k, "sampled")
+        return self.sample.kmers
 
-    @cached_property
+    @property
     def trusted(self) -> KmerSet:
-        found = kmersets.trusted_kmers(self.reads, self.sampled, self.thresholds, self.cutoff)
-        return KmerSet.store(found, self.k, "trusted")
+        return self.trust.kmers
+
+    def view(self, name: str) -> Workspace:
+        """The same tables as another kind of input."""
+        return workspace(self.spark, self.sf_dir, name, lambda: Workspace(
+            self.spark, self.sf_dir, self.k, VIEWS[name](self.reads)))
+
+    def changed(self, name: str, **changes) -> Workspace:
+        """The same reads with other settings."""
+        return workspace(self.spark, self.sf_dir, name, lambda: Workspace(
+            self.spark, self.sf_dir, self.k, self.reads, **changes))
 
     def params(self, **changes) -> CorrectionParams:
-        return CorrectionParams(k=self.k, cutoff=self.cutoff, **changes)
+        return CorrectionParams(**({"k": self.k, "cutoff": self.trust.cutoff,
+                                    "max_corrections": self.trust.max_corrections} | changes))
 
     def corrected(self, **changes) -> DataFrame:
-        return correct(self.reads.drop("true_seq"), self.trusted, self.params(**changes))
+        return correct(self.reads.drop("true_seq"), self.trusted, self.params(**changes), self.settings.max_broadcast)
 
     def corrected_noisy(self, **changes) -> DataFrame:
         """The noisy reads against the k-mers the other reads made trusted."""
-        return correct(self.noisy, self.trusted, self.params(**changes))
+        return correct(self.noisy, self.trusted, self.params(**changes), self.settings.max_broadcast)
 
 
-_open: dict[tuple[str, str], Workspace] = {}
+_open: dict[tuple[str, str, str], Workspace] = {}
 
 
-def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
+def workspace(spark: SparkSession, sf_dir: str, name: str = "", make: Callable[[], Workspace] | None = None) -> Workspace:
     """The workspace of this Spark application for ``sf_dir``."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _open:
-        _open[key] = Workspace(spark, sf_dir)
+        _open[key] = make() if make else Workspace(spark, sf_dir)
     return _open[key]
-
-
-def forget() -> None:
-    _open.clear()

@@ -61,6 +61,6 @@ def test_headers_and_summary(spark):
     assert total.corrections_per_read == pytest.approx(4 / 6)
     total = summary(df, trim=True, discard=True).first()
     assert (total.trim_reads_cnt, total.trim_base_cnt, total.discard_reads_cnt) == (2, 16, 3)
-    assert "Processed 9 reads:" in summary_text(total) and "8.000000" in summary_text(total)
+    assert summary_text(total).split()[:2] == ["reads", "9"] and "8.000000" in summary_text(total)
     empty = summary(df.limit(0)).first()
     assert tuple(empty) == (0, 0, 0, 0, 0, 0, 0.0, 0.0)
