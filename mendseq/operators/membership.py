@@ -10,12 +10,15 @@ output batch. A question may come with a function that foresees further ones,
 * ``solve_by_join``: the set can have any size. Reads that share k-mers are put
   into the same group of bounded size; a group asks for each k-mer once, however
   many of its reads need it, and the questions of all groups are joined with the
-  set. A read stops at its first open question and is run again with the answers.
-  Each round is a written table, so a lost executor costs one round at most.
+  set, which is bucketed once and not moved again. A read stops at its first open
+  question and is run again with the answers; from the second round on it also asks
+  what it may need next. Each round is a written table, so a lost executor costs one
+  round at most.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 
@@ -39,14 +42,6 @@ Kernel = Callable[[pa.RecordBatch, np.ndarray], Generator[Question, np.ndarray,
 # Bases in one group of reads that ask together.
 GROUP_BASES = 1_000_000
 
-# A round that asks for no more k-mers than this broadcasts the questions to the
-# set, and the answers back, instead of shuffling the set.
-SMALL_ROUND = 1_000_000
-
-# Once a round asks for no more than this, fewer rounds are worth more than fewer
-# questions: from then on, reads that have to ask also ask what they may need next.
-EAGER_ROUND = 20_000
-
 FINISHED, PENDING, ASKING = range(3)
 
 
@@ -67,6 +62,14 @@ class KmerSet:
         width = 8 if self.k <= MAX_PACKED_K else self.k
         return self.rows * width <= max_bytes
 
+    def bucketed(self) -> DataFrame:
+        """The set written once more in sorted buckets: a join by k-mer moves only what is asked."""
+        spark = self.df.sparkSession
+        name, n = f"mendseq_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (self.df.repartition(n, "kmer").write.bucketBy(n, "kmer").sortBy("kmer")
+         .option("path", new_table_path(spark, "buckets")).saveAsTable(name))
+        return spark.table(name)
+
     def index(self) -> PackedIndex | LetteredIndex:
         """Only for a set within the broadcast bound."""
         return build_index(ragged.kmers_from_arrow(self.df.toArrow()["kmer"], self.k))
@@ -198,6 +201,7 @@ def _nearness(df: DataFrame, k: int) -> DataFrame:
 
 def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.StructType) -> DataFrame:
     spark, k, rounds = df.sparkSession, kmers.k, _Round(df.schema, schema, kmers.k)
+    members = kmers.bucketed()
     folder = new_table_path(spark, "rounds")
 
     def of_kind(path: str, kind: int) -> DataFrame:
@@ -210,55 +214,42 @@ def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
             yield from rounds.step(group, batch.select(rounds.given), kernel, nothing)
             group += 1
 
-    def again(key: tuple, waiting: pa.Table, asking: pa.Table, eager: bool) -> pa.Table:
+    def again(key: tuple, waiting: pa.Table, asking: pa.Table) -> pa.Table:
         reads = waiting.select([f"in_{n}" for n in rounds.given]).rename_columns(rounds.given)
         yes, no, asked, found = (
             ragged.kmers_from_arrow(asking[name].combine_chunks().flatten(), k)
             for name in ("yes", "no", "asked", "found"))
         known = Known(np.concatenate([yes, found]), np.concatenate([no, np.setdiff1d(asked, found)]))
         batch = reads.combine_chunks().to_batches()[0]
-        return pa.Table.from_batches(list(rounds.step(key[0].as_py(), batch, kernel, known, eager)))
-
-    def again_lazily(key: tuple, waiting: pa.Table, asking: pa.Table) -> pa.Table:
-        return again(key, waiting, asking, False)
-
-    def again_eagerly(key: tuple, waiting: pa.Table, asking: pa.Table) -> pa.Table:
-        return again(key, waiting, asking, True)
+        return pa.Table.from_batches(list(rounds.step(key[0].as_py(), batch, kernel, known, eager=True)))
 
     # Ordered by the least k-mer, then spread: a k-mer shared by very many reads does
     # not bring them all into one partition.
     ordered = _nearness(df, k).repartitionByRange("near", F.xxhash64(*KEYS)).sortWithinPartitions("near")
-    turn, eager, output = 0, False, ordered.mapInArrow(first, rounds.schema)
+    turn, output = 0, ordered.mapInArrow(first, rounds.schema)
     while True:
         path = f"{folder}/round={turn}"
         output.write.parquet(path)
         asking = of_kind(path, ASKING).select("group_id", "yes", "no", "asked")
-        n_asked = asking.agg(F.sum(F.size("asked"))).first()[0]
-        if not n_asked:
+        if asking.where(F.size("asked") > 0).isEmpty():
             break
-        found = found_kmers(asking, kmers, n_asked)
+        found = found_kmers(asking, members)
         answered = asking.join(found, "group_id", "left").withColumn(
             "found", F.coalesce("found", F.array().cast(T.ArrayType(kmer_type(k)))))
         waiting = of_kind(path, PENDING).select("group_id", *[f"in_{n}" for n in rounds.given])
-        eager = eager or n_asked <= EAGER_ROUND
-        task = again_eagerly if eager else again_lazily
         output = (waiting.groupBy("group_id").cogroup(answered.groupBy("group_id"))
-                  .applyInArrow(task, rounds.schema))
+                  .applyInArrow(again, rounds.schema))
         turn += 1
     return (of_kind(folder, FINISHED)
             .select(*[F.col(f"out_{name}").alias(name) for name in schema.names]))
 
 
-def found_kmers(asking: DataFrame, kmers: KmerSet, n_asked: int) -> DataFrame:
+def found_kmers(asking: DataFrame, members: DataFrame) -> DataFrame:
     """Which of the k-mers each group asks for are in the set.
 
     A group asks for a k-mer once, so even one that every read contains appears no
     more often than there are groups.
     """
     asked = asking.select("group_id", F.explode("asked").alias("kmer"))
-    members = kmers.df
-    if n_asked <= SMALL_ROUND:
-        wanted = F.broadcast(asked.select("kmer").distinct())
-        members = F.broadcast(members.join(wanted, "kmer", "left_semi"))
     return (asked.join(members, "kmer", "left_semi")
             .groupBy("group_id").agg(F.collect_list("kmer").alias("found")))

@@ -1,5 +1,3 @@
-import pytest
-
 from mendseq.operators import membership
 from mendseq.operators.kmersets import window_hits
 from mendseq.operators.membership import KmerSet
@@ -7,10 +5,8 @@ from mendseq.operators.membership import KmerSet
 READS = "file_ind int, read_idx bigint, seq string"
 
 
-@pytest.mark.parametrize("small_round", [1_000_000, 0])
-def test_a_kmer_most_reads_share(spark, monkeypatch, small_round):
+def test_a_kmer_most_reads_share(spark, monkeypatch):
     """Nearly all windows are the same k-mer, in the set or not."""
-    monkeypatch.setattr(membership, "SMALL_ROUND", small_round)
     monkeypatch.setattr(membership, "GROUP_BASES", 300)
     reads = [(0, i, "A" * 20 if i % 3 else "ACGTTGCACC") for i in range(200)]
     reads += [(0, 200 + i, "C" * 12) for i in range(100)]
@@ -36,6 +32,19 @@ def test_the_broadcast_bound_counts_bytes(spark):
 def test_found_kmers(spark):
     df = spark.createDataFrame([(1, [5, 6]), (2, [7]), (3, [6])], "group_id bigint, asked array<bigint>")
     kmers = KmerSet.store(spark.createDataFrame([(6,)], "kmer bigint"), 8)
-    for n in (4, membership.SMALL_ROUND + 1):
-        rows = membership.found_kmers(df, kmers, n).orderBy("group_id").collect()
-        assert [tuple(r) for r in rows] == [(1, [6]), (3, [6])]
+    rows = membership.found_kmers(df, kmers.bucketed()).orderBy("group_id").collect()
+    assert [tuple(r) for r in rows] == [(1, [6]), (3, [6])]
+
+
+def test_the_set_is_not_moved(spark):
+    df = spark.createDataFrame([(1, [5, 6])], "group_id bigint, asked array<bigint>")
+    members = KmerSet.store(spark.range(100).withColumnRenamed("id", "kmer"), 8).bucketed()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = membership.found_kmers(df, members)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # What is asked, and the answers of each group: nothing of the set.
+    assert plan.count("Exchange hashpartitioning") == 2
