@@ -60,6 +60,10 @@ def parse(argv: list[str]) -> argparse.Namespace:
         p.error("-saveTrustedKmers and -loadTrustedKmers exclude each other")
     if not 0 <= args.zlib <= 9:
         p.error("-zlib must be 0 to 9")
+    try:
+        settings_of(args)
+    except ValueError as wrong:
+        p.error(str(wrong))
     return args
 
 

@@ -69,9 +69,17 @@ def test_whole_run(spark, tmp_path):
         run(spark, *files, "-k", 13, 400, 0.1, "-loadTrustedKmers", tmp_path / "b", "-od", tmp_path / "out3")
 
 
+def test_no_reads_and_low_coverage(spark, tmp_path):
+    (tmp_path / "none.fq").write_text("")
+    assert run(spark, "-r", tmp_path / "none.fq", "-K", 11, 400, "-od", tmp_path / "out").split()[:2] == ["reads", "0"]
+    write(tmp_path / "few.fq", sample(n=5)[2])
+    assert run(spark, "-r", tmp_path / "few.fq", "-K", 11, 400, "-od", tmp_path / "out").split()[:2] == ["reads", "5"]
+
+
 @pytest.mark.parametrize("argv", [
     [], ["-r", "a", "-k", "17", "500", "0.1", "-K", "17", "500"], ["-r", "a"], ["-K", "17", "500"],
     ["-r", "a", "-K", "17", "500", "-saveTrustedKmers", "x", "-loadTrustedKmers", "y"],
+    ["-r", "a", "-k", "x", "500", "0.1"], ["-r", "a", "-K", "17", "0"], ["-r", "a", "-k", "17", "500", "1.5"],
     ["-r", "a", "-K", "17", "500", "-zlib", "10"], ["-r", "a", "-K", "17", "500", "-what"]])
 def test_wrong_command_lines(argv, capsys):
     with pytest.raises(SystemExit) as e:
