@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from mendseq.functions.sampling import PRIME, coin_sql
 from mendseq.operators.bloom import MIX, SEED_STEP
-from mendseq.plans.correction_oracle import correction
+from contract.correction_oracle import correction
 from mendseq.plans.workspace import DEFAULT_K
 
 K = DEFAULT_K
@@ -336,7 +336,7 @@ select file_ind, row_number() over (order by read_idx) - 1 as read_idx, id, seq,
 select file_ind, row_number() over (partition by file_ind order by read_idx) - 1 as read_idx, id, seq, qual from reads"""),
         "documents_kmers": f"""
 with reads as (select cast(0 as int) as file_ind, doc_id as read_idx,
-  regexp_replace(upper(text), '[^ACGT]', '', 'g') as seq from documents), {windows(K)}
+  regexp_replace(upper(text), '[^ACGTN]', '', 'g') as seq from documents), {windows(K)}
 select kmer, count(*) as n_occurrences from windows where is_valid group by kmer""",
     }
     result = "select file_ind, read_idx, seq, qual, correction, bad_prefix, bad_suffix, info from corrected"

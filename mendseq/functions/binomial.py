@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from math import comb
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
 from mendseq.model import check_alpha, check_k
 
 # Fixed values of the rule.
@@ -37,3 +40,20 @@ def thresholds(alpha: float, k: int, false_positive: float = 0.0) -> list[int]:
         cdf = binomial_cdf(n, p)
         table.append(next((j for j, c in enumerate(cdf) if c >= CONFIDENCE), n))
     return table
+
+
+def _choose(n: Column, m: Column) -> Column:
+    factors = F.when(m > 0, F.sequence(F.lit(1).cast("int"), m)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(factors, F.lit(1.0), lambda product, i: product * (n - m + i) / i)
+
+
+def threshold_table(rates: DataFrame, k: int) -> DataFrame:
+    """(n, threshold) for n = 1..k as a query on one row with the sampling rate ``alpha``."""
+    check_k(k)
+    alpha, n, m = F.col("alpha"), F.col("n"), F.col("m")
+    copies = F.greatest(F.lit(LEAST_MULTIPLICITY), (F.lit(0.1) / alpha * 2).cast("int"))
+    cells = (rates.select((1 - F.pow(1 - alpha, copies)).alias("p"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("n"))
+             .select("p", "n", F.explode(F.sequence(F.lit(0), n)).alias("m")))
+    mass = _choose(n, m) * F.pow("p", m) * F.pow(1 - F.col("p"), n - m)
+    so_far = F.sum(mass).over(Window.partitionBy("n").orderBy("m"))
+    return cells.withColumn("c", so_far).where(F.col("c") >= CONFIDENCE).groupBy("n").agg(F.min("m").alias("threshold"))

@@ -14,7 +14,7 @@ from math import exp, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendseq.model import MAX_PACKED_K
@@ -50,6 +50,27 @@ class BloomSize:
         return (1 - exp(-self.hashes * n_distinct / self.bits)) ** self.hashes
 
 
+def sizing(genomes: DataFrame) -> DataFrame:
+    """(name, capacity, hashes, bits) of both filters as a query on one row with ``genome_size``."""
+    limits = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(fp).alias("fp")) for n, fp in (("a", SAMPLED_FP), ("b", TRUSTED_FP))])
+    h, capacity = F.col("hashes"), F.col("capacity")
+    tried = genomes.select(F.floor(F.col("genome_size") * CAPACITY_PER_BASE).alias("capacity"), F.inline(limits)).select(
+        "name", "fp", "capacity", F.explode(F.sequence(F.lit(2), F.lit(MAX_HASHES))).alias("hashes"))
+    bits = -h * capacity / F.log(1 - F.pow("fp", F.lit(1.0) / h)) + BLOCK_BITS
+    best = F.min_by(F.struct("hashes", "size"), F.struct("size", "hashes")).alias("best")
+    return tried.withColumn("size", bits).groupBy("name", "capacity").agg(best).select(
+        "name", "capacity", "best.hashes", (F.ceil(F.floor("best.size") / 8) * 8).alias("bits"))
+
+
+def adaptation(sizes: DataFrame, n_distinct: Column, max_corrections: int, cutoff: Column) -> DataFrame:
+    """``sizes`` with the false positive rate after ``n_distinct`` keys, and the limits that follow."""
+    rate = F.pow(1 - F.exp(-F.col("hashes") * n_distinct / F.col("bits")), F.col("hashes"))
+    crowded = F.col("fp") > HIGH_ERROR_FP
+    return sizes.withColumn("fp", rate).withColumns({
+        "max_corrections": F.lit(max_corrections) + crowded.cast("int"),
+        "cutoff": cutoff + (crowded & (cutoff > 0)).cast("int")})
+
+
 def adapt_to_errors(false_positive: float, max_corrections: int, cutoff: int) -> tuple[int, int]:
     """A crowded set A means many errors: allow one more correction, raise the cutoff."""
     if false_positive <= HIGH_ERROR_FP:

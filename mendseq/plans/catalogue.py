@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendseq.functions import columns
+from mendseq.functions.binomial import threshold_table
 from mendseq.model import KEYS
 from mendseq.operators import bloom, kmersets, report, solid, stats
 from mendseq.plans.pipeline import MODELLED, Settings, build_trusted, loaded_trust
 from mendseq.plans.pipeline import correct_reads as run_correction
+from mendseq.plans.reads_view import genome_table
 from mendseq.plans.workspace import DEFAULT_K, Workspace, workspace
 from mendseq.session import new_table_path, spread
 from mendseq.sources.fastx import read_fastx, write_fastx
@@ -113,8 +115,7 @@ def set_a_distinct(w):
 
 @query
 def binomial_threshold(w):
-    rows = [(n, t) for n, t in enumerate(w.thresholds) if n]
-    return w.spark.createDataFrame(rows, "n int, threshold int")
+    return threshold_table(stats.infer_alpha(w.reads, w.genome_size), w.k)
 
 
 @query
@@ -205,17 +206,17 @@ def _bloom_sizes(w: Workspace) -> dict[str, bloom.BloomSize]:
 
 @query
 def bloom_sizing(w):
-    rows = [(name, s.capacity, s.hashes, s.bits) for name, s in _bloom_sizes(w).items()]
-    return w.spark.createDataFrame(rows, "name string, capacity bigint, hashes int, bits bigint")
+    return bloom.sizing(genome_table(w.spark, w.sf_dir))
 
 
 @query
 def high_error_adaptation(w):
     """The limits of a run when set A is as crowded as a filter sized for the genome."""
-    size = _bloom_sizes(w)["a"]
-    rows = [(parts, *bloom.adapt_to_errors(size.modelled_fp(w.sampled.rows * parts), 4, w.cutoff),
-             round(size.modelled_fp(w.sampled.rows * parts), 9)) for parts in (1, 2, 3)]
-    return w.spark.createDataFrame(rows, "load int, max_corrections int, cutoff int, fp double")
+    loads = bloom.sizing(genome_table(w.spark, w.sf_dir)).where("name = 'a'").withColumn(
+        "load", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    sampled = w.sampled.df.agg(F.count("*")).scalar()
+    found = bloom.adaptation(loads, sampled * F.col("load"), 4, stats.bad_quality_cutoff(w.reads).scalar())
+    return found.select("load", "max_corrections", "cutoff", F.round("fp", 9).alias("fp"))
 
 
 @query
@@ -366,9 +367,9 @@ def trusted_store_roundtrip(w):
 
 @query
 def documents_kmers(w):
-    """k-mers of the A, C, G and T letters of whole documents: very uneven lengths."""
+    """k-mers of the letters A, C, G, T and N of whole documents: very uneven lengths, other bases."""
     documents = w.spark.read.parquet(f"{w.sf_dir}/documents.parquet").select("doc_id", "text")
-    letters = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
+    letters = F.regexp_replace(F.upper("text"), "[^ACGTN]", "")
     reads = spread(documents, "doc_id").select(
         F.lit(0).alias("file_ind"), F.col("doc_id").alias("read_idx"), letters.alias("seq"))
     return _lettered(kmersets.kmer_counts(reads, DEFAULT_K), DEFAULT_K)

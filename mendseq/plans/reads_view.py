@@ -22,8 +22,13 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
 
+def genome_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row with ``genome_size``."""
+    return orders(spark, sf_dir).agg((BLOCK * F.floor(F.count("*") / ORDERS_PER_BLOCK)).alias("genome_size"))
+
+
 def genome_length(spark: SparkSession, sf_dir: str) -> int:
-    return BLOCK * (orders(spark, sf_dir).count() // ORDERS_PER_BLOCK)
+    return genome_table(spark, sf_dir).first()["genome_size"]
 
 
 def _block(index: Column) -> Column:
