@@ -20,6 +20,7 @@ FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 # The sample that is learned from: documents per language, the longest one taken, windows per document.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, SAMPLE_WINDOWS = 800, 20_000, 4
+THINNED = 2
 WINDOW, EMBEDDING, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
 EPOCHS, BATCH, RATE = 4, 64, 0.003
 # Windows that one product takes.
@@ -164,8 +165,12 @@ def fit(docs: DataFrame) -> Model:
     """Learns from a bounded sample, chosen by a hash, of rows that name their language and aren't held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS)) \
         .where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
+    # A language's rows are thinned by their hash before they meet, to a few times the sample.
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (known.select("lang", "doc_id").withColumn("place", F.row_number().over(by_hash))
+    ids = (known.select("lang", "doc_id").join(counts, "lang").where(chance * F.col("n") < THINNED * SAMPLE_PER_LANGUAGE)
+           .withColumn("place", F.row_number().over(by_hash))
            .where(F.col("place") <= SAMPLE_PER_LANGUAGE).select("doc_id").distinct())
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").toArrow()
     rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "lang", "text")])
