@@ -16,6 +16,18 @@ from mendseq.model import KEYS, MAX_BROADCAST_BYTES, check_alpha, check_k, kmer_
 from mendseq.operators.membership import KmerSet, solve
 
 
+# Windows of one piece of a long sequence.
+PIECE = 1 << 20
+
+
+def in_pieces(reads: DataFrame, k: int) -> DataFrame:
+    """(seq): the same windows of length ``k`` in sequences of bounded length, overlapping by k - 1."""
+    last = F.greatest(F.length("seq") - k, F.lit(0))
+    start = F.explode(F.sequence(F.lit(0), last, F.lit(PIECE))).alias("start")
+    return reads.where(F.col("seq").isNotNull()).select("seq", start).select(
+        F.substring(F.col("seq"), F.col("start") + 1, F.lit(PIECE + k - 1)).alias("seq"))
+
+
 def _batches_of_kmers(df: DataFrame, k: int, pick) -> DataFrame:
     """Distinct k-mers of the windows ``pick`` keeps; each batch is reduced first."""
 
@@ -30,7 +42,7 @@ def _batches_of_kmers(df: DataFrame, k: int, pick) -> DataFrame:
 def all_kmers(reads: DataFrame, k: int) -> DataFrame:
     """Distinct canonical k-mers of all reads."""
     check_k(k)
-    return _batches_of_kmers(reads.select("seq"), k, lambda _, w: w.kmer[w.valid])
+    return _batches_of_kmers(in_pieces(reads, k), k, lambda _, w: w.kmer[w.valid])
 
 
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
@@ -44,7 +56,7 @@ def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
             kmers, n = np.unique(w.kmer[w.valid], return_counts=True)
             yield pa.RecordBatch.from_arrays([ragged.kmers_to_arrow(kmers), pa.array(n)], names=schema.names)
 
-    return reads.select("seq").mapInArrow(task, schema).groupBy("kmer").agg(F.sum("n").alias("n_occurrences"))
+    return in_pieces(reads, k).mapInArrow(task, schema).groupBy("kmer").agg(F.sum("n").alias("n_occurrences"))
 
 
 def _sampled(batch: pa.RecordBatch, w: ragged.Windows, limit: int) -> np.ndarray:

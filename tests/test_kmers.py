@@ -160,3 +160,15 @@ def test_result_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame(rows, READS)
     one, many = (kmersets.sampled_kmers(df.repartition(n), 7, 0.3) for n in (1, 7))
     assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+
+
+def test_long_sequences_are_cut(spark, monkeypatch):
+    rng = random.Random(9)
+    reads = ["".join(rng.choice("ACGTN") for _ in range(n)) for n in (0, 4, 5, 6, 24, 25, 26, 300)]
+    df = spark.createDataFrame([(s,) for s in reads] + [(None,)], "seq string")
+    whole = {r.kmer: r.n_occurrences for r in kmersets.kmer_counts(df, 5).collect()}
+    distinct = {r.kmer for r in kmersets.all_kmers(df, 5).collect()}
+    monkeypatch.setattr(kmersets, "PIECE", 7)
+    assert {r.kmer: r.n_occurrences for r in kmersets.kmer_counts(df, 5).collect()} == whole
+    assert {r.kmer for r in kmersets.all_kmers(df, 5).collect()} == distinct
+    assert max(len(r.seq) for r in kmersets.in_pieces(df, 5).collect()) == 11
