@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendseq.llm.common import arrow_map
+from mendseq.llm.common import arrow_map, hashed_sample
 from mendseq.session import materialize
 
 NEIGHBOURS, QUERY_STEP = 5, 50
@@ -130,7 +130,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, pro
         return spark.createDataFrame([], result)
     dim, total = sizes[0]["dim"], sizes[0]["count"]
     known = known.where(F.size("v") == dim)
-    sample = known.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").toArrow()
+    sample = hashed_sample(known, "vec_id", SAMPLE, total).toArrow().sort_by("vec_id")
     fitted = np.array(sample.column("v").to_pylist(), np.float64)
     fitted_ids, fitted_unit = sample.column("vec_id").to_numpy(), _unit(fitted)
     n_lists = int(min(MOST_LISTS, max(1, round(total ** 0.5 / LIST_FACTOR)), len(fitted)))

@@ -165,7 +165,7 @@ def fit(docs: DataFrame) -> Model:
     """Learns from a bounded sample, chosen by a hash, of rows that name their language and aren't held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS)) \
         .where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
-    # A language's rows are thinned by their hash before they meet, to a few times the sample.
+    # A language's rows are thinned by their hash before they meet, to twice the sample.
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")

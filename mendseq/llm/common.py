@@ -13,7 +13,7 @@ from mendseq.session import materialize
 
 BATCH_ROWS = 1000
 
-__all__ = ["arrow_map", "edges_to_roots", "fold_of", "keep_rows", "row_numbers", "rows_of", "small_batches", "table"]
+__all__ = ["arrow_map", "edges_to_roots", "fold_of", "hashed_sample", "keep_rows", "row_numbers", "rows_of", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,15 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def hashed_sample(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """``n`` of the ``total`` rows of ``df`` by a hash of ``key``, or all if there are fewer.
+
+    Rows are thinned to about twice as many where they lie, so that only those meet.
+    """
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / (1 << 30)
+    return df.where(share * total < 2 * n).orderBy(F.xxhash64(key, F.lit(7)), key).limit(n)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Rows of text and of ids are long: lets Python workers get few of them at a time."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendseq.llm.common import arrow_map, rows_of
+from mendseq.llm.common import arrow_map, hashed_sample, rows_of
 
 # The sample of labelled pages that weights come from, and the longest one taken.
 SAMPLE, SAMPLE_CHARS = 2000, 100_000
@@ -158,9 +158,9 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 def fit(pages: DataFrame) -> Weights:
     """Learns from a bounded sample, chosen by a hash, of the pages that label their article."""
-    sample = (pages.where(F.col("html").contains("<article") & (F.length("html") <= SAMPLE_CHARS))
-              .select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(SAMPLE).toArrow())
-    return learn(sample.column("html").to_pylist())
+    labelled = pages.where(F.col("html").contains("<article") & (F.length("html") <= SAMPLE_CHARS)).select("page_id", "html")
+    sample = hashed_sample(labelled, "page_id", SAMPLE, labelled.count()).toArrow()
+    return learn(sample.sort_by([("page_id", "ascending"), ("html", "ascending")]).column("html").to_pylist())
 
 
 def extract(pages: DataFrame, weights: Weights) -> DataFrame:

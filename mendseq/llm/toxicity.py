@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendseq.llm.common import arrow_map, fold_of, keep_rows, rows_of
+from mendseq.llm.common import arrow_map, fold_of, hashed_sample, keep_rows, rows_of
 
 FOLDS, HELD_OUT = 5, 0
 # The sample that is learned from: documents per label, and the longest one taken.
@@ -125,11 +125,11 @@ def train(texts: list[str], labels: list[int]) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from a bounded sample, chosen by a hash, of labelled rows not held out."""
-    known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    known = (labels.where(F.col("toxic").isin(*SAMPLE_PER_LABEL) & F.col("doc_id").isNotNull())
              .where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    parts = [known.where(F.col("toxic") == label).orderBy(*order).limit(size)
+    total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect() if r["toxic"] in SAMPLE_PER_LABEL}
+    parts = [hashed_sample(known.where(F.col("toxic") == label), "doc_id", size, total.get(label, 0))
              for label, size in SAMPLE_PER_LABEL.items()]
     sample = parts[0].union(parts[1])
     rows = (docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
