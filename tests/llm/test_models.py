@@ -160,3 +160,27 @@ def test_texts_are_scored_alike_in_any_partitioning(spark):
     one = {r.doc_id: r.score for r in context_mixing.score(docs.coalesce(1)).collect()}
     many = {r.doc_id: r.score for r in context_mixing.score(docs.repartition(7)).collect()}
     assert all(abs(one[i] - many[i]) < 1e-4 * abs(one[i]) for i in one)
+
+
+def test_two_tokens_tell_the_next(spark):
+    # A row in which one token before tells nothing of the next, and the two before tell all.
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(64)]
+    follow = {(a, b): rng.choice(words) for a in words for b in words}
+    rows = []
+    for i in range(600):
+        line = rng.choices(words, k=2)
+        while len(line) < 120:
+            line.append(follow[line[-2], line[-1]])
+        rows.append((i, " ".join(line)))
+    scored = context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert sum(r.score for r in scored) > 0.75 * sum(r.base_score for r in scored)
+
+
+def test_every_decision_is_mixed(spark):
+    docs = spark.createDataFrame(list(enumerate(texts(40))), "doc_id long, text string")
+    model = context_mixing.fit(docs, context_mixing.word_counts(docs))
+    depths = context_mixing.CLASS_BITS + int(np.log2(model.ranks.max() + 1))
+    _, weights, refine = model.token_scores(model.ranks[:-1], np.array([len(model.ranks) - 1]))
+    assert len(model.weights) >= depths and model.weights.shape[1] == 4
+    assert (np.abs(weights - model.weights)[:depths].max(1) > 0).all() and (np.abs(refine - model.refine)[:depths].max(1) > 0).all()
