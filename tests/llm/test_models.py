@@ -163,16 +163,14 @@ def test_texts_are_scored_alike_in_any_partitioning(spark):
 
 
 def test_two_tokens_tell_the_next(spark):
-    # A row in which one token before tells nothing of the next, and the two before tell all.
+    # One token before tells nothing of the next; the two before tell all.
     rng = random.Random(5)
-    words = [f"w{i}" for i in range(64)]
-    follow = {(a, b): rng.choice(words) for a in words for b in words}
     rows = []
-    for i in range(600):
-        line = rng.choices(words, k=2)
-        while len(line) < 120:
-            line.append(follow[line[-2], line[-1]])
-        rows.append((i, " ".join(line)))
+    for i in range(1200):
+        line = [rng.randrange(31), rng.randrange(1, 31)]
+        while len(line) < 60:
+            line.append((line[-2] + line[-1]) % 31)
+        rows.append((i, " ".join(f"w{x}" for x in line)))
     scored = context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
     assert sum(r.score for r in scored) > 0.75 * sum(r.base_score for r in scored)
 
@@ -184,3 +182,15 @@ def test_every_decision_is_mixed(spark):
     _, weights, refine = model.token_scores(model.ranks[:-1], np.array([len(model.ranks) - 1]))
     assert len(model.weights) >= depths and model.weights.shape[1] == 4
     assert (np.abs(weights - model.weights)[:depths].max(1) > 0).all() and (np.abs(refine - model.refine)[:depths].max(1) > 0).all()
+
+
+def test_rare_words_keep_their_counts_in_score(spark, monkeypatch):
+    docs = documents(spark)
+    monkeypatch.setattr(context_mixing, "RANKED", 3)
+    found = []
+    for counted in (context_mixing.COUNTED, 8):
+        monkeypatch.setattr(context_mixing, "COUNTED", counted)
+        found.append(sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 6), r.score, r.bits_per_byte or 0.0)
+                            for r in context_mixing.score(docs).collect()))
+    assert all(a[:3] == b[:3] for a, b in zip(*found))
+    assert np.allclose([r[3:] for r in found[0]], [r[3:] for r in found[1]], rtol=1e-6)
