@@ -68,7 +68,7 @@ class Weights:
 
 
 def tokens(page: str, share) -> list[tuple[str, str, tuple[str, ...]]]:
-    """(tag key, text, open elements): tags have no text, texts no key."""
+    """(tag key, text, open elements around it): tags have no text, texts no key."""
     out, open_ = [], []
     for m in _TOKEN.finditer(page):
         if m["text"] is not None:
@@ -77,14 +77,15 @@ def tokens(page: str, share) -> list[tuple[str, str, tuple[str, ...]]]:
             name = m["name"].lower()
             if m["close"]:
                 at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i].partition(".")[0] == name), None)
-                out.append((open_[at] if at is not None else name, "", ()))
+                key = open_[at] if at is not None else name
                 if at is not None:
                     del open_[at:]
+                out.append((key, "", tuple(open_)))
                 continue
             key = element_key(name, m["rest"])
             if name in ANEW:
                 open_ = [k for k in open_ if share(k) > FOREIGN_SHARE]
-            out.append((key, "", ()))
+            out.append((key, "", tuple(open_)))
             if name not in VOID and not (m["rest"] or "").endswith("/"):
                 open_.append(key)
                 if len(open_) > 256:  # never closed
@@ -114,15 +115,27 @@ def learn(pages: list[str]) -> Weights:
 
 
 def best_region(found: list[tuple[str, str, tuple[str, ...]]], weights: Weights) -> tuple[int, int]:
-    """[start, end) of the run of tokens with the largest sum; the first of equal ones."""
+    """[start, end) of the run of tokens with the largest sum; the first of equal ones.
+
+    What is foreign inside of an article costs nothing but the tags of any element, so
+    that it doesn't part what is before and after it; ``main_text`` leaves it out.
+    """
     best, at, total, start = 0.0, (0, 0), 0.0, 0
     known: dict[tuple[str, ...], float] = {}
+    inner: dict[tuple[str, ...], bool] = {}
+
+    def inside(open_: tuple[str, ...]) -> bool:
+        if open_ not in inner:
+            inner[open_] = any(k.partition(".")[0] in ANEW and weights.share(k) > FOREIGN_SHARE for k in open_)
+        return inner[open_]
+
     for i, (key, text, open_) in enumerate(found):
         if key:
-            total += weights.tag(key)
+            total += -TAG if inside(open_) else weights.tag(key)
         else:
             if open_ not in known:
-                known[open_] = -1.0 if any(weights.share(k) <= FOREIGN_SHARE for k in open_) else 1.0
+                foreign = any(weights.share(k) <= FOREIGN_SHARE for k in open_)
+                known[open_] = 1.0 if not foreign else 0.0 if inside(open_) else -1.0
             total += known[open_] * len(text.split())
         if total <= 0:
             total, start = 0.0, i + 1

@@ -84,3 +84,15 @@ def test_rendered_and_read_back(spark):
     plan = chat.digests(formatted)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert chat.digests(chat.render(chat.fold(chat.events_of(empty(df))))).count() == 0
+
+
+def test_foreign_elements_in_an_article_do_not_part_it():
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    lede, body, end = words("lede", 12), words("body", 150), words("end", 9)
+    for outer in ("article", "main"):
+        for inner in ("<aside><p>{}</p></aside>", '<div class="ad">{}</div>', "<figure><figcaption>{}</figcaption></figure>",
+                      "<form>{}<button>send</button></form>"):
+            foreign = inner.format(words("other", 30))
+            page = (f"<html><body><nav>{words('menu', 20)}</nav><{outer}><p>{lede}</p>{foreign}<p>{body}</p>{foreign}<p>{end}</p></{outer}>"
+                    f"<footer>{words('foot', 20)}</footer></body></html>")
+            assert html_region.main_text(page, html_region.Weights()) == "\n".join([lede, body, end])
