@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from mendseq.llm import adaptive_scan, common, golay_simhash as g
 from tests.llm.data import documents, empty, texts
 
@@ -174,3 +175,28 @@ def test_blocks_of_a_large_list(spark, monkeypatch):
 def test_components(spark, edges, want):
     found = common.edges_to_roots(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.root for r in found} == want and len(found) == len(want)
+
+
+def test_copies_by_jaccard_of_five_words(spark):
+    rng = random.Random(11)
+    rows, sets = [], {}
+    for group in range(12):
+        base = [f"g{group}w{rng.randrange(400)}" for _ in range(120)]
+        rows.append((len(rows), " ".join(base)))
+        for edits in (1, 2, 3, 5, 8):  # similarities of about 0.92, 0.85, 0.78, 0.66 and 0.5
+            words = list(base)
+            for at in rng.sample(range(5, 115), edits):
+                words[at] = f"new{rng.randrange(10 ** 6)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(500, rows[0][1]), (501, ""), (502, " "), (503, "one two"), (504, "one  TWO")]
+    for i, t in rows:
+        words = t.lower().split()
+        sets[i] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    kept = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root.values()))
