@@ -200,3 +200,13 @@ def test_copies_by_jaccard_of_five_words(spark):
                 root = {i: new if r == old else r for i, r in root.items()}
     kept = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(root.values()))
+
+
+def test_copies_keep_rows_that_share_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, "quite another text than that one"), (2, long + " end"), (None, long), (None, "alone and without an id at all"),
+            (None, "alone and without an id at all"), (1, long)]
+    kept = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted(
+        [(1, long), (1, rows[1][1]), (0, rows[4][1])])
+    assert corpus_pipeline.drop_copies(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
