@@ -213,7 +213,8 @@ def count(docs: DataFrame, wanted: Wanted, least: int) -> DataFrame:
         yield from flush()
 
     small_batches(docs.sparkSession)
-    rows = docs.mapInArrow(run, "lang string, phrase string, words int, known boolean, n long")
+    # Lots are reduced already: dealt out as they are, phrases are aggregated once, where they meet.
+    rows = docs.mapInArrow(run, "lang string, phrase string, words int, known boolean, n long").repartition("lang", "phrase", "words")
     return rows.groupBy("lang", "phrase", "words").agg(F.max("known").alias("known"), F.sum("n").alias("n")) \
         .where((F.col("words") == 0) | (F.col("n") >= least))
 
