@@ -40,8 +40,8 @@ REPLACED = 50
 SET_BITS = 1 << 12, 1 << 28
 # Words reduced together before anything leaves the task.
 LOT = 2_000_000
-# Parts in which the phrases of one language are ranked first.
-SALTS = 64
+# Parts in which the phrases of one language are ranked first, and the width of steps of scores.
+SALTS, SCORE_STEP = 64, 1000
 
 END = b"\n"
 _TO_WORDS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + END * 10)
@@ -287,13 +287,21 @@ def unreplaced(phrases: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``best`` phrases of each language.
 
-    By score, then occurrences, then bytes of the phrase. A language's phrases are ranked
-    in SALTS parts first, of each of which only the first ``best`` can be among them.
+    By score, then occurrences, then bytes of the phrase. Whole steps of scores that can't
+    be among them go first; what stays is ranked in SALTS parts, then together.
     """
     found = mine(docs, least)
-    phrases = unreplaced(scored(found)).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    step = F.expr(f"score div {SCORE_STEP}").alias("step")
+    phrases = materialize(unreplaced(scored(found)).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))), "scored")
+    # At most 1,001 steps a language.
+    above = Window.partitionBy("lang").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    steps = phrases.groupBy("lang", step).agg(F.count("*").alias("m"))
+    lowest = steps.withColumn("above", F.coalesce(F.sum("m").over(above), F.lit(0))).where(F.col("above") < best) \
+        .groupBy("lang").agg((F.min("step") * SCORE_STEP).alias("lowest"))
+    lowest = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     order = F.col("score").desc(), F.col("a").desc(), F.col("phrase")
-    few = phrases.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= best)
+    high = phrases.join(lowest, ["lang", "salt"]).where(F.col("score") >= F.col("lowest"))
+    few = high.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= best)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= best)
     totals = found.where(F.col("words") == 0).select("lang", "n")
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
