@@ -15,12 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendseq.llm.common import arrow_map, fold_of, keep_rows, rows_of
+from mendseq.session import materialize
 
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 # The sample that is learned from: documents per language, the longest one taken, windows per document.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, SAMPLE_WINDOWS = 800, 20_000, 4
 THINNED = 2
+# Languages whose counts are broadcast.
+FEW_LANGUAGES = 10_000
 WINDOW, EMBEDDING, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
 EPOCHS, BATCH, RATE = 4, 64, 0.003
 # Windows that one product takes.
@@ -166,7 +169,9 @@ def fit(docs: DataFrame) -> Model:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS)) \
         .where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     # A language's rows are thinned by their hash before they meet, to twice the sample.
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = materialize(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if counts.count() <= FEW_LANGUAGES:
+        counts = F.broadcast(counts)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (known.select("lang", "doc_id").join(counts, "lang").where(chance * F.col("n") < THINNED * SAMPLE_PER_LANGUAGE)

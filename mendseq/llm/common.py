@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from mendseq.session import materialize
 
 BATCH_ROWS = 1000
+# Bits of a filter: 16 for each number, between these bounds.
+FILTER_BITS = 1 << 12, 1 << 28
 
-__all__ = ["arrow_map", "edges_to_roots", "fold_of", "hashed_sample", "keep_rows", "row_numbers", "rows_of", "small_batches", "table"]
+__all__ = ["HashFilter", "arrow_map", "edges_to_roots", "fold_of", "hash_filter", "hashed_sample", "keep_rows", "row_numbers", "rows_of", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,29 @@ def hashed_sample(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
     return df.where(share * total < 2 * n).orderBy(F.xxhash64(key, F.lit(7)), key).limit(n)
 
 
+class HashFilter:
+    """Hashed numbers as bits; some that are not among them pass by chance."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(len(bits) * 64 - 1)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) & self.mask
+        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def hash_filter(df: DataFrame, name: str) -> HashFilter:
+    """The filter of a column of hashes; at most 32 MiB, beyond some 16 million of them more pass by chance."""
+    least, most = FILTER_BITS
+    size = min(most, max(least, 1 << (16 * df.count()).bit_length()))
+    at = F.col(name).bitwiseAND(F.lit(size - 1))
+    blocks = df.select(F.shiftright(at, 6).alias("block"), F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))").alias("bits")) \
+        .groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[blocks.column("block").to_numpy()] = blocks.column("bits").to_numpy().view(np.uint64)
+    return HashFilter(bits)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Rows of text and of ids are long: lets Python workers get few of them at a time."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -80,12 +106,16 @@ def row_numbers() -> Callable[[int], list[int]]:
     return take
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step of the alternating star algorithm; edges have ``a`` > ``b``."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One step of the alternating star algorithm; the ``total`` edges have ``a`` > ``b``."""
     flipped = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     seen = edges.union(flipped) if large else edges
-    least = seen.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = seen.join(least, "a")
+    least = seen.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree"))
+    # At most 2,000 nodes have so many edges; theirs are not brought together.
+    hub = F.col("degree") * 1000 > total
+    marked = seen.join(F.broadcast(least.where(hub).select("a", "m")), "a", "left")
+    joined = marked.where(F.col("m").isNotNull()).union(
+        marked.where(F.col("m").isNull()).drop("m").join(least.where(~hub).select("a", "m"), "a"))
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -104,13 +134,13 @@ def edges_to_roots(edges: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     now = materialize(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(),
                       "edges")
-    before = None
+    before, total = None, now.count()
     while True:
-        now = materialize(_star(_star(now, large=True), large=False), "stars")
+        now = materialize(_star(_star(now, True, total), False, total), "stars")
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == before or mark[0] == 0:
             break
-        before = mark
+        before, total = mark, mark[0]
     return now.select(a.alias("node"), b.alias("root")).union(
         now.select(b.alias("node"), b.alias("root")).distinct())
 

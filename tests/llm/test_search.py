@@ -1,11 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pytest
 import xxhash
 
 import corpus_pipeline
-from mendseq.llm import adaptive_scan, common, golay_simhash as g
+from mendseq.llm import adaptive_scan, common, copies, golay_simhash as g
 from tests.llm.data import documents, empty, texts
 
 
@@ -210,3 +211,45 @@ def test_copies_keep_rows_that_share_an_id(spark):
     assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted(
         [(1, long), (1, rows[1][1]), (0, rows[4][1])])
     assert corpus_pipeline.drop_copies(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
+def test_copies_in_parted_groups(spark, monkeypatch):
+    """The same groups, whether texts that bands connect are compared at once, by band or by blocks."""
+    rng = random.Random(4)
+    passage = [f"common{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        own = [f"t{i // 3}w{rng.randrange(99)}" for _ in range(80)]
+        rows.append((i, " ".join(passage + own if i % 3 else passage + own[:40])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = []
+    for together in (1 << 21, 2000, 500):
+        monkeypatch.setattr(copies, "TOGETHER", together)
+        kept.append(sorted(r.doc_id for r in copies.first_of_each(docs).collect()))
+    sets = [copies.shingles(t) for _, t in rows]
+    root = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                root = [root[b] if r == root[a] else r for r in root] if root[b] < root[a] else [root[a] if r == root[b] else r for r in root]
+    assert kept[0] == kept[1] == kept[2] == sorted(set(root))
+
+
+def test_many_texts_with_a_passage_and_no_link():
+    """No sets are opened where signatures tell enough."""
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 62, 500).astype(np.uint64)])) for _ in range(600)]
+    sets += [sets[0][3:], sets[5][:-4]]
+    signs = np.stack([copies.signature(s).astype(np.uint8) for s in sets])
+    begin = time.time()
+    assert sorted(map(sorted, copies.link_sets(list(range(602)), signs, sets))) == [[0, 600], [5, 601]]
+    assert time.time() - begin < 2
+
+
+@pytest.mark.parametrize("hubs", [1, 3])
+def test_components_with_hubs(spark, hubs):
+    edges = [(h * 10_000 + i, h * 10_000) for h in range(hubs) for i in range(1, 400)] + [(900_000, 900_001), (900_001, 900_002)]
+    found = {r.node: r.root for r in common.edges_to_roots(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {n: n // 10_000 * 10_000 for e in edges for n in e}
