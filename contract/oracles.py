@@ -370,6 +370,7 @@ select count(*) filter (was_wrong) as n_errors, count(*) filter (was_wrong and n
   round((count(*) filter (was_wrong and not is_wrong) - count(*) filter (is_wrong and not was_wrong))
     / nullif(count(*) filter (was_wrong), 0), 9) as gain from letters"""),
         "correct_noisy_reads": recursive([*noisy, *correction("noisy")], result),
+        "correct_noisy_reads_joined": recursive([*noisy, *correction("noisy")], result),
         "correct_reads_trim": recursive([*noisy, *correction("noisy", trim=True, new_quality="5")], result),
         "correct_reads_strict": recursive([*noisy, *correction("noisy", max_corrections=2)], result),
         "annotated_headers": recursive([*noisy, *correction("noisy")], """

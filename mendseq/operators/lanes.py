@@ -13,6 +13,7 @@ from collections.abc import Generator
 
 import numpy as np
 
+from mendseq.functions.nodes import Nodes
 from mendseq.functions.ragged import OTHER, Ragged, canonical_windows, within
 
 CHECK_ANCHOR, MOVE_ANCHOR, SCAN, DONE = range(4)
@@ -92,7 +93,7 @@ class Lanes:
             window += first
             if len(lane):
                 hit[lane, base, window] = yield (
-                    self.owner[turn][lane], kmers[lane, base, window], lambda: self._foresee(turn, kmers, usable))
+                    self.owner[turn][lane], kmers[lane, base, window], lambda: self._foresee(turn), lane * 4 + base)
                 hit &= self.alive[self.owner[turn]][:, None, None]
         supported = np.logical_and.accumulate(hit, axis=2).sum(axis=2)
         going = self.alive[self.owner[turn]]
@@ -103,19 +104,19 @@ class Lanes:
         scan = going & (phase == SCAN)
         yield from self._scan(turn[scan], supported[scan], own[scan])
 
-    def _foresee(self, turn: np.ndarray, kmers: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All that may be asked in this turn, and in the next if it moves by one base."""
-        lane, base, window = np.nonzero(usable)
-        here = self.owner[turn][lane], kmers[lane, base, window]
-        ahead = turn[(self.phase[turn] == SCAN) & (self.at[turn] + 1 < self.length[turn])]
-        k, at = self.k, self.at[ahead] + 1
-        around = self.text[(self.off[ahead] + at - k + 1)[:, None] + np.arange(2 * k - 1)]
-        variants = np.repeat(around[:, None, :], 16, axis=1)
-        variants[:, :, k - 2], variants[:, :, k - 1] = np.arange(16) // 4, np.arange(16) % 4
-        kmers, usable = canonical_windows(variants, k)
-        lane, base, window = np.nonzero(usable)
-        there = self.owner[ahead][lane], kmers[lane, base, window]
-        return np.concatenate([here[0], there[0]]), np.concatenate([here[1], there[1]])
+    def _foresee(self, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k-1 bases ahead of where each lane is and of all later gaps in its trusted windows."""
+        k, cells = self.k, np.arange(len(self.next_gap) - 1)
+        open_ = self.next_gap[:-1] == cells
+        opens = np.flatnonzero(open_ & ~np.concatenate([[False], open_[:-1]]))
+        lane = np.searchsorted(self.off, opens, side="right") - 1
+        here = self.at - k + 1
+        later = np.isin(lane, turn) & (opens - self.off[lane] > here[lane]) & (opens - self.off[lane] < self.n_windows[lane])
+        lane = np.concatenate([turn, lane[later]])
+        start = np.concatenate([self.off[turn] + here[turn], opens[later]])
+        base = self.text[start[:, None] + np.arange(k - 1)]
+        usable = (base < OTHER).all(axis=1)
+        return self.owner[lane[usable]], Nodes(k).of_bases(base[usable])
 
     def _check_anchor(self, lanes: np.ndarray, supported: np.ndarray) -> None:
         """The run is a good start if changing only the next base explains what follows."""

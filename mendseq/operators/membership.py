@@ -2,23 +2,21 @@
 
 A *kernel* is a Python generator over one Arrow batch. It yields questions,
 ``(rows, kmers)``, and is sent one boolean per k-mer; what it returns is the
-output batch. A question may come with a function that foresees further ones,
-``(rows, kmers)`` again. The same kernel runs in two ways:
+output batch. A kernel of one question runs in two ways:
 
 * ``solve_in_task``: the set is small (its rows were counted), so every task holds
   a hash table of it and answers in place. No shuffle.
 * ``solve_by_join``: the set can have any size. Reads that share k-mers are put
   into the same group of bounded size; a group asks for each k-mer once, however
   many of its reads need it, and the questions of all groups are joined with the
-  set, which is bucketed once and not moved again. A read stops at its first open
-  question and is run again with the answers; from the second round on it also asks
-  what it may need next. Each round is a written table, so a lost executor costs one
-  round at most.
+  set, which is bucketed once and not moved again.
+
+Kernels of which each question depends on the answers before ask a set of any size
+by ``walks.solve_by_walks``.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 
@@ -33,10 +31,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from mendseq.functions import ragged
 from mendseq.functions.index import LetteredIndex, PackedIndex, build_index, spread_codes
 from mendseq.model import KEYS, MAX_BROADCAST_BYTES, MAX_PACKED_K, kmer_type
-from mendseq.session import materialize, new_table_path
+from mendseq.session import Bucketed, materialize, new_table_path
 
 Kmers = tuple[np.ndarray, np.ndarray]
-Question = Kmers | tuple[np.ndarray, np.ndarray, Callable[[], Kmers]]
+# The third part foresees nodes of ``walks`` that may be asked for later. The fourth numbers
+# chains of k-mers, of which only those before the first one missing make a difference.
+Question = Kmers | tuple[np.ndarray, np.ndarray, Callable[[], Kmers], np.ndarray]
 Kernel = Callable[[pa.RecordBatch, np.ndarray], Generator[Question, np.ndarray, pa.RecordBatch]]
 
 # Bases in one group of reads that ask together.
@@ -52,6 +52,9 @@ class KmerSet:
     df: DataFrame
     k: int
     rows: int
+    # Written when they are first needed: the set in buckets, and its neighbourhoods.
+    buckets: Bucketed | None = None
+    walks: Bucketed | None = None
 
     @classmethod
     def store(cls, df: DataFrame, k: int, name: str = "kmers") -> KmerSet:
@@ -62,13 +65,11 @@ class KmerSet:
         width = 8 if self.k <= MAX_PACKED_K else self.k
         return self.rows * width <= max_bytes
 
-    def bucketed(self) -> DataFrame:
-        """The set written once more in sorted buckets: a join by k-mer moves only what is asked."""
-        spark = self.df.sparkSession
-        name, n = f"mendseq_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (self.df.repartition(n, "kmer").write.bucketBy(n, "kmer").sortBy("kmer")
-         .option("path", new_table_path(spark, "buckets")).saveAsTable(name))
-        return spark.table(name)
+    def bucketed(self) -> Bucketed:
+        """The set in sorted buckets: a join by k-mer moves only what is asked."""
+        if self.buckets is None:
+            self.buckets = Bucketed.write(self.df, "kmer", self.rows)
+        return self.buckets
 
     def index(self) -> PackedIndex | LetteredIndex:
         """Only for a set within the broadcast bound."""
@@ -121,7 +122,7 @@ class Known:
         return known, known & self.member[at]
 
 
-def run_known(batch: pa.RecordBatch, kernel: Kernel, known: Known, eager: bool = False):
+def run_known(batch: pa.RecordBatch, kernel: Kernel, known: Known):
     """Run ``kernel`` as far as the known answers go.
 
     Returns its output for the reads that finish, which reads do not, the known
@@ -132,7 +133,7 @@ def run_known(batch: pa.RecordBatch, kernel: Kernel, known: Known, eager: bool =
     run, answer = kernel(batch, alive), None
     while True:
         try:
-            rows, asked, *foresee = run.send(answer)
+            rows, asked, *_ = run.send(answer)
         except StopIteration as end:
             out = end.value
             break
@@ -140,12 +141,7 @@ def run_known(batch: pa.RecordBatch, kernel: Kernel, known: Known, eager: bool =
         history.append((rows, asked, is_known, answer))
         stopped = np.zeros(batch.num_rows, dtype=bool)
         stopped[rows[~is_known]] = True
-        stopped &= alive
-        alive[stopped] = False
-        if eager and foresee and stopped.any():
-            rows, more = foresee[0]()
-            rows, more = rows[stopped[rows]], more[stopped[rows]]
-            history.append((rows, more, *known.look_up(more)))
+        alive[stopped & alive] = False
     rows, asked, is_known, member = (
         (np.concatenate(v) for v in zip(*history)) if history else (np.zeros(0, np.int64),) * 4)
     waits = ~alive[rows]
@@ -153,38 +149,40 @@ def run_known(batch: pa.RecordBatch, kernel: Kernel, known: Known, eager: bool =
     return out, ~alive, (asked[waits & member], asked[waits & is_known & ~member], asked[waits & ~is_known])
 
 
-class _Round:
+class Rounds:
     """The rows a round writes: finished output, reads that wait, and what a group asks."""
 
-    def __init__(self, given: T.StructType, schema: T.StructType, k: int):
-        kmers = T.ArrayType(kmer_type(k))
-        self.given, self.out, self.k = given.names, schema.names, k
+    def __init__(self, given: T.StructType, schema: T.StructType, state: list[T.StructField]):
+        self.given, self.out = given.names, schema.names
         self.schema = T.StructType(
             [T.StructField("kind", T.IntegerType()), T.StructField("group_id", T.LongType())]
             + [T.StructField(f"out_{f.name}", f.dataType) for f in schema]
-            + [T.StructField(f"in_{f.name}", f.dataType) for f in given]
-            + [T.StructField(name, kmers) for name in ("yes", "no", "asked")])
+            + [T.StructField(f"in_{f.name}", f.dataType) for f in given] + state)
         self.types = to_arrow_schema(self.schema)
 
-    def _rows(self, n: int, kind: int, group: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    def rows(self, n: int, kind: int, group: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
         columns = {"kind": pa.array(np.full(n, kind, np.int32)), "group_id": pa.array(np.full(n, group)), **columns}
         return pa.RecordBatch.from_arrays(
             [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in self.types],
             schema=self.types)
 
-    def step(self, group: int, reads: pa.RecordBatch, kernel: Kernel, known: Known,
-             eager: bool = False) -> Iterator[pa.RecordBatch]:
-        out, waits, depends = run_known(reads, kernel, known, eager)
-        yield self._rows(out.num_rows, FINISHED, group, {f"out_{n}": out[n] for n in self.out})
+
+class _Joining(Rounds):
+    def __init__(self, given: T.StructType, schema: T.StructType, k: int):
+        super().__init__(given, schema, [T.StructField(name, T.ArrayType(kmer_type(k))) for name in ("yes", "no", "asked")])
+
+    def step(self, group: int, reads: pa.RecordBatch, kernel: Kernel, known: Known) -> Iterator[pa.RecordBatch]:
+        out, waits, depends = run_known(reads, kernel, known)
+        yield self.rows(out.num_rows, FINISHED, group, {f"out_{n}": out[n] for n in self.out})
         if waits.any():
             kept = reads.take(pa.array(np.flatnonzero(waits)))
-            yield self._rows(kept.num_rows, PENDING, group, {f"in_{n}": kept[n] for n in self.given})
-            yield self._rows(1, ASKING, group, {
+            yield self.rows(kept.num_rows, PENDING, group, {f"in_{n}": kept[n] for n in self.given})
+            yield self.rows(1, ASKING, group, {
                 name: pa.ListArray.from_arrays(pa.array([0, len(kmers)], pa.int32()), ragged.kmers_to_arrow(kmers))
                 for name, kmers in zip(("yes", "no", "asked"), map(np.unique, depends))})
 
 
-def _nearness(df: DataFrame, k: int) -> DataFrame:
+def nearness(df: DataFrame, k: int) -> DataFrame:
     """Adds ``near``: reads that overlap often have the same least k-mer."""
     size = min(k, MAX_PACKED_K)
     schema = T.StructType([*df.schema, T.StructField("near", T.LongType())])
@@ -200,8 +198,7 @@ def _nearness(df: DataFrame, k: int) -> DataFrame:
 
 
 def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.StructType) -> DataFrame:
-    spark, k, rounds = df.sparkSession, kmers.k, _Round(df.schema, schema, kmers.k)
-    members = kmers.bucketed()
+    spark, k, rounds = df.sparkSession, kmers.k, _Joining(df.schema, schema, kmers.k)
     folder = new_table_path(spark, "rounds")
 
     def of_kind(path: str, kind: int) -> DataFrame:
@@ -221,25 +218,26 @@ def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
             for name in ("yes", "no", "asked", "found"))
         known = Known(np.concatenate([yes, found]), np.concatenate([no, np.setdiff1d(asked, found)]))
         batch = reads.combine_chunks().to_batches()[0]
-        return pa.Table.from_batches(list(rounds.step(key[0].as_py(), batch, kernel, known, eager=True)))
+        return pa.Table.from_batches(list(rounds.step(key[0].as_py(), batch, kernel, known)))
 
     # Ordered by the least k-mer, then spread: a k-mer shared by very many reads does
     # not bring them all into one partition.
-    ordered = _nearness(df, k).repartitionByRange("near", F.xxhash64(*KEYS)).sortWithinPartitions("near")
+    ordered = nearness(df, k).repartitionByRange("near", F.xxhash64(*KEYS)).sortWithinPartitions("near")
     turn, output = 0, ordered.mapInArrow(first, rounds.schema)
-    while True:
-        path = f"{folder}/round={turn}"
-        output.write.parquet(path)
-        asking = of_kind(path, ASKING).select("group_id", "yes", "no", "asked")
-        if asking.where(F.size("asked") > 0).isEmpty():
-            break
-        found = found_kmers(asking, members)
-        answered = asking.join(found, "group_id", "left").withColumn(
-            "found", F.coalesce("found", F.array().cast(T.ArrayType(kmer_type(k)))))
-        waiting = of_kind(path, PENDING).select("group_id", *[f"in_{n}" for n in rounds.given])
-        output = (waiting.groupBy("group_id").cogroup(answered.groupBy("group_id"))
-                  .applyInArrow(again, rounds.schema))
-        turn += 1
+    with kmers.bucketed().opened(spark) as members:
+        while True:
+            path = f"{folder}/round={turn}"
+            output.write.parquet(path)
+            asking = of_kind(path, ASKING).select("group_id", "yes", "no", "asked")
+            if asking.where(F.size("asked") > 0).isEmpty():
+                break
+            found = found_kmers(asking, members)
+            answered = asking.join(found, "group_id", "left").withColumn(
+                "found", F.coalesce("found", F.array().cast(T.ArrayType(kmer_type(k)))))
+            waiting = of_kind(path, PENDING).select("group_id", *[f"in_{n}" for n in rounds.given])
+            output = (waiting.groupBy("group_id").cogroup(answered.groupBy("group_id"))
+                      .applyInArrow(again, rounds.schema))
+            turn += 1
     return (of_kind(folder, FINISHED)
             .select(*[F.col(f"out_{name}").alias(name) for name in schema.names]))
 

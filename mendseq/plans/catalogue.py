@@ -11,6 +11,7 @@ from mendseq.functions import columns
 from mendseq.functions.binomial import threshold_table
 from mendseq.model import KEYS
 from mendseq.operators import bloom, kmersets, report, solid, stats
+from mendseq.operators.correct import correct
 from mendseq.plans.pipeline import MODELLED, Settings, build_trusted, loaded_trust
 from mendseq.plans.pipeline import correct_reads as run_correction
 from mendseq.plans.reads_view import genome_table
@@ -316,6 +317,13 @@ def correct_reads_joined(w):
     return _joined(w).corrected().select(*RESULT)
 
 
+@query
+def correct_noisy_reads_joined(w):
+    """Several errors a read, by neighbourhoods of the set."""
+    joined = _joined(w)
+    return correct(w.noisy, w.trusted, w.params(), joined.settings.max_broadcast).select(*RESULT)
+
+
 @query
 def correction_accuracy(w):
     """Errors in the reads by what became of them; gain: those mended less those made, of all."""

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +40,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows in one bucket of a written table, more or less.
+BUCKET_ROWS = 4_000_000
+
+
+@dataclass
+class Bucketed:
+    """A table written in sorted buckets by one column, which is then joined by it without being moved."""
+
+    path: str
+    columns: str
+    key: str
+    buckets: int
+
+    @classmethod
+    def write(cls, df: DataFrame, key: str, rows: int) -> Bucketed:
+        """``rows``: about how many there are, which sets the number of buckets."""
+        spark = df.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+        name, path = f"mendseq_{uuid.uuid4().hex}", new_table_path(spark, "buckets")
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+        spark.sql(f"drop table {name}")
+        return cls(path, columns, key, n)
+
+    @contextmanager
+    def opened(self, spark: SparkSession) -> Iterator[DataFrame]:
+        """The table; in the catalogue, which knows of its buckets, only as long as this lasts."""
+        name = f"mendseq_{uuid.uuid4().hex}"
+        spark.sql(f"create table {name} ({self.columns}) using parquet clustered by ({self.key}) sorted by ({self.key}) "
+                  f"into {self.buckets} buckets location '{self.path}'")
+        try:
+            yield spark.table(name)
+        finally:
+            spark.sql(f"drop table {name}")
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partition a source that arrives in fewer splits than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -32,19 +32,31 @@ def test_the_broadcast_bound_counts_bytes(spark):
 def test_found_kmers(spark):
     df = spark.createDataFrame([(1, [5, 6]), (2, [7]), (3, [6])], "group_id bigint, asked array<bigint>")
     kmers = KmerSet.store(spark.createDataFrame([(6,)], "kmer bigint"), 8)
-    rows = membership.found_kmers(df, kmers.bucketed()).orderBy("group_id").collect()
+    with kmers.bucketed().opened(spark) as members:
+        rows = membership.found_kmers(df, members).orderBy("group_id").collect()
     assert [tuple(r) for r in rows] == [(1, [6]), (3, [6])]
 
 
 def test_the_set_is_not_moved(spark):
     df = spark.createDataFrame([(1, [5, 6])], "group_id bigint, asked array<bigint>")
-    members = KmerSet.store(spark.range(100).withColumnRenamed("id", "kmer"), 8).bucketed()
+    kmers = KmerSet.store(spark.range(100).withColumnRenamed("id", "kmer"), 8)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        joined = membership.found_kmers(df, members)
-        plan = joined._jdf.queryExecution().executedPlan().toString()
+        with kmers.bucketed().opened(spark) as members:
+            joined = membership.found_kmers(df, members)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # What is asked, and the answers of each group: nothing of the set.
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_buckets_are_written_once_and_leave_no_table(spark):
+    kmers = KmerSet.store(spark.range(100).withColumnRenamed("id", "kmer"), 8)
+    with kmers.bucketed().opened(spark) as members:
+        assert members.count() == 100
+    assert kmers.bucketed() is kmers.bucketed()
+    with kmers.bucketed().opened(spark) as members:
+        assert members.where("kmer = 7").count() == 1
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("mendseq_")]
