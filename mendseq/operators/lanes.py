@@ -13,7 +13,7 @@ from collections.abc import Generator
 
 import numpy as np
 
-from mendseq.functions.nodes import Nodes
+from mendseq.functions.nodes import WALK, Nodes
 from mendseq.functions.ragged import OTHER, Ragged, canonical_windows, within
 
 CHECK_ANCHOR, MOVE_ANCHOR, SCAN, DONE = range(4)
@@ -105,15 +105,17 @@ class Lanes:
         yield from self._scan(turn[scan], supported[scan], own[scan])
 
     def _foresee(self, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k-1 bases ahead of where each lane is and of all later gaps in its trusted windows."""
+        """The k-1 bases ahead of where each lane is and of later gaps in its trusted windows, one in half a walk."""
         k, cells = self.k, np.arange(len(self.next_gap) - 1)
         open_ = self.next_gap[:-1] == cells
         opens = np.flatnonzero(open_ & ~np.concatenate([[False], open_[:-1]]))
         lane = np.searchsorted(self.off, opens, side="right") - 1
         here = self.at - k + 1
         later = np.isin(lane, turn) & (opens - self.off[lane] > here[lane]) & (opens - self.off[lane] < self.n_windows[lane])
-        lane = np.concatenate([turn, lane[later]])
-        start = np.concatenate([self.off[turn] + here[turn], opens[later]])
+        lane, opens = lane[later], opens[later]
+        stretch = (opens - self.off[lane] - here[lane]) // (WALK // 2)
+        ahead = (stretch > 0) & np.concatenate([[True], (lane[1:] != lane[:-1]) | (stretch[1:] != stretch[:-1])])[:len(lane)]
+        lane, start = np.concatenate([turn, lane[ahead]]), np.concatenate([self.off[turn] + here[turn], opens[ahead]])
         base = self.text[start[:, None] + np.arange(k - 1)]
         usable = (base < OTHER).all(axis=1)
         return self.owner[lane[usable]], Nodes(k).of_bases(base[usable])

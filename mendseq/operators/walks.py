@@ -79,10 +79,11 @@ def neighbourhoods(kmers: KmerSet) -> Bucketed:
 class Facts:
     """Which bases go on at the nodes a group knows of; none at those it asked for in vain."""
 
-    def __init__(self, nodes: Nodes, known: np.ndarray, exts: np.ndarray):
+    def __init__(self, nodes: Nodes, known: np.ndarray, exts: np.ndarray, fresh: int = 0):
+        """The first ``fresh`` are kept for the next round although no read has used them yet."""
         self.arithmetic = nodes
         self.nodes, first = np.unique(known, return_index=True)
-        self.exts = exts[first]
+        self.exts, self.fresh = exts[first], np.flatnonzero(first < fresh)
 
     def _at(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.nodes):
@@ -140,6 +141,9 @@ def run_walking(batch: pa.RecordBatch, kernel: Kernel, facts: Facts, ahead: bool
         if not stopped.any():
             continue
         lacking = ~known & stopped[rows]
+        if more:
+            # What comes after depends on it, and walks will tell of most of that.
+            lacking &= ~after_a_miss(more[1], lacking)
         wanted += [(rows[lacking], node) for node, _ in facts.arithmetic.ends(asked[lacking])]
         if ahead and more:
             rows, nodes = more[0]()
@@ -157,14 +161,13 @@ class _Walking(Rounds):
         super().__init__(given, schema, [T.StructField("nodes", node), T.StructField("exts", T.ArrayType(T.IntegerType())),
                                          T.StructField("asked", node)])
 
-    def step(self, group: int, reads: pa.RecordBatch, kernel: Kernel, facts: Facts, walked: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """``walked`` are nodes to be kept although no read has used them yet."""
+    def step(self, group: int, reads: pa.RecordBatch, kernel: Kernel, facts: Facts) -> Iterator[pa.RecordBatch]:
         out, waits, used, asked = run_walking(reads, kernel, facts, ahead=bool(len(facts.nodes)))
         yield self.rows(out.num_rows, FINISHED, group, {f"out_{n}": out[n] for n in self.out})
         if waits.any():
             kept = reads.take(pa.array(np.flatnonzero(waits)))
             yield self.rows(kept.num_rows, PENDING, group, {f"in_{n}": kept[n] for n in self.given})
-            kept = np.union1d(used, np.flatnonzero(np.isin(facts.nodes, walked)))
+            kept = np.union1d(used, facts.fresh)
             columns = {"nodes": ragged.kmers_to_arrow(facts.nodes[kept]), "exts": pa.array(facts.exts[kept].astype(np.int32)),
                        "asked": ragged.kmers_to_arrow(asked)}
             yield self.rows(1, ASKING, group, {
@@ -195,23 +198,23 @@ def solve_by_walks(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Stru
         group = TaskContext.get().partitionId() << 32
         nothing = Facts(nodes, nodes.none(), np.zeros(0, np.int64))
         for batch in ragged.slices(batches, max_bases=GROUP_BASES):
-            yield from rounds.step(group, batch.select(rounds.given), kernel, nothing, nodes.none())
+            yield from rounds.step(group, batch.select(rounds.given), kernel, nothing)
             group += 1
 
     def again(key: tuple, waiting: pa.Table, asking: pa.Table) -> pa.Table:
         reads = waiting.select([f"in_{n}" for n in rounds.given]).rename_columns(rounds.given)
         lists = asking.combine_chunks().to_batches()[0]
         old, asked = (nodes.from_arrow(lists[name].flatten()) for name in ("nodes", "asked"))
-        found = lists["found"].flatten() if "found" in lists.schema.names else None
+        found = lists["found"].flatten()
         got, exts = nodes.from_arrow(found.field("node")), found.field("exts").to_numpy(zero_copy_only=False).astype(np.int64)
-        walked = nodes.none()
-        if found.type.num_fields == 4:
-            walked, exts = nodes.walked(got, exts, found.field("walk").to_pylist(), found.field("last").to_numpy(zero_copy_only=False).astype(np.int64))
-            got = walked
+        walks = found.type.num_fields == 4
+        if walks:
+            got, exts = nodes.walked(got, exts, found.field("walk").to_pylist(), found.field("last").to_numpy(zero_copy_only=False).astype(np.int64))
         known = np.concatenate([got, old, asked])
         exts = np.concatenate([exts, lists["exts"].flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.zeros(len(asked), np.int64)])
         batch = reads.combine_chunks().to_batches()[0]
-        return pa.Table.from_batches(list(rounds.step(key[0].as_py(), batch, kernel, Facts(nodes, known, exts), walked)))
+        facts = Facts(nodes, known, exts, fresh=len(got) if walks else 0)
+        return pa.Table.from_batches(list(rounds.step(key[0].as_py(), batch, kernel, facts)))
 
     ordered = nearness(df, k).repartitionByRange("near", F.xxhash64(*KEYS)).sortWithinPartitions("near")
     turn, output = 0, ordered.mapInArrow(first, rounds.schema)
