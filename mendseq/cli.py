@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from mendseq.operators.report import annotate, summary, summary_text
+from mendseq.operators.report import annotate, observed, summary_text
 from mendseq.plans.pipeline import MODELLED, Settings, build_trusted, correct_reads, loaded_trust
 from mendseq.session import materialize
 from mendseq.sources.fastx import read_fastx, write_fastx
@@ -88,9 +88,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str | None:
     if args.saveTrustedKmers:
         save_trusted(trust.kmers.df, args.saveTrustedKmers, settings.k, trust.alpha, settings.genome_size)
         return None
-    corrected = materialize(correct_reads(reads, trust, settings), "corrected")
+    counted, summary_row = observed(correct_reads(reads, trust, settings), settings.trim, args.discard)
+    corrected = materialize(counted, "corrected")
     write_fastx(annotate(corrected, settings.trim, args.discard), args.r, args.od, args.zlib)
-    return summary_text(summary(corrected, settings.trim, args.discard).first())
+    return summary_text(summary_row())
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -195,14 +195,16 @@ def position_profile(reads: DataFrame, sampled: KmerSet, table: list[int], cutof
 def coverage_counts(reads: DataFrame, sampled: KmerSet, table: list[int], cutoff: int,
                     max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Bases by the windows covering them and those in A, counted per batch first."""
-    fields = ["n_windows", "n_hits", "n_positions", "pos_sum"]
+    fields, k = ["n_windows", "n_hits", "n_positions", "pos_sum"], sampled.k
     schema = T.StructType([T.StructField(n, T.LongType()) for n in fields])
 
     def output(batch, w, hit, coverage, alive):
         kept = alive[coverage.row] & (coverage.n_windows > 0)
-        pairs, place = np.unique(np.stack([coverage.n_windows[kept], coverage.n_hits[kept]]), axis=1, return_inverse=True)
-        place, n = place.ravel(), pairs.shape[1]
-        columns = *pairs, np.bincount(place, minlength=n), np.bincount(place, coverage.pos[kept], n)
+        # At most k windows cover a base, so both numbers are one small number.
+        place = coverage.n_windows[kept].astype(np.int64) * (k + 1) + coverage.n_hits[kept]
+        counts, sums = np.bincount(place), np.bincount(place, coverage.pos[kept])
+        met = np.flatnonzero(counts)
+        columns = met // (k + 1), met % (k + 1), counts[met], sums[met]
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=fields)
 
     kernel = _coverage_kernel(sampled.k, table, cutoff, output)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from mendseq.model import KEYS, INFO_AMBIGUOUS, INFO_LOW_COVERAGE, INFO_OVER_CORRECTED
@@ -36,28 +38,53 @@ def annotate(corrected: DataFrame, trim: bool = False, discard: bool = False) ->
     return kept.withColumn("id", annotated_id(trim))
 
 
-def summary(corrected: DataFrame, trim: bool = False, discard: bool = False) -> DataFrame:
-    """One row of totals. A read with bad ends but no correction counts as error-free."""
+def totals(trim: bool = False, discard: bool = False) -> list[Column]:
+    """What is counted over the corrected reads. A read with bad ends but no correction counts as error-free."""
     trimmed = (F.col("bad_suffix") > 0) & F.lit(trim)
     total = F.coalesce(F.sum(F.lit(1)), F.lit(0))
 
     def count(condition: Column, value: Column = F.lit(1)) -> Column:
         return F.coalesce(F.sum(F.when(condition, value)), F.lit(0)).cast("bigint")
 
-    return corrected.agg(
+    return [
         count(F.col("correction") > 0, F.col("correction")).alias("corr_cnt"),
         count(trimmed).alias("trim_reads_cnt"),
         count(trimmed, F.col("bad_suffix")).alias("trim_base_cnt"),
         count((F.col("correction") < 0) & F.lit(discard)).alias("discard_reads_cnt"),
         total.cast("bigint").alias("total_reads"),
         count(F.col("correction") == 0).alias("error_free_reads_cnt"),
-    ).withColumn(
+    ]
+
+
+def with_ratios(counted: DataFrame) -> DataFrame:
+    return counted.withColumn(
         "corrections_per_read",
         F.coalesce(F.try_divide("corr_cnt", F.col("total_reads") - F.col("error_free_reads_cnt")), F.lit(0.0))
     ).withColumn(
         "bases_per_trim", F.coalesce(F.try_divide("trim_base_cnt", "trim_reads_cnt"), F.lit(0.0)))
 
 
+def summary(corrected: DataFrame, trim: bool = False, discard: bool = False) -> DataFrame:
+    """One row of totals, by a scan of the corrected reads."""
+    return with_ratios(corrected.agg(*totals(trim, discard)))
+
+
+def observed(corrected: DataFrame, trim: bool = False, discard: bool = False) -> tuple[DataFrame, Callable[[], Row]]:
+    """The same reads, and a function that gives the row of ``summary`` once they were written.
+
+    The totals are counted while the reads pass, so no further scan is needed.
+    """
+    seen = Observation()
+    counted = corrected.observe(seen, *totals(trim, discard))
+
+    def row() -> Row:
+        found = seen.get
+        schema = ", ".join(f"{name} bigint" for name in found)
+        return with_ratios(corrected.sparkSession.createDataFrame([tuple(found.values())], schema)).first()
+
+    return counted, row
+
+
 def summary_text(row) -> str:
     lines = [("reads", row.total_reads), ("reads without errors", row.error_free_reads_cnt),
              ("bases corrected", row.corr_cnt), ("corrections per read with errors", f"{row.corrections_per_read:.6f}"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,12 +12,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 
+log = logging.getLogger(__name__)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one only under a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if named:
+        if not sc.master.startswith("local") and not shared_scheme(spark, named):
+            log.warning("spark.checkpoint.dir %s is a local path: every executor must see the same folder there", named)
         return named
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
@@ -24,6 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_scheme(spark: SparkSession, path: str) -> bool:
+    """Whether a path names another file system than that of each machine."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(sc._jsc.hadoopConfiguration()).getScheme() != "file"
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder; what is written there goes when the application ends."""
     path = f"{shared_folder(spark).rstrip('/')}/mendseq-{name}-{uuid.uuid4().hex}"

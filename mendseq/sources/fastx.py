@@ -146,10 +146,13 @@ def read_fastx(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
             if not batch.num_rows:
                 continue
             where = batch["before"].to_numpy(), batch["file_ind"].to_numpy(), batch["block_start"].to_numpy()
-            kinds, inverse = np.unique(np.stack(where), axis=1, return_inverse=True)
-            for c in range(kinds.shape[1]):
-                rows = np.flatnonzero(inverse.ravel() == c)
-                before, file_ind, start = kinds[:, c].tolist()
+            if all((w == w[0]).all() for w in where):  # one split of one input, as a rule
+                parts = [np.arange(batch.num_rows)]
+            else:
+                _, inverse = np.unique(np.stack(where), axis=1, return_inverse=True)
+                parts = [np.flatnonzero(inverse.ravel() == c) for c in range(inverse.max() + 1)]
+            for rows in parts:
+                before, file_ind, start = (int(w[rows[0]]) for w in where)
                 key = (batch["file_path"][int(rows[0])].as_py(), start)
                 if key != now:
                     for split in open_.values():

@@ -6,10 +6,11 @@ import pytest
 from mendseq import cli
 from mendseq.functions.columns import pack
 from mendseq.model import CorrectionParams
-from mendseq.operators import bloom
+from mendseq.operators import bloom, report
 from mendseq.operators.kmersets import all_kmers
 from mendseq.operators.membership import KmerSet
 from mendseq.plans.pipeline import Settings
+from mendseq.session import materialize
 from mendseq.streaming.correction import correct_stream
 from tests import data
 from tests.brute import Brute
@@ -143,3 +144,17 @@ def test_stream(spark, tmp_path):
     got = {r.read_idx: r.seq for r in spark.read.parquet(str(out)).collect()}
     plain = Brute(trusted, k)
     assert got == {i: plain(r[1], r[2])[0] for i, r in enumerate(reads)}
+
+
+def test_summary_while_writing(spark):
+    """The totals are those of a scan, and no scan is made for them."""
+    rows = [(i % 4 - 1, i % 3, i % 5, i) for i in range(50)]
+    corrected = spark.createDataFrame(rows, "correction int, bad_prefix int, bad_suffix int, read_idx long").repartition(4)
+    for trim, discard in ((False, False), (True, True)):
+        counted, row = report.observed(corrected, trim, discard)
+        written = materialize(counted, "counted")
+        assert row().asDict() == report.summary(written, trim, discard).first().asDict()
+        assert "CollectMetrics" in counted._jdf.queryExecution().executedPlan().toString()
+    counted, row = report.observed(corrected.where("1 = 0"))
+    materialize(counted, "none")
+    assert row().asDict() == report.summary(corrected.where("1 = 0")).first().asDict()
