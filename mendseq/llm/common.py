@@ -106,16 +106,12 @@ def row_numbers() -> Callable[[int], list[int]]:
     return take
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """One step of the alternating star algorithm; the ``total`` edges have ``a`` > ``b``."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One step of the alternating star algorithm; edges have ``a`` > ``b``."""
     flipped = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     seen = edges.union(flipped) if large else edges
-    least = seen.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree"))
-    # At most 2,000 nodes have so many edges; theirs are not brought together.
-    hub = F.col("degree") * 1000 > total
-    marked = seen.join(F.broadcast(least.where(hub).select("a", "m")), "a", "left")
-    joined = marked.where(F.col("m").isNotNull()).union(
-        marked.where(F.col("m").isNull()).drop("m").join(least.where(~hub).select("a", "m"), "a"))
+    least = seen.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    joined = seen.join(least, "a")
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -134,13 +130,13 @@ def edges_to_roots(edges: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     now = materialize(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(),
                       "edges")
-    before, total = None, now.count()
+    before = None
     while True:
-        now = materialize(_star(_star(now, True, total), False, total), "stars")
+        now = materialize(_star(_star(now, large=True), large=False), "stars")
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == before or mark[0] == 0:
             break
-        before, total = mark, mark[0]
+        before = mark
     return now.select(a.alias("node"), b.alias("root")).union(
         now.select(b.alias("node"), b.alias("root")).distinct())
 
