@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +33,30 @@ FOREIGN_NAME = re.compile(
 # An article begins here whatever element before was never closed.
 ANEW = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+# Elements that hold paragraphs' words, but no paragraphs beside foreign elements.
+PARAGRAPH = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "figure", "table",
+             "thead", "tbody", "tfoot", "tr", "td", "th", "caption"}
+# What parts a page whose paragraphs are in no element of their own.
+PAGE, PARTING = {"", "html", "body"}, {"nav", "header", "footer", "menu", "head", "title"}
+# Implied end tags. An element ends the open ones named first, up to one of those named second.
+SCOPE = {"table", "td", "th", "caption", "button", "object"}
+LISTS = {"ul", "ol", "menu", "dl"}
+CELLS, GROUPS = {"td", "th"}, {"thead", "tbody", "tfoot", "colgroup", "caption"}
+IMPLIED = ({"li": ({"li"}, SCOPE | LISTS), "dt": ({"dt", "dd"}, SCOPE | LISTS), "dd": ({"dt", "dd"}, SCOPE | LISTS),
+            "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+            "tr": (CELLS | {"tr", "caption", "colgroup"}, {"table"})}
+           | dict.fromkeys(CELLS, (CELLS, {"tr", "table"})) | dict.fromkeys(GROUPS, (CELLS | GROUPS | {"tr"}, {"table"})))
+ENDS_PARAGRAPH = {"address", "article", "aside", "blockquote", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure",
+                  "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p",
+                  "pre", "section", "table", "ul", "li", "dt", "dd"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
           "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 
+# A quote counts only where an attribute's value begins; svg alone may end with its own tag.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<svg(?=[\s/])[^<>]*/>"
+    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I)
 _NAME = re.compile(r"""\b(?:class|id)\s*=\s*["']?([^"'>]+)""", re.I)
 # White space as HTML and Unicode have it.
@@ -67,76 +87,210 @@ class Weights:
         return -(TAG + FOREIGN_TAG * (1 - self.share(key)) ** 2)
 
 
-def tokens(page: str, share) -> list[tuple[str, str, tuple[str, ...]]]:
-    """(tag key, text, open elements around it): tags have no text, texts no key."""
-    out, open_ = [], []
+class _Told(Weights):
+    """Knows only what pages told; all other elements are an article's."""
+
+    def share(self, key: str) -> float:
+        return self.shares.get(key, 1.0)
+
+
+class Element:
+    """An element of a page, linked to the one around it; iterates over the keys from itself outwards."""
+
+    __slots__ = ("key", "name", "parent", "number", "first", "labelled", "holder")
+
+    def __init__(self, key: str = "", parent: Element | None = None, number: int = 0, first: bool = True):
+        self.key, self.name, self.parent, self.number = key, key.partition(".")[0], parent, number
+        # Whether none around it has its key, and whether an article is around it.
+        self.first, self.labelled = first, self.name == "article" or parent is not None and parent.labelled
+        # The innermost one that holds paragraphs.
+        self.holder = parent.holder if self.name in PARAGRAPH or self.name in INLINE else self
+
+    def __iter__(self):
+        at = self
+        while at.parent is not None:
+            yield at.key
+            at = at.parent
+
+
+class _Open:
+    """The open elements, with the places of each name, so that none is searched for."""
+
+    def __init__(self, share):
+        self.stack, self.places, self.keys, self.foreign = [Element()], defaultdict(list), Counter(), []
+        self.share, self.number = share, 0
+
+    @property
+    def top(self) -> Element:
+        return self.stack[-1]
+
+    def push(self, key: str) -> Element:
+        self.number += 1
+        element = Element(key, self.top, self.number, not self.keys[key])
+        self.places[element.name].append(len(self.stack))
+        if self.share(key) <= FOREIGN_SHARE:
+            self.foreign.append(len(self.stack))
+        self.keys[key] += 1
+        self.stack.append(element)
+        return element
+
+    def pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            element = self.stack.pop()
+            self.places[element.name].pop()
+            self.keys[element.key] -= 1
+        while self.foreign and self.foreign[-1] >= place:
+            self.foreign.pop()
+
+    def last(self, names: set[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
+
+    def end_implied(self, closed: set[str], barriers: set[str]) -> None:
+        """Ends the outermost of the named elements that no barrier encloses, and all inside it."""
+        open_ = [self.places[n] for n in closed if self.places[n]]
+        if open_:
+            barrier = self.last(barriers)
+            found = [places[i] for places in open_ if (i := bisect_right(places, barrier)) < len(places)]
+            if found:
+                self.pop_to(min(found))
+
+    def start(self, name: str, key: str) -> Element:
+        if name in ENDS_PARAGRAPH:
+            self.end_implied({"p"}, SCOPE)
+        if name in IMPLIED:
+            self.end_implied(*IMPLIED[name])
+        if name in ANEW and self.foreign:
+            kept = [e.key for e in self.stack[self.foreign[0]:] if self.share(e.key) > FOREIGN_SHARE]
+            self.pop_to(self.foreign[0])
+            for k in kept:
+                self.push(k)
+        return self.push(key)
+
+    def end(self, name: str) -> Element | None:
+        """The element that an end tag ends, if it ends one."""
+        places = self.places[name]
+        barriers = {"table"} if name in CELLS | GROUPS | {"tr"} else SCOPE | LISTS if name == "li" else SCOPE
+        if not places or places[-1] < self.last(barriers - {name}) and name not in ("table", *ANEW):
+            return None
+        element = self.stack[places[-1]]
+        self.pop_to(places[-1])
+        return element
+
+
+def tokens(page: str, share) -> list[tuple[str, str, Element]]:
+    """(tag key, text, element): tags have no text, texts no key.
+
+    The element is the innermost one around a text and the one whose tag it is.
+    Elements nest as deeply as the page has them.
+    """
+    out, open_ = [], _Open(share)
     for m in _TOKEN.finditer(page):
         if m["text"] is not None:
-            out.append(("", m["text"], tuple(open_)))
+            out.append(("", m["text"], open_.top))
         elif m["name"]:
             name = m["name"].lower()
             if m["close"]:
-                at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i].partition(".")[0] == name), None)
-                key = open_[at] if at is not None else name
-                if at is not None:
-                    del open_[at:]
-                out.append((key, "", tuple(open_)))
+                ended = open_.end(name)
+                out.append((ended.key, "", ended) if ended else (name, "", open_.top))
                 continue
-            key = element_key(name, m["rest"])
-            if name in ANEW:
-                open_ = [k for k in open_ if share(k) > FOREIGN_SHARE]
-            out.append((key, "", tuple(open_)))
-            if name not in VOID and not (m["rest"] or "").endswith("/"):
-                open_.append(key)
-                if len(open_) > 256:  # never closed
-                    del open_[:128]
+            element = open_.start(name, element_key(name, m["rest"]))
+            out.append((element.key, "", element))
+            if name in VOID or (m["rest"] or "").endswith("/"):
+                open_.pop_to(len(open_.stack) - 1)
     return out
 
 
+class _Marks:
+    """What the weights say about elements, found once for each."""
+
+    def __init__(self, weights: Weights):
+        self.weights, self.known = weights, {}
+
+    def of(self, element: Element) -> tuple[Element | None, bool]:
+        """The outermost foreign element around it, and whether it is inside an article."""
+        path = []
+        while element.parent is not None and element not in self.known:
+            path.append(element)
+            element = element.parent
+        outer, inside = self.known.get(element, (None, False))
+        for element in reversed(path):
+            own = self.weights.share(element.key) <= FOREIGN_SHARE
+            outer, inside = outer or (element if own else None), inside or element.name in ANEW and not own
+            self.known[element] = outer, inside
+        return outer, inside
+
+
 def learn(pages: list[str]) -> Weights:
     """Shares of the words of labelled pages; an element without enough words has none.
 
     Words count for the elements around them only down to the outermost foreign one, so
     that links and lists are not foreign because menus consist of them.
     """
-    given = [(text.split(), open_) for page in pages for key, text, open_ in tokens(page, Weights().share) if not key]
-    foreign: set[str] = set()
+    given = [[(len(text.split()), element) for key, text, element in tokens(page, Weights().share) if not key] for page in pages]
+    weights = _Told()
     for _ in range(2):
         inside, total = Counter(), Counter()
-        for words, open_ in given:
-            outer = next((i + 1 for i, k in enumerate(open_) if k in foreign), len(open_))
-            labelled = any(k.partition(".")[0] == "article" for k in open_)
-            for k in set(open_[:outer]):
-                total[k] += len(words)
-                inside[k] += len(words) * labelled
-        shares = {k: inside[k] / n for k, n in total.items() if n >= LEAST_WORDS}
-        foreign = {k for k, s in shares.items() if s <= FOREIGN_SHARE}
-    return Weights(shares)
-
-
-def best_region(found: list[tuple[str, str, tuple[str, ...]]], weights: Weights) -> tuple[int, int]:
+        for words in given:
+            marks, sums = _Marks(weights), {}
+            for n, element in words:
+                found = sums.setdefault(marks.of(element)[0] or element, [0, 0])
+                found[0] += n
+                found[1] += n * element.labelled
+            # From the innermost outwards: numbers grow inwards.
+            at = sorted((-e.number, e) for e in sums)
+            while at:
+                _, e = heappop(at)
+                if e.parent is None:
+                    continue
+                if e.first:
+                    total[e.key] += sums[e][0]
+                    inside[e.key] += sums[e][1]
+                if e.parent not in sums:
+                    sums[e.parent] = [0, 0]
+                    heappush(at, (-e.parent.number, e.parent))
+                sums[e.parent][0] += sums[e][0]
+                sums[e.parent][1] += sums[e][1]
+        weights = _Told({k: inside[k] / n for k, n in total.items() if n >= LEAST_WORDS})
+    return Weights(weights.shares)
+
+
+def enclosed(found: list[tuple[str, str, Element]], marks: _Marks) -> set[Element]:
+    """Foreign elements between paragraphs of one and the same element, which belongs to the text."""
+    free, between, before = set(), {}, None
+    for key, text, element in found:
+        outer = marks.of(element)[0]
+        if outer is not None:
+            between[outer] = None
+        elif not key and text.strip():
+            holder = element.holder
+            if before is holder:
+                free.update(e for e in between if e.parent.holder is holder
+                            and (holder.name not in PAGE or e.name not in PARTING))
+            between, before = {}, holder
+    return free
+
+
+def best_region(found: list[tuple[str, str, Element]], weights: Weights) -> tuple[int, int]:
     """[start, end) of the run of tokens with the largest sum; the first of equal ones.
 
-    What is foreign inside of an article costs nothing but the tags of any element, so
-    that it doesn't part what is before and after it; ``main_text`` leaves it out.
+    What is foreign inside of an article, or between paragraphs of one element, costs
+    nothing but the tags of any element, and all tags between two words there cost what
+    one does, so that nothing parts what is before and after; ``main_text`` leaves out
+    what is foreign.
     """
-    best, at, total, start = 0.0, (0, 0), 0.0, 0
-    known: dict[tuple[str, ...], float] = {}
-    inner: dict[tuple[str, ...], bool] = {}
-
-    def inside(open_: tuple[str, ...]) -> bool:
-        if open_ not in inner:
-            inner[open_] = any(k.partition(".")[0] in ANEW and weights.share(k) > FOREIGN_SHARE for k in open_)
-        return inner[open_]
-
-    for i, (key, text, open_) in enumerate(found):
-        if key:
-            total += -TAG if inside(open_) else weights.tag(key)
+    best, at, total, start, paid = 0.0, (0, 0), 0.0, 0, False
+    marks = _Marks(weights)
+    free = enclosed(found, marks)
+    for i, (key, text, element) in enumerate(found):
+        outer, inside = marks.of(element)
+        if key and (inside or outer in free):
+            total -= 0.0 if paid else TAG
+            paid = True
+        elif key:
+            total += weights.tag(key)
         else:
-            if open_ not in known:
-                foreign = any(weights.share(k) <= FOREIGN_SHARE for k in open_)
-                known[open_] = 1.0 if not foreign else 0.0 if inside(open_) else -1.0
-            total += known[open_] * len(text.split())
+            paid = paid and (outer is not None or not text.strip())
+            total += (1.0 if outer is None else 0.0 if inside or outer in free else -1.0) * len(text.split())
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -148,6 +302,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     """The blocks of the best region, one in a line; what is foreign inside it is left out."""
     found = tokens(page or "", weights.share)
     start, end = best_region(found, weights)
+    marks = _Marks(weights)
     blocks, block = [], []
 
     def finish() -> None:
@@ -156,10 +311,10 @@ def main_text(page: str | None, weights: Weights) -> str:
             blocks.append(text)
         block.clear()
 
-    for key, text, open_ in found[start:end]:
+    for key, text, element in found[start:end]:
         name = key.partition(".")[0]
         if not key:
-            if not any(weights.share(k) <= FOREIGN_SHARE for k in open_):
+            if marks.of(element)[0] is None:
                 block.append(text)
         elif name == "br":
             block.append(" ")

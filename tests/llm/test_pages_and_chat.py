@@ -47,6 +47,41 @@ def test_odd_pages(spark):
     assert html_region.extract(empty(pages), html_region.Weights()).count() == 0
 
 
+def text_of(page):
+    return html_region.main_text(page, html_region.Weights())
+
+
+def test_deep_and_unclosed_elements():
+    paragraphs = [f"block {i} of the article" for i in range(305)]
+    open_ones = "<p>".join(["", *paragraphs[:300]]) + "<div class=ad>buy now</div>" + "<p>".join(["", *paragraphs[300:]])
+    assert text_of(f"<article>{open_ones}</article>") == "\n".join(paragraphs)
+    header = "<header>" + "<div>menu words here " * 300 + "</div>" * 300 + "</header>"
+    assert text_of(header + "<article><p>a short text</article>") == "a short text"
+    deep = "<div>" * 300 + "x y" + "</div>" * 300
+    assert text_of(f"<article><p>a b c</p>{deep}<p>all after them</p></article>") == "a b c\nx y\nall after them"
+    assert text_of("<article><ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>"
+                   "<dl><dt>h<dd>i</dl></article>") == "\n".join("abcdefghi")
+    # An end tag inside a cell ends nothing outside of the table.
+    assert text_of("<article><div><table><tr><td></div><p>in</table>after</div></article>") == "in\nafter"
+    for page in ("<table><tr><td>" * 20_000 + "x</div>" * 20_000, "<b>x" * 50_000, "<nav><div><article>y" * 20_000, "<" * 100_000):
+        assert text_of(page).strip()
+
+
+def test_quotes_and_raw_elements():
+    assert text_of("<p title=it's>hello</p>") == "hello"
+    assert text_of("<p title='a>b' x=\"c>d\">hello <a href='it's'>you</a></p>") == "hello you"
+    assert text_of("<p>a <svg-x>b</svg-x> <svg width=1 />c<!-->d</p><svg><text>no</text></svg>") == "a\nb\ncd"
+
+
+def test_foreign_between_paragraphs():
+    lede, rest, aside = "twelve words of a lede " * 3, "and the rest of it " * 20, "see also " * 40
+    text = f"{lede.strip()}\n{rest.strip()}"
+    for before, after in (("<div class=text>", "</div>"), ("", "")):
+        page = f"<body><nav>home more</nav>{before}<p>{lede}</p><aside>{aside}</aside><p>{rest}</p>{after}<footer>end</footer></body>"
+        assert text_of(page) == text
+    assert text_of(f"<body><p>slogan</p><nav>{aside}</nav><div><p>{rest}</p></div></body>") == rest.strip()
+
+
 def fold(spark, events):
     rows = chat.fold(spark.createDataFrame(events, "conv_id long, seq long, message long, kind string, role string, text string"))
     return {(r.conv_id, r.message): (r.role, r.text) for r in rows.collect()}
