@@ -329,6 +329,8 @@ total as (select floor(ceil(floor(bits)/8)*8/256) as n_blocks, h from sizes wher
 select round(sum(n)/(any_value(n_blocks)*256), 9) as occupancy,
   round(sum(power(n/256.0, h))/any_value(n_blocks), 9) as false_positive from blocks, total"""),
         "fastx_roundtrip": sql([READS], """
+select file_ind, row_number() over (order by read_idx) - 1 as read_idx, id, seq, qual from reads"""),
+        "gzip_ranges_roundtrip": sql([READS], """
 select file_ind, row_number() over (order by read_idx) - 1 as read_idx, id, seq, qual from reads"""),
         "fastx_roundtrip_fasta": sql([FASTA_READS], """
 select file_ind, row_number() over (order by read_idx) - 1 as read_idx, id, seq, qual from reads"""),

@@ -23,6 +23,8 @@ from mendseq.sources.trusted_store import load_trusted, save_trusted
 
 Query = Callable[[SparkSession, str], DataFrame]
 RESULT = [*KEYS, "seq", "qual", "correction", "bad_prefix", "bad_suffix", "info"]
+# Bytes of a gzip range: less than a part file of all but the smallest tables.
+RANGE_BYTES = 1 << 17
 _queries: dict[str, Query] = {}
 
 
@@ -350,6 +352,14 @@ def fastx_roundtrip(w):
     return read_fastx(w.spark, f"{folder}/output=reads.cor.fq.gz")
 
 
+@query
+def gzip_ranges_roundtrip(w):
+    """The same, with gzip files read in ranges by their members."""
+    folder = new_table_path(w.spark, "ranges")
+    write_fastx(w.reads, ["reads.fastq.gz"], folder)
+    return read_fastx(w.spark, f"{folder}/output=reads.cor.fq.gz", RANGE_BYTES)
+
+
 @query
 def fastx_roundtrip_fasta(w):
     """Without qualities, as plain text."""

@@ -9,6 +9,7 @@ together by a shuffle.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator, Sequence
 from urllib.parse import unquote, urlparse
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 
 from mendseq.model import KEYS, READ_SCHEMA
 from mendseq.session import materialize
+from mendseq.sources.gzip_members import FORMAT, SCHEMES, GzipMembers
 from mendseq.sources.naming import output_name
 
 # First byte and lines per record of each format.
@@ -33,7 +35,7 @@ _PARSED = T.StructType([*READ_SCHEMA.fields, T.StructField("slot", T.IntegerType
                         T.StructField("line", T.StringType())])
 
 
-def _inputs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def _inputs(spark: SparkSession, paths: Sequence[str]) -> list[tuple[int, str]]:
     """(file_ind, file_path): the files each path stands for, from one listing."""
     hadoop, files = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.read.text(list(dict.fromkeys(paths))).inputFiles()
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -51,16 +53,46 @@ def _inputs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             above = above.rsplit("/", 1)[0]
         # The scan names local files with one slash.
         rows += [(i, re.sub("^file:/+", "file:/", file)) for i in given.get(above, [])]
-    return spark.createDataFrame(rows, "file_ind int, file_path string")
+    return rows
 
 
-def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """All lines of all paths by one scan; the files of a path are known by the driver anyway."""
-    read = spark.read.text(list(dict.fromkeys(paths))).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
-    return read.join(F.broadcast(_inputs(spark, paths)), "file_path")
+def _large_gzip(spark: SparkSession, files: Sequence[str], range_bytes: int) -> list[tuple[str, str, int]]:
+    """(file_path, URI, bytes) of the gzip files of more than one range that tasks can open."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for file in files:
+        # A name with escapes could mean another file there.
+        if not file.endswith(".gz") or not file.startswith(tuple(f"{s}:" for s in SCHEMES)) or "%" in file:
+            continue
+        place = hadoop.Path(file)
+        size = place.getFileSystem(conf).getFileStatus(place).getLen()
+        if size > range_bytes:
+            found.append((file, re.sub("^file:/+", "file:///", file), size))
+    return found
+
+
+def _lines(spark: SparkSession, paths: Sequence[str], range_bytes: int | None) -> DataFrame:
+    """All lines of all paths; the files of a path are known by the driver anyway.
+
+    Spark's text source reads whatever it can cut into splits, or need not cut; large
+    gzip files are read in ranges by their members.
+    """
+    inputs = _inputs(spark, paths)
+    # The setting is read by Spark as bytes with a unit.
+    most = range_bytes or spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    files = list(dict.fromkeys(f for _, f in inputs))
+    large = _large_gzip(spark, files, most)
+    text = spark.read.text(list(dict.fromkeys(paths))).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"), "value")
+    parts = [text]
+    if large:
+        # By that, files are left out before the scan lists its tasks.
+        parts = [text.where(~F.col("file_path").isin([name for name, _, _ in large]))] if len(large) < len(files) else []
+        spark.dataSource.register(GzipMembers)
+        parts.append(spark.read.format(FORMAT).option("files", json.dumps(large)).option("range", str(most)).load())
+    read = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return read.select("file_path", "block_start", F.rtrim(F.col("value"), F.lit("\r")).alias("line")).join(
+        F.broadcast(spark.createDataFrame(inputs, "file_ind int, file_path string")), "file_path")
 
 
 def _splits(lines: DataFrame, paths: Sequence[str]) -> DataFrame:
@@ -128,14 +160,16 @@ class _Split:
             names=_PARSED.names)
 
 
-def read_fastx(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+def read_fastx(spark: SparkSession, paths: Sequence[str] | str, range_bytes: int | None = None) -> DataFrame:
     """Reads of the given files, in their order; ``qual`` is NULL for FASTA.
 
     The parsed reads are written once to the shared folder: every later pass is a
     scan of columns instead of text. A path may also be a folder of part files.
+    ``range_bytes``: what a task reads of a gzip file of many members; by default what
+    one reads of other files.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = _lines(spark, paths)
+    lines = _lines(spark, paths, range_bytes)
     # One row for each split, like the scan's own list of tasks.
     placed = lines.join(F.broadcast(_splits(lines, paths)), ["file_ind", *SPLIT])
 
