@@ -76,12 +76,9 @@ def noisy_or(scores: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(scores, 1 - 1e-15)).sum()))
 
 
-def _association(feature: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """By feature: chi-square of a document having it and being toxic."""
-    pairs = np.unique(feature.astype(np.int64) * len(y) + doc)
-    has, n, share = pairs // len(y), len(y), y.mean()
-    having = np.bincount(has, minlength=BUCKETS)
-    toxic = np.bincount(has, y[pairs % len(y)], BUCKETS)
+def _association(having: np.ndarray, toxic: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By feature: chi-square of a document having it and being toxic, from how many documents and toxic ones have it."""
+    n, share = len(y), y.mean()
     spread = having * share * (1 - share) * (1 - having / n)
     return np.where(having > 0, (toxic - having * share) ** 2 / np.maximum(spread, 1e-9), 0)
 
@@ -90,7 +87,9 @@ def train(texts: list[str], labels: list[int]) -> Model:
     """Gradient steps on the likelihood of the documents' labels under noisy-or."""
     known: dict[str, array] = {}
     features, feature_counts, sentence_doc = array("i"), array("i"), array("i")
+    having, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for doc, text in enumerate(texts):
+        begin = len(features)
         for m in _SENTENCE.finditer(text):
             before = len(features)
             for word in set(_WORD.findall(m[0].lower())):
@@ -100,16 +99,19 @@ def train(texts: list[str], labels: list[int]) -> Model:
             if len(features) > before:
                 feature_counts.append(len(features) - before)
                 sentence_doc.append(doc)
+        has = np.unique(np.array(features[begin:], np.int32))
+        having[has] += 1
+        toxic[has] += labels[doc]
     known.clear()
     model = Model(BIAS, np.zeros(BUCKETS, np.float32))
     y = np.array(labels, float)
     if not features or len(set(labels)) < 2:
         model.bias = -40.0
         return model
-    feature, doc = np.array(features), np.array(sentence_doc)
-    sentence = np.repeat(np.arange(len(doc), dtype=np.int32), feature_counts)
-    telling = _association(feature, doc[sentence], y)[feature] >= ASSOCIATION
-    feature, sentence = feature[telling], sentence[telling]
+    feature, doc = np.frombuffer(features, np.int32), np.array(sentence_doc)
+    telling = (_association(having, toxic, y) >= ASSOCIATION)[feature]
+    feature, sentence = feature[telling], np.repeat(np.arange(len(doc), dtype=np.int32), feature_counts)[telling]
+    del features, telling
     n, seen = len(doc), np.ones(BUCKETS)
     for _ in range(ROUNDS):
         z = np.clip(np.bincount(sentence, model.weights[feature], n) + model.bias, -30, 30)
