@@ -164,7 +164,9 @@ def no_kmers(k: int) -> np.ndarray:
 
 def kmers_to_arrow(kmers: np.ndarray) -> pa.Array:
     if kmers.dtype.kind == "S":
-        return pa.array(kmers.astype(f"U{kmers.dtype.itemsize}"), type=pa.string())
+        # From the letters themselves: pyarrow makes chunks of longer arrays of numpy strings.
+        letters = np.ascontiguousarray(kmers).view(np.uint8)
+        return to_arrow(letters, np.full(len(kmers), kmers.dtype.itemsize))
     return pa.array(kmers, type=pa.int64())
 
 

@@ -172,3 +172,11 @@ def test_long_sequences_are_cut(spark, monkeypatch):
     assert {r.kmer: r.n_occurrences for r in kmersets.kmer_counts(df, 5).collect()} == whole
     assert {r.kmer for r in kmersets.all_kmers(df, 5).collect()} == distinct
     assert max(len(r.seq) for r in kmersets.in_pieces(df, 5).collect()) == 11
+
+
+def test_many_long_kmers_are_one_array():
+    kmers = np.tile(np.array([b"ACGT" * 10 + b"A", b"TGCA" * 10 + b"C"]), 300_000)
+    column = ragged.kmers_to_arrow(kmers)
+    assert isinstance(column, pa.Array) and column.type == pa.string() and len(column) == len(kmers)
+    assert column[0].as_py() == "ACGT" * 10 + "A" and column[-1].as_py() == "TGCA" * 10 + "C"
+    assert len(ragged.kmers_to_arrow(kmers[:0])) == 0
