@@ -1,6 +1,11 @@
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from mendseq.functions.index import Filter, Layout, PackedIndex, hashed, packed_bits
 from mendseq.operators import membership
 from mendseq.operators.kmersets import window_hits
-from mendseq.operators.membership import KmerSet
+from mendseq.operators.membership import KmerSet, Known, run_known
 
 READS = "file_ind int, read_idx bigint, seq string"
 
@@ -60,3 +65,53 @@ def test_buckets_are_written_once_and_leave_no_table(spark):
     with kmers.bucketed().opened(spark) as members:
         assert members.where("kmer = 7").count() == 1
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("mendseq_")]
+
+
+@pytest.mark.parametrize("k", [4, 17, 31, 33])
+def test_index_and_filter_made_in_parts(spark, monkeypatch, k):
+    """As those made at once: the index exact, the filter without a miss and with few others."""
+    rng = np.random.default_rng(k)
+    packed = np.unique(rng.integers(0, 1 << min(2 * k, 62), 150 if k == 4 else 20_000))
+    kmers, others = packed[::2], packed[1::2]
+    if k > 31:
+        kmers, others = ([f"{v:064b}".translate({48: "A", 49: "C"})[-k:] for v in s] for s in (kmers, others))
+        kmers, others = sorted(set(kmers)), sorted(set(others) - set(kmers))
+    df = spark.createDataFrame([(v if k > 31 else int(v),) for v in kmers], "kmer string" if k > 31 else "kmer bigint")
+    made = KmerSet(df.repartition(3), k, len(kmers))
+    inside, outside = (np.array(v, f"S{k}" if k > 31 else np.int64) for v in (kmers, others))
+    for rows in (1 << 19, 1000):
+        monkeypatch.setattr(membership, "PART_ROWS", rows)
+        index, passing = made.index(), made.filter()
+        assert index.contains(inside).all() and not index.contains(outside).any()
+        assert passing.contains(inside).all() and passing.contains(outside).mean() < 0.05
+
+
+def test_an_index_takes_few_bytes_and_bounds_what_is_broadcast(spark):
+    """18 million k-mers, as 9 million reads sample: 128 MiB of codes before, some four bytes each now."""
+    kmers = KmerSet(spark.range(1), 17, rows=18_000_000)
+    layout = Layout(kmers.rows, packed_bits(17))
+    assert layout.bytes <= 4 * kmers.rows and kmers.fits()
+    assert not KmerSet(spark.range(1), 17, rows=140_000_000).fits()
+    assert not KmerSet(spark.range(1), 31, rows=60_000_000).fits()
+    small = PackedIndex(Layout(3, 34), [Layout(3, 34).piece(Layout(3, 34).mixed(np.arange(3)))])
+    assert len(small.fine) * 2 + small.rest.nbytes <= Layout(3, 34).bytes + 2
+
+
+def test_what_fails_the_filter_is_not_asked():
+    """Only k-mers the filter lets pass are asked; with answers all reads finish."""
+    passing = Filter(Filter.piece(hashed(np.arange(100)), Filter.size(100)))
+    asked = np.array([5, 1 << 30, 7, 1 << 31])
+    assert passing.contains(asked).tolist() == [True, False, True, False]
+
+    def kernel(batch, alive):
+        first = yield np.arange(4), asked
+        second = yield np.flatnonzero(first), asked[first] + 1
+        return pa.RecordBatch.from_arrays([pa.array(first)[:0] if not alive.any() else pa.array(first[alive])], names=["hit"])
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4))], names=["read_idx"])
+    nothing = Known(*[np.zeros(0, np.int64)] * 2)
+    out, waits, (yes, no, wanted) = run_known(batch, kernel, nothing, True, passing)
+    assert waits.tolist() == [True, False, True, False] and out.to_pydict() == {"hit": [False, False]}
+    assert sorted(wanted.tolist()) == [5, 6, 7, 8] and not len(yes) + len(no)
+    out, waits, _ = run_known(batch, kernel, Known(np.array([5, 6]), np.array([7, 8])), True, passing)
+    assert not waits.any() and out.to_pydict() == {"hit": [True, False, False, False]}

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mendseq.functions import index
 from mendseq.functions.nodes import WALK, Nodes
 from mendseq.model import CorrectionParams
 from mendseq.operators import walks
@@ -116,3 +117,16 @@ def test_rounds_don_t_grow_with_reads(spark, monkeypatch, k, length, n, rate):
     rounds = {f.split("round=")[1].split("/")[0] for f in far.inputFiles()}
     assert len(rounds) <= 8
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("mendseq_")]
+
+
+def test_sets_that_overfill_the_filter_go_by_walks(spark, monkeypatch):
+    rng = random.Random(11)
+    genome = "".join(rng.choice("ACGT") for _ in range(2000))
+    reads = spark.createDataFrame(noisy(genome, 100, 60, 0.05, 3), READS).repartition(3)
+    kmers = KmerSet.store(all_kmers(spark.createDataFrame([(genome,)], "seq string"), 17), 17)
+    params = CorrectionParams(k=17, cutoff=ord("#"))
+    near = correct(reads, kmers, params)
+    monkeypatch.setattr(index, "MAX_FILTER_BYTES", kmers.rows - 1)
+    far = correct(reads, kmers, params, max_broadcast=0)
+    assert kmers.walks is not None
+    assert sorted(map(tuple, far.collect())) == sorted(map(tuple, near.collect()))
