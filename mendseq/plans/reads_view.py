@@ -92,12 +92,11 @@ def noisy_reads(spark: SparkSession, sf_dir: str, reads: DataFrame) -> DataFrame
               .groupBy("read_idx").agg(F.collect_set("at").alias("errors")))
 
     def changed(text: str, other: Callable[[Column, Column], Column]) -> Column:
-        def letter(i: Column) -> Column:
-            here = F.substring(F.col(text), i, F.lit(1))
-            return F.when(F.array_contains("errors", i - 1), other(here, i)).otherwise(here)
+        def put(line: Column, at: Column) -> Column:
+            here = F.substring(line, at + 1, F.lit(1))
+            return F.when((at >= 0) & (at < F.length(line)), F.overlay(line, other(here, at + 1), at + 1, F.lit(1))).otherwise(line)
 
-        letters = F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), letter), "")
-        return F.when(F.col("errors").isNull(), F.col(text)).otherwise(letters).alias(text)
+        return F.when(F.col("errors").isNull(), F.col(text)).otherwise(F.aggregate("errors", F.col(text), put)).alias(text)
 
     return reads.join(errors, "read_idx", "left").select(
         "file_ind", "read_idx", "id",
