@@ -90,7 +90,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str | None:
         return None
     counted, summary_row = observed(correct_reads(reads, trust, settings), settings.trim, args.discard)
     corrected = materialize(counted, "corrected")
-    write_fastx(annotate(corrected, settings.trim, args.discard), args.r, args.od, args.zlib)
+    write_fastx(annotate(corrected, settings.trim, args.discard), args.r, args.od, args.zlib, reads.count())
     return summary_text(summary_row())
 
 

@@ -348,7 +348,7 @@ def correction_summary(w):
 def fastx_roundtrip(w):
     """The reads written as a gzip FASTQ file and read back."""
     folder = new_table_path(w.spark, "fastq")
-    write_fastx(w.reads, ["reads.fastq.gz"], folder)
+    write_fastx(w.reads, ["reads.fastq.gz"], folder, rows=w.reads.count())
     return read_fastx(w.spark, f"{folder}/output=reads.cor.fq.gz")
 
 
@@ -356,7 +356,7 @@ def fastx_roundtrip(w):
 def gzip_ranges_roundtrip(w):
     """The same, with gzip files read in ranges by their members."""
     folder = new_table_path(w.spark, "ranges")
-    write_fastx(w.reads, ["reads.fastq.gz"], folder)
+    write_fastx(w.reads, ["reads.fastq.gz"], folder, rows=w.reads.count())
     return read_fastx(w.spark, f"{folder}/output=reads.cor.fq.gz", RANGE_BYTES)
 
 
@@ -364,7 +364,8 @@ def gzip_ranges_roundtrip(w):
 def fastx_roundtrip_fasta(w):
     """Without qualities, as plain text."""
     folder = new_table_path(w.spark, "fasta")
-    write_fastx(w.view("fasta").reads, ["reads.fasta"], folder)
+    reads = w.view("fasta").reads
+    write_fastx(reads, ["reads.fasta"], folder, rows=reads.count())
     return read_fastx(w.spark, f"{folder}/output=reads.cor.fa")
 
 
@@ -372,7 +373,8 @@ def fastx_roundtrip_fasta(w):
 def paired_files_roundtrip(w):
     """Two inputs, one of them compressed, read back in their order."""
     folder = new_table_path(w.spark, "paired")
-    write_fastx(w.view("two_files").reads, ["left.fq", "right.fq.gz"], folder)
+    reads = w.view("two_files").reads
+    write_fastx(reads, ["left.fq", "right.fq.gz"], folder, rows=reads.count())
     return read_fastx(w.spark, [f"{folder}/output=left.cor.fq", f"{folder}/output=right.cor.fq.gz"])
 
 

@@ -97,9 +97,11 @@ def _lines(spark: SparkSession, paths: Sequence[str], range_bytes: int | None) -
 
 def _splits(lines: DataFrame, paths: Sequence[str]) -> DataFrame:
     """Per split, in a written table: lines before it in its input, and lines per record."""
+    first_byte = F.coalesce(*[F.when(F.col("first") == ord(kind), kind) for kind in RECORD_LINES], F.lit(""))
     counted = materialize(lines.withColumn("at", F.monotonically_increasing_id()).groupBy("file_ind", *SPLIT).agg(
         F.count("*").alias("n_lines"),
-        F.min_by(F.substring("line", 1, 1), "at").alias("first_byte")), "splits")
+        # As a number: strings would have Spark sort all lines for this.
+        F.min_by(F.ascii("line"), "at").alias("first")).withColumn("first_byte", first_byte).drop("first"), "splits")
     before = lambda w: F.coalesce(F.sum("n_lines").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     of_input = Window.partitionBy("file_ind").orderBy("file_path")
     files = counted.groupBy("file_ind", "file_path").agg(
@@ -183,8 +185,9 @@ def read_fastx(spark: SparkSession, paths: Sequence[str] | str, range_bytes: int
             if all((w == w[0]).all() for w in where):  # one split of one input, as a rule
                 parts = [np.arange(batch.num_rows)]
             else:
-                _, inverse = np.unique(np.stack(where), axis=1, return_inverse=True)
-                parts = [np.flatnonzero(inverse.ravel() == c) for c in range(inverse.max() + 1)]
+                _, first, inverse = np.unique(np.stack(where), axis=1, return_index=True, return_inverse=True)
+                # As they come: a task may read a later file first.
+                parts = [np.flatnonzero(inverse.ravel() == c) for c in np.argsort(first)]
             for rows in parts:
                 before, file_ind, start = (int(w[rows[0]]) for w in where)
                 key = (batch["file_path"][int(rows[0])].as_py(), start)
@@ -221,8 +224,20 @@ ZLIB_LEVELS = ("NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "
                "EIGHT", "BEST_COMPRESSION")
 
 
-def write_fastx(reads: DataFrame, paths: Sequence[str], folder: str, level: int = 1) -> None:
-    """Write each input's reads, in order, under ``folder``.
+# Reads that one task sorts and writes, where their number is given.
+PART_READS = 100_000
+
+
+def _in_order(text: DataFrame, rows: int | None) -> DataFrame:
+    """Ranges of reads; of many given rows in as many ranges as keep each to about ``PART_READS``."""
+    ranges = -(-(rows or 0) // PART_READS)
+    if ranges > text.sparkSession.sparkContext.defaultParallelism:
+        return text.repartitionByRange(ranges, *KEYS)
+    return text.repartitionByRange(*KEYS)
+
+
+def write_fastx(reads: DataFrame, paths: Sequence[str], folder: str, level: int = 1, rows: int | None = None) -> None:
+    """Write each input's reads, in order, under ``folder``; ``rows``: about how many there are.
 
     Each input becomes one folder ``output=<name>`` of part files whose names sort in
     read order: written one after the other they are the file of that name. (gzip
@@ -238,7 +253,7 @@ def write_fastx(reads: DataFrame, paths: Sequence[str], folder: str, level: int
     text = record_text(placed).select(
         *KEYS, "value", output_name(F.col("path"), F.col("qual").isNotNull(), level).alias("output"))
     # The writer needs rows grouped by output; with that first, it does not sort again.
-    ordered = text.repartitionByRange(*KEYS).sortWithinPartitions("output", *KEYS)
+    ordered = _in_order(text, rows).sortWithinPartitions("output", *KEYS)
     zipped = {path.endswith("gz") and level > 0 for path in paths}
     for compressed in sorted(zipped):
         part = ordered if len(zipped) == 1 else ordered.where(F.col("output").endswith(".gz") == compressed)

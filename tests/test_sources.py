@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mendseq.operators.membership import KmerSet
 from mendseq.sources.naming import base_name, output_name
 from mendseq.sources.trusted_store import load_trusted, save_trusted
+from mendseq.sources import fastx
 from mendseq.sources.fastx import read_fastx, write_fastx
 
 
@@ -158,3 +159,43 @@ def test_trusted_store(spark, tmp_path):
     spark.range(3).withColumnRenamed("id", "kmer").write.parquet(str(tmp_path / "c"))
     with pytest.raises(ValueError):
         load_trusted(spark, str(tmp_path / "c"))
+
+
+def test_many_reads_are_written_in_more_parts(spark, tmp_path, monkeypatch):
+    """No part grows with the input: as many ranges as the number of reads asks for, in their order."""
+    monkeypatch.setattr(fastx, "PART_READS", 50)
+    rows = [(0, i, f"@r{i}", "ACGT" * 5, "I" * 20) for i in range(1000)]
+    reads = spark.createDataFrame(rows, "file_ind int, read_idx bigint, id string, seq string, qual string").repartition(3)
+    write_fastx(reads, ["a.fq"], str(tmp_path), rows=1000)
+    parts = sorted(tmp_path.glob("output=*/part-*"))
+    assert len(parts) > 10 and max(p.read_text().count("@r") for p in parts) < 200
+    assert "".join(p.read_text() for p in parts) == "".join(f"@r{i}\n{'ACGT' * 5}\n+\n{'I' * 20}\n" for i in range(1000))
+
+
+def test_a_task_may_read_a_later_file_first(spark, tmp_path):
+    """Spark gives a task large files before small ones, several to one batch of lines."""
+    want, n = [], 0
+    for part, size in enumerate((3, 40, 7, 90, 1, 60)):
+        rows = [(f"@r{n + i}", "ACGT" * (1 + i % 3), "I" * 4 * (1 + i % 3)) for i in range(size)]
+        (tmp_path / f"part-{part}.fq").write_text("".join(f"{a}\n{s}\n+\n{q}\n" for a, s, q in rows))
+        want += [(n + i, *row) for i, row in enumerate(rows)]
+        n += size
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        found = sorted((r.read_idx, r.id, r.seq, r.qual) for r in read_fastx(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == want
+
+
+def test_lines_are_counted_without_sorting_them(spark, tmp_path, monkeypatch):
+    """All lines of a split pass through one hash table of a row for each split."""
+    (tmp_path / "a.fa").write_text(">r0\nACGT\n")
+    plans = []
+    monkeypatch.setattr(fastx, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    assert read_fastx(spark, str(tmp_path / "a.fa")).count() == 1
+    assert "HashAggregate" in plans[0] and "SortAggregate" not in plans[0]
