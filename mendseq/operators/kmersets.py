@@ -29,22 +29,27 @@ def in_pieces(reads: DataFrame, k: int) -> DataFrame:
 
 
 def _batches_of_kmers(df: DataFrame, k: int, pick) -> DataFrame:
-    """Distinct k-mers of the windows ``pick`` keeps; each batch is reduced first."""
+    """k-mers of the windows ``pick`` keeps, distinct in each batch."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ragged.slices(batches):
             kept = np.unique(pick(batch, ragged.read_windows(ragged.from_arrow(batch["seq"]), k)))
             yield pa.RecordBatch.from_arrays([ragged.kmers_to_arrow(kept)], names=["kmer"])
 
-    return df.mapInArrow(task, kmer_schema(k)).distinct()
+    return df.mapInArrow(task, kmer_schema(k))
 
 
-def all_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """Distinct canonical k-mers of all reads."""
+def batch_kmers(reads: DataFrame, k: int) -> DataFrame:
+    """Canonical k-mers of all reads, distinct in each batch."""
     check_k(k)
     return _batches_of_kmers(in_pieces(reads, k), k, lambda _, w: w.kmer[w.valid])
 
 
+def all_kmers(reads: DataFrame, k: int) -> DataFrame:
+    """Distinct canonical k-mers of all reads."""
+    return batch_kmers(reads, k).distinct()
+
+
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
     """Occurrences of each k-mer, counted per batch before anything is shuffled."""
     check_k(k)
@@ -71,7 +76,7 @@ def sampled_kmers(reads: DataFrame, k: int, alpha: float) -> DataFrame:
     check_alpha(alpha)
     limit = coin_limit(alpha)
     return _batches_of_kmers(reads.select(*KEYS, "seq"), k,
-                             lambda batch, w: w.kmer[_sampled(batch, w, limit)])
+                             lambda batch, w: w.kmer[_sampled(batch, w, limit)]).distinct()
 
 
 def kmer_occurrences(reads: DataFrame, k: int, alpha: float | None = None) -> DataFrame:

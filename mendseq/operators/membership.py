@@ -275,20 +275,40 @@ def nearness(df: DataFrame, k: int, passing: Broadcast | None = None) -> DataFra
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ragged.slices(batches):
-            w = ragged.read_windows(ragged.from_arrow(batch["seq"]), size)
-            row, kmer, none = w.row[w.valid], w.kmer[w.valid], np.iinfo(np.int64).max
-            near, best = (np.full(batch.num_rows, none) for _ in range(2))
-            code = spread_codes(kmer)
-            np.minimum.at(near, row, code)
+            w, none = ragged.read_windows(ragged.from_arrow(batch["seq"]), size), np.iinfo(np.int64).max
+            has = w.count > 0
+
+            def least(there: np.ndarray) -> np.ndarray:
+                out = np.full(batch.num_rows, none)
+                out[has] = np.minimum.reduceat(np.where(there, code, none), w.first[has]) if has.any() else none
+                return out
+
+            code = spread_codes(w.kmer)
+            near = least(w.valid)
             if passing is not None and size == k:
-                there = passing.value.contains(kmer)
-                np.minimum.at(best, row[there], code[there])
+                there = w.valid.copy()
+                there[w.valid] = passing.value.contains(w.kmer[w.valid])
+                best = least(there)
                 near = np.where(best < none, best, near)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], names=schema.names)
 
     return df.mapInArrow(task, schema)
 
 
+def by_nearness(df: DataFrame) -> DataFrame:
+    """Ordered by ``near``, then spread: a k-mer shared by very many reads does not bring them all into one partition."""
+    return df.repartitionByRange("near", F.xxhash64(*KEYS)).sortWithinPartitions("near")
+
+
+def gathered(reads: DataFrame, k: int) -> DataFrame:
+    """The same reads with overlapping ones side by side, so that a batch repeats most of its k-mers.
+
+    What is reduced per batch then shrinks by coverage before it is shuffled, however long the genome.
+    Written first, as the bounds of the ranges come from a scan of their own.
+    """
+    return by_nearness(materialize(nearness(reads, k), "near")).drop("near")
+
+
 def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.StructType, eager: bool = False) -> DataFrame:
     spark, k, rounds = df.sparkSession, kmers.k, _Joining(df.schema, schema, kmers.k, eager)
     folder = new_table_path(spark, "rounds")
@@ -313,10 +333,7 @@ def solve_by_join(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Struc
         batch = reads.combine_chunks().to_batches()[0]
         return pa.Table.from_batches(list(rounds.step(key[0].as_py(), batch, kernel, known, passing.value)))
 
-    # Ordered by the least k-mer, then spread: a k-mer shared by very many reads does
-    # not bring them all into one partition.
-    ordered = nearness(df, k, passing).repartitionByRange("near", F.xxhash64(*KEYS)).sortWithinPartitions("near")
-    turn, output = 0, ordered.mapInArrow(first, rounds.schema)
+    turn, output = 0, by_nearness(nearness(df, k, passing)).mapInArrow(first, rounds.schema)
     with kmers.bucketed().opened(spark) as members:
         while True:
             path = f"{folder}/round={turn}"

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from mendseq.functions import ragged
 from mendseq.functions.nodes import WALK, Nodes
 from mendseq.model import KEYS, MAX_PACKED_K, kmer_type
-from mendseq.operators.membership import ASKING, FINISHED, PENDING, Kernel, KmerSet, Rounds, nearness
+from mendseq.operators.membership import ASKING, FINISHED, PENDING, Kernel, KmerSet, Rounds, by_nearness, nearness
 from mendseq.session import Bucketed, materialize, new_table_path
 
 # Bases in one group of reads: enough of them to lie over each other, little work for a task.
@@ -216,7 +216,7 @@ def solve_by_walks(df: DataFrame, kernel: Kernel, kmers: KmerSet, schema: T.Stru
         facts = Facts(nodes, known, exts, fresh=len(got) if walks else 0)
         return pa.Table.from_batches(list(rounds.step(key[0].as_py(), batch, kernel, facts)))
 
-    ordered = nearness(df, k).repartitionByRange("near", F.xxhash64(*KEYS)).sortWithinPartitions("near")
+    ordered = by_nearness(nearness(df, k))
     turn, output = 0, ordered.mapInArrow(first, rounds.schema)
     with neighbourhoods(kmers).opened(spark) as table:
         while True:

@@ -87,11 +87,15 @@ def sampling_rate(reads: DataFrame, settings: Settings) -> float:
     return alpha
 
 
-def sample_kmers(reads: DataFrame, settings: Settings) -> Sample:
-    """Pass 1: set A, and what its size says about errors."""
+def sample_kmers(reads: DataFrame, settings: Settings, sampled: KmerSet | None = None) -> Sample:
+    """Pass 1: set A, and what its size says about errors.
+
+    ``sampled``: set A, if it was already drawn of the same letters at the same rate.
+    """
     alpha = sampling_rate(reads, settings)
     cutoff = quality_cutoff(reads, settings)
-    sampled = KmerSet.store(kmersets.sampled_kmers(reads, settings.k, alpha), settings.k, "sampled")
+    if sampled is None:
+        sampled = KmerSet.store(kmersets.sampled_kmers(reads, settings.k, alpha), settings.k, "sampled")
     rate = 0.0
     if settings.false_positives == MODELLED:
         rate = BloomSize.for_genome(settings.genome_size, SAMPLED_FP).modelled_fp(sampled.rows)

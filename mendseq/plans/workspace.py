@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mendseq.model import CorrectionParams
 from mendseq.operators.correct import correct
-from mendseq.operators.membership import KmerSet
+from mendseq.operators.membership import KmerSet, gathered
 from mendseq.plans.pipeline import DEFAULT_MAX_CORRECTIONS, EXACT, Sample, Settings, Trust, sample_kmers, trust_from
 from mendseq.plans.reads_view import genome_length, noisy_reads, synthetic_reads
 from mendseq.session import materialize
@@ -22,6 +22,10 @@ VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "fasta": lambda reads: reads.withColumns({"id": F.translate("id", "@", ">"), "qual": F.lit(None).cast("string")}),
     "two_files": lambda reads: reads.withColumn("file_ind", (F.col("read_idx") % 2).cast("int")),
 }
+# Those in which file, read and letters stay the same, so that set A does too.
+SAME_LETTERS = {"fasta"}
+# Settings that set A does not depend on.
+SAME_SAMPLE = {"use_quality", "max_broadcast"}
 
 
 class Workspace:
@@ -30,14 +34,16 @@ class Workspace:
     The steps are those of ``pipeline``.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, k: int = DEFAULT_K, reads: DataFrame | None = None, **changes):
-        self.spark, self.sf_dir, self.k, self.changes = spark, sf_dir, k, changes
+    def __init__(self, spark: SparkSession, sf_dir: str, k: int = DEFAULT_K, reads: DataFrame | None = None,
+                 like: Workspace | None = None, **changes):
+        """``like``: the workspace that draws the same set A."""
+        self.spark, self.sf_dir, self.k, self.like, self.changes = spark, sf_dir, k, like, changes
         if reads is not None:
             self.reads = reads
 
     @cached_property
     def reads(self) -> DataFrame:
-        return materialize(synthetic_reads(self.spark, self.sf_dir), "reads")
+        return materialize(gathered(synthetic_reads(self.spark, self.sf_dir), self.k), "reads")
 
     @cached_property
     def noisy(self) -> DataFrame:
@@ -54,7 +60,7 @@ class Workspace:
 
     @cached_property
     def sample(self) -> Sample:
-        return sample_kmers(self.reads, self.settings)
+        return sample_kmers(self.reads, self.settings, self.like.sampled if self.like else None)
 
     @cached_property
     def trust(self) -> Trust:
@@ -83,12 +89,12 @@ class Workspace:
     def view(self, name: str) -> Workspace:
         """The same tables as another kind of input."""
         return workspace(self.spark, self.sf_dir, name, lambda: Workspace(
-            self.spark, self.sf_dir, self.k, VIEWS[name](self.reads)))
+            self.spark, self.sf_dir, self.k, VIEWS[name](self.reads), self if name in SAME_LETTERS else None))
 
     def changed(self, name: str, **changes) -> Workspace:
         """The same reads with other settings."""
         return workspace(self.spark, self.sf_dir, name, lambda: Workspace(
-            self.spark, self.sf_dir, self.k, self.reads, **changes))
+            self.spark, self.sf_dir, self.k, self.reads, self if changes.keys() <= SAME_SAMPLE else None, **changes))
 
     def params(self, **changes) -> CorrectionParams:
         return CorrectionParams(**({"k": self.k, "cutoff": self.trust.cutoff,

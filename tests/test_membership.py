@@ -1,11 +1,15 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from mendseq.functions.index import Filter, Layout, PackedIndex, hashed, packed_bits
 from mendseq.operators import membership
-from mendseq.operators.kmersets import window_hits
-from mendseq.operators.membership import KmerSet, Known, run_known
+from mendseq.operators.kmersets import all_kmers, batch_kmers, window_hits
+from mendseq.operators.membership import KmerSet, Known, gathered, run_known
+from mendseq.plans.workspace import Workspace
+from tests import data
 
 READS = "file_ind int, read_idx bigint, seq string"
 
@@ -115,3 +119,26 @@ def test_what_fails_the_filter_is_not_asked():
     assert sorted(wanted.tolist()) == [5, 6, 7, 8] and not len(yes) + len(no)
     out, waits, _ = run_known(batch, kernel, Known(np.array([5, 6]), np.array([7, 8])), True, passing)
     assert not waits.any() and out.to_pydict() == {"hit": [True, False, False, False]}
+
+
+def test_gathered_reads_repeat_their_kmers_in_a_batch(spark):
+    """The same reads; what a batch gives shrinks by coverage. Reads without a k-mer and repeated ones are kept."""
+    rng = random.Random(8)
+    text = data.genome(rng, 20_000)
+    rows = [(0, i, text[s:s + 100]) for i in range(4000) for s in [rng.randrange(19_900)]] + [(0, 1, None), (0, 2, "AC"), (0, 2, "AC")]
+    reads = spark.createDataFrame(rows, "file_ind int, read_idx bigint, seq string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        near = gathered(reads, 17)
+        assert sorted(map(tuple, near.collect()), key=repr) == sorted(rows, key=repr)
+        assert 2 * batch_kmers(near, 17).count() < batch_kmers(reads, 17).count()
+        assert all_kmers(near, 17).count() == all_kmers(reads, 17).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_views_share_the_sample(spark):
+    """Set A is drawn by file, read and position, so other qualities give the same one."""
+    w = Workspace(spark, "none", reads=spark.createDataFrame([], "file_ind int, read_idx bigint, id string, seq string, qual string"))
+    assert w.changed("noqual", use_quality=False).like is w and w.view("fasta").like is w
+    assert w.view("two_files").like is None and w.changed("other", alpha=0.5).like is None
