@@ -2,6 +2,7 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mendseq import cli
 from mendseq.functions.columns import pack
@@ -125,6 +126,22 @@ def test_bloom(spark):
         bloom.bloom_blocks(inside, size, 40)
 
 
+def test_bloom_in_parts(spark):
+    """Requests that repeat, members not asked for, a filter of many parts; k-mers are sent many to a row."""
+    size = bloom.BloomSize.optimal(300_000, 0.01)
+    members = spark.range(0, 30_000).select((F.col("id") * 7919).alias("kmer"))
+    asked = spark.range(10_000, 50_000).select((F.col("id") * 7919).alias("kmer"))
+    blocks = bloom.bloom_blocks(members, size, 21)
+    assert blocks.count() == blocks.select("block", "word").distinct().count()
+    found = bloom.probe(asked.union(asked), blocks, size, members)
+    assert found.count() == 40_000 and found.where("member").count() == 20_000
+    assert found.where("member != (kmer < 30000 * 7919) or member and not maybe").isEmpty()
+    assert found.where("not member and maybe").count() < 100
+    sent = bloom._in_parts(asked.coalesce(1), bloom._part_of(size), bloom.ASKED)
+    assert sent.count() <= size.bits // bloom.BLOCK_BITS // bloom.PART_BLOCKS + 1
+    assert sent.agg(F.sum(F.size("key"))).first()[0] == 40_000
+
+
 def test_stream(spark, tmp_path):
     text, _, reads = sample(2, n=60)
     k = 11
