@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
+from mendseq.functions import ragged
 from mendseq.model import KEYS, INFO_AMBIGUOUS, INFO_LOW_COVERAGE, INFO_OVER_CORRECTED
 
 # Words of the header annotation.
@@ -99,12 +103,31 @@ def accuracy(truth: DataFrame, corrected: DataFrame) -> DataFrame:
     Only reads of unchanged length are compared; ``gain`` is null without errors.
     """
     known = truth.select(*KEYS, F.col("seq").alias("was"), "true_seq")
-    both = known.join(corrected.select(*KEYS, "seq"), KEYS).where(F.length("seq") == F.length("true_seq"))
-    letter = lambda name, i: F.substring(F.col(name), i, F.lit(1))
-    places = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.struct(
-        (letter("was", i) != letter("true_seq", i)).alias("was_wrong"), (letter("seq", i) != letter("true_seq", i)).alias("is_wrong")))
-    size = lambda test: F.coalesce(F.sum(F.size(F.filter("places", test))), F.lit(0)).cast("bigint")
-    return both.where(F.length("seq") > 0).select(places.alias("places")).agg(
-        size(lambda p: p["was_wrong"]).alias("n_errors"), size(lambda p: p["was_wrong"] & ~p["is_wrong"]).alias("n_mended"),
-        size(lambda p: ~p["was_wrong"] & p["is_wrong"]).alias("n_made"),
-    ).withColumn("gain", F.try_divide(F.col("n_mended") - F.col("n_made"), F.col("n_errors")))
+    # Rows are sorted by the first key, so that is the one with many values; lengths written so are none.
+    both = known.join(corrected.select(*KEYS, "seq"), KEYS[::-1]).where(F.length("seq") - F.length("true_seq") == 0)
+    wrong = both.where((F.col("was") != F.col("true_seq")) | (F.col("was").isNotNull() & (F.col("seq") != F.col("true_seq"))))
+    names = ["n_errors", "n_mended", "n_made"]
+    counted = wrong.select("was", "true_seq", "seq").mapInArrow(_compared, ", ".join(f"{n} bigint" for n in names))
+    return counted.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).withColumn(
+        "gain", F.try_divide(F.col("n_mended") - F.col("n_made"), F.col("n_errors")))
+
+
+def _letters(column: pa.Array) -> ragged.Ragged:
+    """Code points of all rows."""
+    length = pc.utf8_length(column).to_numpy().astype(np.int64)
+    flat = np.frombuffer("".join(column.to_pylist()).encode("utf-32-le"), np.uint32)
+    return ragged.Ragged(flat, np.cumsum(length) - length, length)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Letters that were wrong, were and no longer are, and only now are, in each batch."""
+    for batch in batches:
+        was, true, seq = (_letters(batch[name]) for name in ("was", "true_seq", "seq"))
+        # Beyond its end a shorter sequence has no letter, which is wrong.
+        row, pos = true.row_ids(), ragged.within(true.length)
+        there = pos < was.length[row]
+        was_wrong = np.ones(len(pos), bool)
+        was_wrong[there] = was.flat[(was.start[row] + pos)[there]] != true.flat[there]
+        is_wrong = seq.flat != true.flat
+        found = [was_wrong, was_wrong & ~is_wrong, ~was_wrong & is_wrong]
+        yield pa.RecordBatch.from_arrays([pa.array([int(f.sum())]) for f in found], names=["n_errors", "n_mended", "n_made"])

@@ -142,6 +142,19 @@ def test_bloom_in_parts(spark):
     assert sent.agg(F.sum(F.size("key"))).first()[0] == 40_000
 
 
+def test_accuracy_of_odd_reads(spark):
+    """Shorter, longer, null and repeated reads, letters beyond ASCII; without a function called for each letter."""
+    truth = [(0, 1, "ACGT", "AAGT"), (0, 2, "AC", "ACGT"), (0, 3, None, "ACGT"), (0, 4, "ACGTA", "ACGT"), (0, 5, "A\u00e9G", "ACG"),
+             (0, 6, "CC", "AA"), (0, 6, "AC", "AA"), (0, 7, "A", "A"), (1, 1, "", ""), (0, 8, "AA", None), (None, 9, "A", "C")]
+    mended = [(0, 1, "AAGT"), (0, 2, "ACGA"), (0, 3, "CCCC"), (0, 4, "TCGT"), (0, 5, "ACG"), (0, 6, "AC"), (0, 7, "C"), (1, 1, ""),
+              (0, 8, "AA"), (None, 9, "C"), (0, 10, "A")]
+    found = report.accuracy(spark.createDataFrame(truth, "file_ind int, read_idx bigint, seq string, true_seq string"),
+                            spark.createDataFrame(mended, "file_ind int, read_idx bigint, seq string"))
+    assert "lambda" not in found._jdf.queryExecution().toString()
+    row = found.first()
+    assert (row.n_errors, row.n_mended, row.n_made) == (1 + 2 + 1 + 2 + 1, 1 + 1 + 1 + 1, 1 + 1)
+
+
 def test_stream(spark, tmp_path):
     text, _, reads = sample(2, n=60)
     k = 11
