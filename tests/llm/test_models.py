@@ -194,3 +194,17 @@ def test_rare_words_keep_their_counts_in_score(spark, monkeypatch):
                             for r in context_mixing.score(docs).collect()))
     assert all(a[:3] == b[:3] for a, b in zip(*found))
     assert np.allclose([r[3:] for r in found[0]], [r[3:] for r in found[1]], rtol=1e-6)
+
+
+def test_decisions_are_counted_in_lots():
+    """Batches wait until there are enough tokens, and count as one batch does."""
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 3000, n) for n in (40, 1, 700)]
+    lots = context_mixing.BitCounts(context_mixing.TOKEN_SLOTS)
+    for ranks in parts:
+        lots.add_tokens(ranks, np.array([0]))
+    assert not lots.seen.any()
+    whole = context_mixing.BitCounts(context_mixing.TOKEN_SLOTS)
+    whole.add_tokens(np.concatenate(parts), np.array([0, 40, 41]))
+    assert lots.blocks().equals(whole.blocks())
+    assert lots.seen.any() and lots.seen.sum() == sum(len(at) for at, _, _ in context_mixing.decisions(np.concatenate(parts))) * 4
