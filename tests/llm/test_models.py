@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 
 from mendseq.llm import byte_cnn, context_mixing, toxicity
 from tests.llm.data import documents, empty, texts
@@ -208,3 +210,97 @@ def test_decisions_are_counted_in_lots():
     whole.add_tokens(np.concatenate(parts), np.array([0, 40, 41]))
     assert lots.blocks().equals(whole.blocks())
     assert lots.seen.any() and lots.seen.sum() == sum(len(at) for at, _, _ in context_mixing.decisions(np.concatenate(parts))) * 4
+
+
+class Watched:
+    """numpy, with the sizes of what goes into exp and comes out of bincount."""
+
+    def __init__(self):
+        self.mixed, self.longest = 0, 0
+
+    def __getattr__(self, name):
+        return getattr(np, name)
+
+    def exp(self, z, *args, **kwargs):
+        self.mixed += z.size
+        return np.exp(z, *args, **kwargs)
+
+    def bincount(self, *args, **kwargs):
+        found = np.bincount(*args, **kwargs)
+        self.longest = max(self.longest, len(found))
+        return found
+
+
+def made_up_model(vocabulary: int, seed: int) -> context_mixing.Model:
+    rng = np.random.default_rng(seed)
+    tables = [rng.integers(-60, 60, n).astype(np.int8) for n in context_mixing.TOKEN_SLOTS]
+    spelling = [np.zeros(n, np.int8) for n in context_mixing.SPELLING_SLOTS]
+    words = {b"w%d" % i: i for i in range(vocabulary)}
+    depth, cells = context_mixing.DEPTH, context_mixing.REFINE_CELLS
+    return context_mixing.Model(vocabulary, vocabulary, words, np.append(np.ones(vocabulary, np.int64), 0), np.append(np.arange(vocabulary) + 1, 0),
+                                tables, spelling, rng.random((depth, 4)).astype(np.float32) * 0.3, rng.random((depth, cells)).astype(np.float32))
+
+
+def test_only_decisions_are_mixed_and_counted(monkeypatch):
+    """Depths that a token does not reach cost nothing, nor do slots that nothing is counted in."""
+    model, ranks = made_up_model(3000, 3), np.random.default_rng(4).geometric(0.01, 900).clip(1, 3000)
+    made = sum(len(at) for at, _, _ in context_mixing.decisions(ranks))
+    watched = Watched()
+    monkeypatch.setattr(context_mixing, "np", watched)
+    model.token_scores(ranks, np.array([600, 1, 299]))
+    assert watched.mixed == made < 0.8 * context_mixing.DEPTH * len(ranks)
+    counts = context_mixing.BitCounts(context_mixing.TOKEN_SLOTS)
+    counts.add_tokens(ranks, np.array([0]))
+    counts.blocks()
+    assert counts.seen.sum() == 4 * made and watched.longest <= made
+
+
+def test_mixing_matches_a_plain_mixer():
+    """Token after token and decision after decision, as the method says."""
+    model, sizes = made_up_model(3000, 5), np.array([40, 1, 700, 3])
+    ranks = np.random.default_rng(6).geometric(0.01, sizes.sum()).clip(0, 3000)
+    ends = np.cumsum(sizes)
+    around = context_mixing.contexts(ranks, ends - sizes)
+    steps = [[] for _ in ranks]
+    for d, (at, node, bit) in enumerate(context_mixing.decisions(ranks)):
+        for i, n, b in zip(at.tolist(), node.tolist(), bit.tolist()):
+            slots = [n if k == 0 else int(context_mixing._slots(around[k][i:i + 1], context_mixing._NODES[n], len(t))[0]) for k, t in enumerate(model.tables)]
+            steps[i].append((d, b, np.array([t[s] for t, s in zip(model.tables, slots)]) * context_mixing.STEP))
+    want, weights, refine, stretches = [], 0, 0, 0
+    for size, end in zip(sizes.tolist(), ends.tolist()):
+        score = 0.0
+        for i in range(end - size, end):
+            if (i - end + size) % context_mixing.STRETCH == 0:
+                w, r = model.weights.astype(float), model.refine.astype(float)
+            for d, bit, x in steps[i]:
+                z = min(8.0, max(-8.0, w[d] @ x))
+                p, cell = 1 / (1 + math.exp(-z)), context_mixing.REFINE_CELLS // 2 + round(2 * z)
+                score += math.log10(max(1e-6, abs((p + r[d, cell]) / 2 + bit - 1)))
+                r[d, cell] += context_mixing.REFINE_RATE * (bit - r[d, cell])
+                w[d] += context_mixing.RATE * (bit - p) * x
+            if i + 1 == end or (i + 1 - end + size) % context_mixing.STRETCH == 0:
+                weights, refine, stretches = weights + w, refine + r, stretches + 1
+        want.append(score)
+    scores, last, refined = model.token_scores(ranks, sizes)
+    assert np.allclose(scores, want, rtol=1e-3)
+    assert np.allclose(last, weights / stretches, atol=0.01) and np.allclose(refined, refine / stretches, atol=0.01)
+
+
+def test_blocks_keep_counts_of_any_size():
+    """Blocks are as narrow as their counts; their sums are those of the counts."""
+    counts = context_mixing.BitCounts(context_mixing.SPELLING_SLOTS)
+    cells = {(0, 0): 3, (5, 1): 255, (context_mixing.BLOCK, 0): 256, (2 * context_mixing.BLOCK + 1, 1): 70_000}
+    for (slot, bit), n in cells.items():
+        counts.seen[slot, bit] = n
+    blocks = counts.blocks()
+    assert blocks.column("block").to_pylist() == [0, 1, 2]
+    sizes = [len(zstandard.decompress(b)) for b in blocks.column("counts").to_pylist()]
+    assert sizes == [2 * context_mixing.BLOCK * width for width in (1, 2, 4)]
+    # Two tasks with the same counts.
+    batch = pa.concat_batches([blocks, blocks]).sort_by("block")
+    found = {r["block"]: np.frombuffer(r["stretch"], np.int8) for b in context_mixing._summed(iter([batch])) for r in b.to_pylist()}
+    for (slot, bit), n in cells.items():
+        zeros, ones = (0, 2 * n) if bit else (2 * n, 0)
+        want = np.clip(round(math.log((ones + 0.4) / (zeros + 0.4)) / context_mixing.STEP), -127, 127)
+        assert found[slot // context_mixing.BLOCK][slot % context_mixing.BLOCK] == want
+    assert sum(np.count_nonzero(s) for s in found.values()) == len(cells)
