@@ -8,6 +8,7 @@ from mendseq.functions import ragged
 from mendseq.functions.columns import pack
 from mendseq.functions.index import build_index
 from mendseq.model import CorrectionParams
+from mendseq.operators import lanes
 from mendseq.operators.correct import _kernel, chained_to, correct
 from mendseq.operators.membership import KmerSet, Known, run_known
 from tests import data
@@ -99,6 +100,18 @@ def test_created_anchor_that_explains_everything_changes_nothing():
     assert in_task([(read, None)], trusted, CorrectionParams(k)) == [(read, None, 0, 0, 0, 0)]
 
 
+def test_what_follows_a_base_is_made_only_where_its_first_kmer_is_found(monkeypatch):
+    rng = random.Random(6)
+    text, k = data.genome(rng, 3000, repeats=0), 17
+    clean = [text[i:i + 100] for i in range(0, 2900, 7)]
+    wrong = [(c[:50] + ("A" if c[50] != "A" else "C") + c[51:], None) for c in clean]
+    made, whole = [], lanes.canonical_windows
+    monkeypatch.setattr(lanes, "canonical_windows", lambda codes, k: made.append(codes.size) or whole(codes, k))
+    assert [r[0] for r in in_task(wrong, data.kmers(text, k), CorrectionParams(k))] == clean
+    # One of four bases goes on, in each of the two directions (and for the check of the anchor).
+    assert sum(made) <= 2 * 2 * len(wrong) * (2 * k - 1)
+
+
 def test_short_reads_and_no_trusted_kmers():
     params = CorrectionParams(7)
     assert in_task([("ACGT", "IIII"), ("", None)], set(), params) == [

@@ -121,6 +121,52 @@ def test_what_fails_the_filter_is_not_asked():
     assert not waits.any() and out.to_pydict() == {"hit": [True, False, False, False]}
 
 
+def test_what_fails_the_filter_is_not_looked_up(monkeypatch):
+    passing = Filter(Filter.piece(hashed(np.arange(100)), Filter.size(100)))
+    others = np.arange(1 << 30, (1 << 30) + 1000)
+    asked = np.concatenate([np.arange(20), others[~passing.contains(others)]])
+    looked, whole = [], Known.look_up
+    monkeypatch.setattr(Known, "look_up", lambda known, kmers: looked.append(len(kmers)) or whole(known, kmers))
+
+    def kernel(batch, alive):
+        hit = yield np.zeros(len(asked), np.int64), asked
+        return pa.RecordBatch.from_arrays([pa.array([int(hit.sum())])[:alive.sum()]], names=["hits"])
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0])], names=["read_idx"])
+    out, waits, _ = run_known(batch, kernel, Known(np.arange(15), np.arange(15, 20)), True, passing)
+    assert looked == [20] and not waits.any() and out.to_pydict() == {"hits": [15]}
+
+
+def test_a_kernel_without_reads_is_not_run_on():
+    """Where every read waits for an answer, nothing is made of guesses."""
+    ran = []
+
+    def kernel(batch, alive):
+        hit = yield np.arange(2), np.array([5, 6])
+        ran.append(hit.tolist())
+        return pa.RecordBatch.from_arrays([pa.array(hit[alive])], names=["hit"])
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1])], names=["read_idx"])
+    nothing = np.zeros(0, np.int64)
+    out, waits, (yes, no, asked) = run_known(batch, kernel, Known(nothing, nothing))
+    assert not ran and not out.num_rows and waits.all() and asked.tolist() == [5, 6] and not len(yes) + len(no)
+    out, waits, _ = run_known(batch, kernel, Known(np.array([5]), nothing))
+    assert ran == [[True, False]] and out.to_pydict() == {"hit": [True]} and waits.tolist() == [False, True]
+
+
+@pytest.mark.parametrize("k", [7, 31, 33])
+def test_known_kmers(k):
+    rng = np.random.default_rng(k)
+    kmers = np.unique(rng.integers(0, 1 << min(2 * k, 62), 50_000))
+    if k > 31:
+        kmers = np.array(sorted({f"{v:064b}".translate({48: "A", 49: "C"})[-k:] for v in kmers}), f"S{k}")
+    yes, no, others = kmers[::3], kmers[1::3], kmers[2::3]
+    found, member = Known(yes, no).look_up(np.concatenate([others, no, yes, others]))
+    n = len(others)
+    assert found.tolist() == [False] * n + [True] * (len(no) + len(yes)) + [False] * n
+    assert member.tolist() == [False] * (n + len(no)) + [True] * len(yes) + [False] * n
+
+
 def test_gathered_reads_repeat_their_kmers_in_a_batch(spark):
     """The same reads; what a batch gives shrinks by coverage. Reads without a k-mer and repeated ones are kept."""
     rng = random.Random(8)
