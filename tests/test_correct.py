@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,20 @@ def test_created_anchor_that_explains_everything_changes_nothing():
     assert in_task([(read, None)], trusted, CorrectionParams(k)) == [(read, None, 0, 0, 0, 0)]
 
 
+def test_windows_of_changed_bases_are_not_made_anew():
+    """Reads without a trusted k-mer: what is held is little more than a code for each base they may have instead."""
+    rng = random.Random(3)
+    reads = [("".join(rng.choice("ACGTN"[:4 + (i % 9 == 0)]) for _ in range(100)), None) for i in range(400)]
+    params = CorrectionParams(17)
+    in_task(reads[:2], set(), params)
+    tracemalloc.start()
+    try:
+        assert {r[2] for r in in_task(reads, set(), params)} == {-1}
+        assert tracemalloc.get_traced_memory()[1] < 100 * 400 * 100 * 3
+    finally:
+        tracemalloc.stop()
+
+
 def test_what_follows_a_base_is_made_only_where_its_first_kmer_is_found(monkeypatch):
     rng = random.Random(6)
     text, k = data.genome(rng, 3000, repeats=0), 17

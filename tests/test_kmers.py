@@ -42,6 +42,32 @@ def test_canonical_is_the_same_for_both_strands(kmer):
     assert w.kmer[0] == w.kmer[1]
 
 
+@pytest.mark.parametrize("k", [2, 3, 17, 31, 32, 40])
+def test_windows_with_another_base(k):
+    """The same k-mers as of a text that has the base, whichever letters are around."""
+    rng = random.Random(k)
+    text = "".join(rng.choice("ACGTACGTACGTN") for _ in range(k + 120))
+    codes = ragged.CODES[np.frombuffer(text.encode(), np.uint8)]
+
+    def windows(text):
+        w = ragged.read_windows(ragged.from_arrow(pa.array([text])), k)
+        return w.kmer, w.valid
+
+    start = np.array([rng.randrange(len(text) - k + 1) for _ in range(80)])
+    at = np.array([rng.randrange(k) for _ in start])
+    kmers, valid = ragged.Changing(codes, k).kmers(start[:, None], at[:, None], np.arange(4))
+    following, clean = ragged.next_kmers(codes[start[:, None] + np.arange(k - 1)], k)
+    many, good = ragged.canonical_windows(codes[start[:, None] + np.arange(k)], k)
+    for i, (s, a) in enumerate(zip(start, at)):
+        for base, letter in enumerate("ACGT"):
+            kmer, ok = windows(text[s:s + a] + letter + text[s + a + 1:s + k])
+            assert valid[i, base] == ok[0] and (not ok[0] or kmers[i, base] == kmer[0])
+            kmer, ok = windows(text[s:s + k - 1] + letter)
+            assert clean[i] == ok[0] and (not ok[0] or following[i, base] == kmer[0])
+        kmer, ok = windows(text[s:s + k])
+        assert good[i, 0] == ok[0] and (not ok[0] or many[i, 0] == kmer[0])
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.sets(st.integers(0, 2**62 - 1)), st.lists(st.integers(0, 2**62 - 1)))
 def test_packed_index(members, others):

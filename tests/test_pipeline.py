@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from mendseq import cli
 from mendseq.functions.columns import pack
 from mendseq.model import CorrectionParams
-from mendseq.operators import bloom, report
+from mendseq.operators import bloom, kmersets, report
 from mendseq.operators.kmersets import all_kmers
 from mendseq.operators.membership import KmerSet
+from mendseq.plans.catalogue import catalogue
 from mendseq.plans.pipeline import Settings
+from mendseq.plans.workspace import workspace
 from mendseq.session import materialize
 from mendseq.streaming.correction import correct_stream
 from tests import data
@@ -188,3 +190,14 @@ def test_summary_while_writing(spark):
     counted, row = report.observed(corrected.where("1 = 0"))
     materialize(counted, "none")
     assert row().asDict() == report.summary(corrected.where("1 = 0")).first().asDict()
+
+
+def test_modelled_run_draws_set_a_once(spark, tmp_path, monkeypatch):
+    """The rate it is drawn at needs no set of its own."""
+    spark.createDataFrame([(i, i * 7 % 150) for i in range(800)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    drawn, whole = [], kmersets.sampled_kmers
+    monkeypatch.setattr(kmersets, "sampled_kmers", lambda reads, k, alpha: drawn.append(alpha) or whole(reads, k, alpha))
+    assert catalogue()["pipeline_modelled"](spark, str(tmp_path)).count() == 800
+    assert len(drawn) == 1
+    w = workspace(spark, str(tmp_path))
+    assert w.sample.alpha == w.alpha == drawn[0] and len(drawn) == 2
