@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -128,23 +129,41 @@ class Coverage:
 
     def __init__(self, seq: ragged.Ragged, qual: ragged.Ragged, w: ragged.Windows,
                  hit: np.ndarray, k: int, table: np.ndarray, cutoff: int):
-        self.row = seq.row_ids()
-        self.pos = ragged.within(seq.length)
-        first, count = w.first[self.row], w.count[self.row]
-        low = np.maximum(self.pos - k + 1, 0)
-        high = np.minimum(self.pos + 1, count)
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        usable = count > 0
-        self.n_windows = np.where(usable, high - low, 0)
-        self.n_hits = np.where(usable, sums[first + high] - sums[first + np.minimum(low, high)], 0)
-        self.trusted = usable & (self.n_hits > table[self.n_windows])
-        has_quality = qual.length[self.row] > 0
-        at = np.minimum(qual.start[self.row] + self.pos, max(len(qual.flat) - 1, 0))
-        if len(qual.flat):
-            self.trusted &= ~(has_quality & (qual.flat[at] <= cutoff))
-        runs = np.concatenate([[0], np.cumsum(self.trusted)])
-        begin = (np.cumsum(seq.length) - seq.length)[w.row] + w.pos
-        self.kmer_trusted = w.valid & (runs[begin + k] - runs[begin] == k)
+        self.seq, size = seq, len(seq.flat)
+        begin = ragged.starts(seq.length)
+        at = np.repeat(begin, w.count) + w.pos
+        # No window starts at the last k - 1 bases of a read, so none is counted for the read after it.
+        starts, hits = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+        starts[at], hits[at] = True, hit
+        self.n_windows, self.n_hits = (self._latest(v, k) for v in (starts, hits))
+        self.trusted = (self.n_windows > 0) & (self.n_hits > table[self.n_windows])
+        self.trusted &= ~self._bad(qual, cutoff)
+        runs = np.concatenate([[0], np.cumsum(self.trusted, dtype=np.int32)])
+        self.kmer_trusted = w.valid & (runs[k:] - runs[:-k] == k)[at] if size >= k else w.valid
+
+    @staticmethod
+    def _latest(marks: np.ndarray, k: int) -> np.ndarray:
+        """How many of each base and the k - 1 before it are marked."""
+        out = np.cumsum(marks, dtype=np.int32)
+        out[k:] -= out[:-k].copy()
+        return out
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        return self.seq.row_ids()
+
+    @cached_property
+    def pos(self) -> np.ndarray:
+        return ragged.within(self.seq.length)
+
+    def _bad(self, qual: ragged.Ragged, cutoff: int) -> np.ndarray:
+        """Bases whose quality says that they don't count."""
+        if not len(qual.flat):
+            return np.zeros(len(self.seq.flat), dtype=bool)
+        if (qual.length == self.seq.length).all():
+            return qual.flat <= cutoff
+        at = np.minimum(qual.start[self.row] + self.pos, len(qual.flat) - 1)
+        return (qual.length[self.row] > 0) & (qual.flat[at] <= cutoff)
 
 
 def _coverage_kernel(k: int, table: list[int], cutoff: int, output):

@@ -206,3 +206,29 @@ def test_many_long_kmers_are_one_array():
     assert isinstance(column, pa.Array) and column.type == pa.string() and len(column) == len(kmers)
     assert column[0].as_py() == "ACGT" * 10 + "A" and column[-1].as_py() == "TGCA" * 10 + "C"
     assert len(ragged.kmers_to_arrow(kmers[:0])) == 0
+
+
+def test_a_base_is_counted_for_its_own_read_only():
+    """Windows over each base, and those in set A, whatever reads lie beside it."""
+    rng = random.Random(4)
+    k, reads = 5, ["".join(rng.choice("ACGTN") for _ in range(rng.randrange(14))) for _ in range(60)] + ["ACGTACG"]
+    quals = ["".join(rng.choice("#I") for _ in r) or None for r in reads]
+    for given in (quals, quals[:-1] + [None], [None] * len(reads)):
+        seq, qual = (ragged.from_arrow(pa.array(v, pa.string())) for v in (reads, given))
+        w = ragged.read_windows(seq, k)
+        hit = w.valid & (w.kmer % 3 > 0)
+        table = np.array([0, 0, 0, 1, 1, 2])
+        c = kmersets.Coverage(seq, qual, w, hit, k, table, ord("#"))
+        at, trusted, whole = 0, [], []
+        for r, (s, q) in enumerate(zip(reads, given)):
+            mine = [(int(p), bool(h)) for row, p, h in zip(w.row, w.pos, hit) if row == r]
+            here = []
+            for p in range(len(s)):
+                over = [h for start, h in mine if start <= p < start + k]
+                assert (c.n_windows[at + p], c.n_hits[at + p], c.row[at + p], c.pos[at + p]) == (len(over), sum(over), r, p)
+                here.append(len(over) > 0 and sum(over) > table[len(over)] and not (q and q[p] == "#"))
+            at += len(s)
+            trusted += here
+            whole += [all(here[p:p + k]) for p, _ in mine]
+        assert c.trusted.tolist() == trusted
+        assert c.kmer_trusted.tolist() == (np.array(whole, bool) & w.valid).tolist()
