@@ -4,14 +4,15 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from mendseq.functions import ragged
 from mendseq.functions.columns import pack
-from mendseq.functions.index import build_index
+from mendseq.functions.index import Filter, build_index, hashed
 from mendseq.model import CorrectionParams
 from mendseq.operators import lanes
 from mendseq.operators.correct import _kernel, chained_to, correct
-from mendseq.operators.membership import KmerSet, Known, run_known
+from mendseq.operators.membership import ASKING, FINISHED, PENDING, KmerSet, Known, _Joining, run_known
 from tests import data
 from tests.brute import Brute
 
@@ -127,6 +128,64 @@ def test_what_follows_a_base_is_made_only_where_its_first_kmer_is_found(monkeypa
     assert sum(made) <= 2 * 2 * len(wrong) * (2 * k - 1)
 
 
+def test_only_reads_that_guessed_wrong_run_again(spark):
+    """Rounds of a group, with the join done here: what the filter lets pass by mistake is found out, for those reads alone."""
+    rng = random.Random(9)
+    text, k = data.genome(rng, 4000), 13
+    trusted = data.trusted(rng, text, k, lost=0.01, extra=0.02)
+    reads = data.reads(rng, text, 400, sizes=(60, 100), k=k) + [("", None), (None, None)]
+    params, index, ran = CorrectionParams(k), index_of(trusted, k), []
+    members = ragged.read_windows(ragged.from_arrow(pa.array(sorted(trusted))), k).kmer
+    passing = Filter(Filter.piece(hashed(members), 1 << 10))
+    assert 0.0005 < passing.contains(np.arange(100_000)).mean() < 0.1
+    given = T.StructType.fromDDL("file_ind int, read_idx bigint, seq string, qual string")
+    rounds = _Joining(given, T.StructType([*given, *T.StructType.fromDDL("correction int, bad_prefix int, bad_suffix int, info int")]), k, True)
+
+    def kernel(batch, alive):
+        out = yield from _kernel(params)(batch, alive)
+        ran.append(batch.num_rows)
+        return out
+
+    nothing, done = ragged.no_kmers(k), {}
+    batches = list(rounds.step(0, batch_of(reads), kernel, Known(nothing, nothing), passing))
+    while True:
+        table = pa.Table.from_batches(batches, rounds.types)
+        kind = table["kind"].to_numpy()
+        for row in table.filter(pa.array(kind == FINISHED)).to_pylist():
+            done[row["out_read_idx"]] = tuple(row[f"out_{c}"] for c in COLUMNS)
+        waiting, asking = (table.filter(pa.array(kind == v)) for v in (PENDING, ASKING))
+        if not waiting.num_rows:
+            break
+        asked = asking["asked"].combine_chunks().flatten().to_numpy()
+        found = pa.array([asked[index.contains(asked)].tolist()], pa.list_(pa.int64()))
+        # As a shuffle leaves them.
+        waiting = waiting.take(pa.array(rng.sample(range(waiting.num_rows), waiting.num_rows)))
+        batches = list(rounds.answered(0, waiting.select(rounds.waiting()), asking.append_column("found", found), kernel, passing))
+    plain = Brute(trusted, k)
+    assert [done[i] for i in range(len(reads))] == [plain(s or "", q) for s, q in reads]
+    assert ran[0] == len(reads) and 0 < ran[1] < len(reads) / 2 and sum(ran[2:]) < len(reads) / 4
+
+
+def test_guessed_output_that_turns_to_null(spark):
+    """It can't be told from what did not change, so such a read runs again."""
+    given = T.StructType.fromDDL("file_ind int, read_idx bigint, seq string, qual string")
+    rounds, ran = _Joining(given, given, 9, True), []
+
+    def kernel(batch, alive):
+        yield np.arange(batch.num_rows), np.arange(batch.num_rows) + 5
+        ran.append(batch["read_idx"].to_pylist())
+        qual = [None if i == 1 else q for i, q in zip(batch["read_idx"].to_pylist(), batch["qual"].to_pylist())]
+        return batch.set_column(3, "qual", pa.array(qual, pa.string()))
+
+    nothing, passing = ragged.no_kmers(9), Filter(np.full(64, ~np.uint64(0)))
+    table = pa.Table.from_batches(rounds.step(0, batch_of([("AC", "II"), ("AC", "II"), ("AC", None)]), kernel, Known(nothing, nothing), passing), rounds.types)
+    waiting, asking = (table.filter(pa.array(table["kind"].to_numpy() == v)) for v in (PENDING, ASKING))
+    asking = asking.append_column("found", asking["asked"])
+    table = pa.Table.from_batches(rounds.answered(0, waiting.select(rounds.waiting()), asking, kernel, passing), rounds.types)
+    assert set(table["kind"].to_pylist()) == {FINISHED} and ran == [[0, 1, 2], [1]]
+    assert sorted((r["out_read_idx"], r["out_seq"], r["out_qual"]) for r in table.to_pylist()) == [(0, "AC", "II"), (1, "AC", None), (2, "AC", None)]
+
+
 def test_short_reads_and_no_trusted_kmers():
     params = CorrectionParams(7)
     assert in_task([("ACGT", "IIII"), ("", None)], set(), params) == [
