@@ -157,10 +157,10 @@ def test_only_reads_that_guessed_wrong_run_again(spark):
         if not waiting.num_rows:
             break
         asked = asking["asked"].combine_chunks().flatten().to_numpy()
-        found = pa.array([asked[index.contains(asked)].tolist()], pa.list_(pa.int64()))
+        lacking = pa.array([asked[~index.contains(asked)].tolist()], pa.list_(pa.int64()))
         # As a shuffle leaves them.
         waiting = waiting.take(pa.array(rng.sample(range(waiting.num_rows), waiting.num_rows)))
-        batches = list(rounds.answered(0, waiting.select(rounds.waiting()), asking.append_column("found", found), kernel, passing))
+        batches = list(rounds.answered(0, waiting.select(rounds.waiting()), asking.append_column("lacking", lacking), kernel, passing))
     plain = Brute(trusted, k)
     assert [done[i] for i in range(len(reads))] == [plain(s or "", q) for s, q in reads]
     assert ran[0] == len(reads) and 0 < ran[1] < len(reads) / 2 and sum(ran[2:]) < len(reads) / 4
@@ -180,7 +180,7 @@ def test_guessed_output_that_turns_to_null(spark):
     nothing, passing = ragged.no_kmers(9), Filter(np.full(64, ~np.uint64(0)))
     table = pa.Table.from_batches(rounds.step(0, batch_of([("AC", "II"), ("AC", "II"), ("AC", None)]), kernel, Known(nothing, nothing), passing), rounds.types)
     waiting, asking = (table.filter(pa.array(table["kind"].to_numpy() == v)) for v in (PENDING, ASKING))
-    asking = asking.append_column("found", asking["asked"])
+    asking = asking.append_column("lacking", pa.array([[]], pa.list_(pa.int64())))
     table = pa.Table.from_batches(rounds.answered(0, waiting.select(rounds.waiting()), asking, kernel, passing), rounds.types)
     assert set(table["kind"].to_pylist()) == {FINISHED} and ran == [[0, 1, 2], [1]]
     assert sorted((r["out_read_idx"], r["out_seq"], r["out_qual"]) for r in table.to_pylist()) == [(0, "AC", "II"), (1, "AC", None), (2, "AC", None)]

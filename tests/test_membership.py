@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from mendseq.functions import index
 from mendseq.functions.index import Filter, Layout, PackedIndex, hashed, packed_bits
 from mendseq.operators import membership
 from mendseq.operators.kmersets import all_kmers, batch_kmers, window_hits
@@ -46,6 +47,15 @@ def test_found_kmers(spark):
     assert [tuple(r) for r in rows] == [(1, [6]), (3, [6])]
 
 
+def test_lacking_kmers(spark):
+    """Only those come back: of what passes a filter they are few."""
+    df = spark.createDataFrame([(1, [5, 6]), (2, [7]), (3, [6]), (4, [])], "group_id bigint, asked array<bigint>")
+    kmers = KmerSet.store(spark.createDataFrame([(6,)], "kmer bigint"), 8)
+    with kmers.bucketed().opened(spark) as members:
+        rows = membership.found_kmers(df, members, "left_anti").orderBy("group_id").collect()
+    assert [tuple(r) for r in rows] == [(1, [5]), (2, [7])]
+
+
 def test_the_set_is_not_moved(spark):
     df = spark.createDataFrame([(1, [5, 6])], "group_id bigint, asked array<bigint>")
     kmers = KmerSet.store(spark.range(100).withColumnRenamed("id", "kmer"), 8)
@@ -90,6 +100,30 @@ def test_index_and_filter_made_in_parts(spark, monkeypatch, k):
         assert passing.contains(inside).all() and passing.contains(outside).mean() < 0.05
 
 
+@pytest.mark.parametrize("rows, most", [(1 << 16, 0.0002), ((1 << 16) + 1, 0.00003), (1 << 17, 0.0002)])
+def test_few_others_pass_a_filter(rows, most):
+    """At 16 to 32 bits a k-mer."""
+    rng = np.random.default_rng(rows)
+    kmers = np.unique(rng.integers(0, 1 << 34, rows + 400_000))
+    rng.shuffle(kmers)
+    passing = Filter(Filter.piece(hashed(kmers[:rows]), Filter.size(rows)))
+    assert passing.contains(kmers[:rows]).all() and passing.contains(kmers[rows:]).mean() < 8 * most
+
+
+def test_a_filter_of_few_bits(spark, monkeypatch):
+    """Below 8 bits a k-mer one word does better than two; none is missed, in parts or not."""
+    monkeypatch.setattr(index, "MAX_FILTER_BYTES", 1 << 13)
+    kmers = np.unique(np.random.default_rng(2).integers(0, 1 << 34, 40_000))
+    inside, outside = kmers[::2], kmers[1::2]
+    df = spark.createDataFrame([(int(v),) for v in inside], "kmer bigint")
+    for rows in (1 << 19, 1000):
+        monkeypatch.setattr(membership, "PART_ROWS", rows)
+        made = KmerSet(df.repartition(3), 17, len(inside))
+        passing = made.filter()
+        assert not made.filters() and not passing.both and passing.contains(inside).all()
+        assert passing.contains(outside).mean() < 0.3
+
+
 def test_an_index_takes_few_bytes_and_bounds_what_is_broadcast(spark):
     """18 million k-mers, as 9 million reads sample: 128 MiB of codes before, some four bytes each now."""
     kmers = KmerSet(spark.range(1), 17, rows=18_000_000)
